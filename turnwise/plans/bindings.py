@@ -85,9 +85,9 @@ def edges(t) -> DataFrame:
     """Typed links to the first, second and third predecessor."""
     a = turns(t).select("conversation_id", "pos", "raw_id")
     p = F.col("pos")
-    kinds = F.array(F.struct(F.lit("ANTECEDENT").alias("edge_type"), F.lit(1).alias("back")),
-                    F.when(p % 2 == 0, F.struct(F.lit("OCCURRENCE"), F.lit(2))), F.when(p % 3 == 0, F.struct(F.lit("CONFIRMATION"), F.lit(3))),
-                    F.when(p % 5 == 4, F.struct(F.lit("REACTION"), F.lit(1))))
+    link = lambda kind, back: F.struct(F.lit(kind).alias("edge_type"), F.lit(back).alias("back"))
+    kinds = F.array(link("ANTECEDENT", 1), F.when(p % 2 == 0, link("OCCURRENCE", 2)), F.when(p % 3 == 0, link("CONFIRMATION", 3)),
+                    F.when(p % 5 == 4, link("REACTION", 1)))
     s = a.select("conversation_id", F.col("raw_id").alias("source_raw_id"), p, F.explode(F.array_compact(kinds)).alias("k")).select(
         "conversation_id", "source_raw_id", (p - F.col("k.back")).alias("pos"), F.col("k.edge_type").alias("edge_type"))
     return s.join(a.select("conversation_id", "pos", F.col("raw_id").alias("target_raw_id")), ["conversation_id", "pos"]).drop("pos")

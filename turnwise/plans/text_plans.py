@@ -150,7 +150,7 @@ def _(t):
 
 _TS_SQL = """select event_id, case event_id % 5 when 0 then strftime(ts,'%-I:%M %p on %-d %B, %Y')
   when 1 then strftime(ts,'%Y-%m-%dT%H:%M:%SZ') when 2 then strftime(ts,'%Y/%m/%d (%a) %H:%M')
-  when 3 then epoch(ts)::bigint::varchar else 'soon' end as said, date_trunc('minute', ts) as m from events"""
+  when 3 then floor(epoch(ts))::bigint::varchar else 'soon' end as said, date_trunc('minute', ts) as m from events"""
 
 
 @plan("txt_parse_timestamp", f"""select event_id, said, case when event_id % 5 < 4 then strftime(m,'%Y-%m-%d %H:%M') end as minute,

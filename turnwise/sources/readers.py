@@ -254,7 +254,7 @@ def filter_category(df: DataFrame, column: str = "category", excluded: Sequence[
 
 def shard(df: DataFrame, key: str, n: int, i: int) -> DataFrame:
     """Deterministic share i of n by id hash: no order, no shuffle."""
-    return df.where(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(n)) == i)
+    return df.where(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint") % n == i)
 
 
 def index_range(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, start: int, count: int) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions import text as tx
 
 
 def write_by(df: DataFrame, cols: Sequence[str], path: str, fmt: str = "parquet") -> None:
-    """One folder per value of `cols`; rows are spread by a salt too, so a large system is many files."""
+    """One folder per value of `cols`. No repartition: each task writes its own rows, so a hot value is many files."""
     df.write.mode("overwrite").partitionBy(*cols).format(fmt).save(path)
 
 
