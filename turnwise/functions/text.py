@@ -52,10 +52,15 @@ def text_of(c: Column | str) -> Column:
     return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
 
 
-def strip(c: Column, chars: str = BLANKS) -> Column:
+def strip_chars(c: Column, chars: str) -> Column:
     return F.btrim(c, F.lit(chars))
 
 
+def strip(c: Column) -> Column:
+    """Trim all ASCII blanks. One parameter, so it can be passed to F.transform as it is."""
+    return strip_chars(c, BLANKS)
+
+
 def find_all(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
@@ -92,7 +97,7 @@ def canonicalize_answer(c) -> Column:
     s = strip(F.regexp_replace(s, r"\s*```$", ""))
     s = strip(F.regexp_replace(
         s, r"(?i)^(final\s+answer|answer|response|hypothesis|prediction)\s*[:\-]\s*", ""))
-    s = strip(s, " \t\r\n'\"`")
+    s = strip_chars(s, " \t\r\n'\"`")
     s = F.regexp_replace(s, "^\\s*[\\-\\*•]\\s*", "")
     return strip(F.regexp_replace(s, r"\s+", " "))
 
@@ -127,7 +132,7 @@ def split_clauses(c) -> Column:
     """Sentence, semicolon and dash splits, then contrastive conjunctions; never empty."""
     s = strip(text_of(c))
     sentences = F.transform(F.split(s, r"(?<=[.!?])\s+|[;]+\s*|\s+[—–]\s+"),
-                            lambda x: strip(x, BLANKS + "-–—"))
+                            lambda x: strip_chars(x, BLANKS + "-–—"))
     parts = F.flatten(F.transform(F.filter(sentences, lambda x: x != ""), lambda x: F.split(
         x, r"(?i),\s+(?=(?:but|however|although|though|yet)\b)")))
     kept = F.filter(F.transform(parts, strip), lambda x: x != "")
