@@ -2,9 +2,8 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import corpus, fusion as fu
+from ..operators import fusion as fu
 from . import bindings as b, sqlkit as k
-from .lane_plans import _role_facts, entity_postings, fact_docs, prop_docs, raws
 from .registry import plan
 
 _L = f"with {b.LANES}, l as (select * from lanes where rank<=128)"
