@@ -157,27 +157,27 @@ def repair_memory(df: DataFrame) -> DataFrame:
     enum = lambda c, allowed, other: F.when(_outside(c, allowed), other).otherwise(c)
 
     def fix_fact(a, i):
-        cids = F.filter(arr(a["provenance.clause_ids"], "array<string>"), lambda x: F.array_contains(ids, x))
+        cids = F.filter(arr(a["provenance"]["clause_ids"], "array<string>"), lambda x: F.array_contains(ids, x))
         return F.struct(
             F.coalesce(F.nullif(a["assertion_id"], F.lit("")), F.concat(F.lit("a"), i + 1)).alias("assertion_id"),
             a["subject"].alias("subject"), enum(a["relation_family"], RELATION_FAMILIES, "OTHER").alias("relation_family"),
             a["surface_relation"].alias("surface_relation"),
-            F.struct(enum(a["answer_value.type"], ANSWER_TYPES, "OTHER").alias("type"), a["answer_value.value"].alias("value")).alias("answer_value"),
+            F.struct(enum(a["answer_value"]["type"], ANSWER_TYPES, "OTHER").alias("type"), a["answer_value"]["value"].alias("value")).alias("answer_value"),
             F.coalesce(a["roles"], F.create_map().cast("map<string,string>")).alias("roles"), a["occurrence_local_id"].alias("occurrence_local_id"),
             enum(a["modality"], MODALITIES, "UNKNOWN").alias("modality"), enum(a["polarity"], POLARITIES, "UNKNOWN").alias("polarity"),
             F.coalesce(a["scope"], F.struct(*[F.lit(None).cast("string").alias(x) for x in ("time_expression", "time_owner", "location")])).alias("scope"),
             a["retrieval_text"].alias("retrieval_text"),
             F.struct(F.array("raw_id").alias("raw_ids"), F.when(F.size(cids) > 0, cids).otherwise(F.slice(ids, 1, 1)).alias("clause_ids"),
-                     arr(a["provenance.unit_ids"], "array<string>").alias("unit_ids")).alias("provenance"))
+                     arr(a["provenance"]["unit_ids"], "array<string>").alias("unit_ids")).alias("provenance"))
 
     fixed = F.transform(valued, fix_fact)
     whole = lambda a: ((F.coalesce(a["subject"], F.lit("")) != "") & (F.coalesce(a["retrieval_text"], F.lit("")) != "")
-                       & ~F.coalesce(a["answer_value.value"], F.lit("")).isin("", "scalar"))
+                       & ~F.coalesce(a["answer_value"]["value"], F.lit("")).isin("", "scalar"))
     kept = F.filter(fixed, whole)
     kept_ids = F.transform(kept, lambda a: a["assertion_id"])
 
     # clauses: one entry per request clause, units with a closed status, links to kept facts only
-    given = arr(m["l1.clause_units"], f"array<struct<clause_id:string,units:array<{UNIT}>>>")
+    given = arr(m["l1"]["clause_units"], f"array<struct<clause_id:string,units:array<{UNIT}>>>")
 
     def fix_unit(u):
         links = arr(u["assertion_ids"], "array<string>")
@@ -191,7 +191,7 @@ def repair_memory(df: DataFrame) -> DataFrame:
     def of_clause(cid):
         mine = F.filter(given, lambda g: g["clause_id"] == cid)
         units = F.filter(arr(F.try_element_at(mine, F.lit(-1))["units"], f"array<{UNIT}>"), lambda u: u.isNotNull())
-        linked = F.transform(F.filter(kept, lambda a: F.array_contains(a["provenance.clause_ids"], cid)), lambda a: a["assertion_id"])
+        linked = F.transform(F.filter(kept, lambda a: F.array_contains(a["provenance"]["clause_ids"], cid)), lambda a: a["assertion_id"])
         text = F.coalesce(F.try_element_at(F.filter("clauses", lambda c: c["clause_id"] == cid), F.lit(1))["text"], F.lit(""))
         blank = F.size(units) == 0
         stand_in = F.struct(F.lit("u1").alias("unit_id"), text.alias("span"),
@@ -204,10 +204,10 @@ def repair_memory(df: DataFrame) -> DataFrame:
                                        F.array().cast(f"array<{UNIT}>"))
     all_units = F.filter(F.flatten(F.transform(ids, raw_units)), lambda u: u.isNotNull())
     no_units = lambda cid: F.size(F.filter(raw_units(cid), lambda u: u.isNotNull())) == 0
-    has_fact = lambda cid: F.exists(kept, lambda a: F.array_contains(a["provenance.clause_ids"], cid))
+    has_fact = lambda cid: F.exists(kept, lambda a: F.array_contains(a["provenance"]["clause_ids"], cid))
 
     # mentions: anchored to a clause, role closed
-    mentions = arr(m["l1.mentions"], f"array<{MENTION}>")
+    mentions = arr(m["l1"]["mentions"], f"array<{MENTION}>")
     live_m = F.filter(mentions, lambda x: x.isNotNull())
 
     def anchor(x):
@@ -224,13 +224,13 @@ def repair_memory(df: DataFrame) -> DataFrame:
     status_bad = lambda u: _outside(u["status"], UNIT_STATUSES)
     settled = lambda u: F.when(status_bad(u), F.when(F.size(arr(u["assertion_ids"], "array<string>")) > 0, "ASSERTED").otherwise("UNRESOLVED")).otherwise(u["status"])
     repairs = codes(
-        (m["l1"].isNull(), "missing_l1_wrapper"), (m["l1.clause_units"].isNull(), "missing_clause_units"),
+        (m["l1"].isNull(), "missing_l1_wrapper"), (m["l1"]["clause_units"].isNull(), "missing_clause_units"),
         (any_(given, lambda g: g.isNull()), "dropped_malformed_clause_unit"),
         (any_(F.filter(given, lambda g: g.isNotNull() & F.array_contains(ids, g["clause_id"])), lambda g: g["units"].isNull()), "normalized_units_list"),
         (any_(F.flatten(F.transform(ids, raw_units)), lambda u: u.isNull()), "dropped_malformed_unit"),
         (any_(all_units, lambda u: u["assertion_ids"].isNull()), "normalized_assertion_ids"),
         (any_(all_units, status_bad), "normalized_unit_status"), (any_(ids, no_units), "inserted_unresolved_unit"),
-        (m["l1"].isNotNull() & m["l1.mentions"].isNull() | m["l1"].isNull(), "normalized_mentions"),
+        (m["l1"].isNotNull() & m["l1"]["mentions"].isNull() | m["l1"].isNull(), "normalized_mentions"),
         (any_(mentions, lambda x: x.isNull()), "dropped_malformed_mention"),
         (any_(live_m, lambda x: ~F.coalesce(F.array_contains(ids, x["clause_id"]), F.lit(False)) & anchor(x).isNotNull()), "normalized_mention_provenance"),
         (any_(live_m, lambda x: anchor(x).isNull()), "dropped_unanchored_mention"),
@@ -238,14 +238,14 @@ def repair_memory(df: DataFrame) -> DataFrame:
         (any_(raw_facts, lambda a: a.isNull()), "dropped_malformed_assertion"),
         (any_(present, lambda a: a["answer_value"].isNull()), "dropped_missing_answer_value"),
         (any_(valued, lambda a: F.coalesce(a["assertion_id"], F.lit("")) == ""), "generated_local_assertion_id"),
-        (any_(valued, lambda a: _outside(a["answer_value.type"], ANSWER_TYPES)), "normalized_answer_type"),
+        (any_(valued, lambda a: _outside(a["answer_value"]["type"], ANSWER_TYPES)), "normalized_answer_type"),
         (any_(valued, lambda a: _outside(a["relation_family"], RELATION_FAMILIES)), "normalized_relation_family"),
         (any_(valued, lambda a: _outside(a["modality"], MODALITIES)), "normalized_modality"),
         (any_(valued, lambda a: _outside(a["polarity"], POLARITIES)), "normalized_polarity"),
         (any_(valued, lambda a: a["roles"].isNull()), "normalized_roles"), (any_(valued, lambda a: a["scope"].isNull()), "normalized_scope"),
         (any_(valued, lambda a: a["provenance"].isNull()), "normalized_provenance"),
-        (any_(valued, lambda a: ~a["provenance.raw_ids"].eqNullSafe(F.array("raw_id"))), "normalized_raw_provenance"),
-        (any_(valued, lambda a: F.size(F.array_intersect(arr(a["provenance.clause_ids"], "array<string>"), ids)) == 0), "normalized_clause_provenance"),
+        (any_(valued, lambda a: ~a["provenance"]["raw_ids"].eqNullSafe(F.array("raw_id"))), "normalized_raw_provenance"),
+        (any_(valued, lambda a: F.size(F.array_intersect(arr(a["provenance"]["clause_ids"], "array<string>"), ids)) == 0), "normalized_clause_provenance"),
         (any_(fixed, lambda a: ~whole(a)), "dropped_incomplete_assertion"),
         (any_(all_units, lambda u: (settled(u) == "ASSERTED") & (F.size(F.array_intersect(arr(u["assertion_ids"], "array<string>"), kept_ids)) == 0)),
          "downgraded_unlinked_asserted_unit"),
@@ -519,8 +519,8 @@ def revoke(manifest: DataFrame, targets: DataFrame, at: str):
     t = targets.select("idx", "reason")
     j = manifest.join(t, "idx", "left")
     live = F.col("reason").isNotNull() & (F.col("status") == "CONTENT_VALIDATED_PERMANENT")
-    new = j.withColumn("status", F.when(live, "SUPERSEDED").otherwise(F.col("status"))).withColumn(
-        "superseded_at", F.when(live, F.lit(at))).withColumn("reason", F.when(live, F.col("reason")))
+    keep = [c for c in manifest.columns if c not in ("status", "reason", "superseded_at")]
+    new = j.select(*keep, F.when(live, "SUPERSEDED").otherwise(F.col("status")).alias("status"), F.when(live, F.col("reason")).alias("reason"), F.when(live, F.lit(at)).alias("superseded_at"))
     history = new.where("superseded_at is not null").select("idx", F.col("content_sha256").alias("old_content_sha256"), "status", "reason", "superseded_at")
     return new, history
 
