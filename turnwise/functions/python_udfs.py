@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 _VOWELS = "aeiou"
 
@@ -148,4 +148,4 @@ def score_pairs(pairs: DataFrame, scorer: Callable[[pd.DataFrame], "pd.Series"],
         for pdf in batches:
             yield pdf.assign(**{out: pd.Series(attempt(pdf), index=pdf.index, dtype="float64")})
 
-    return rows.mapInPandas(run, rows.schema.add(out, "double"))
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField(out, DoubleType())]))

@@ -109,7 +109,8 @@ def text_similarity(pairs: DataFrame) -> DataFrame:
     cos = F.try_divide(dot(F.col("va"), F.col("vb")), F.sqrt(dot(F.col("va"), F.col("va"))) * F.sqrt(dot(F.col("vb"), F.col("vb"))))
     a, b = F.array_distinct(_words("a")), F.array_distinct(_words("b"))
     jac = F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0))
-    s = F.when((F.col("_a") == "") | (F.col("_b") == ""), 0.0).when(F.col("_a") == F.col("_b"), 1.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))
+    s = F.when((F.col("_a") == "") | (F.col("_b") == ""), 0.0).when(F.col("_a") == F.col("_b"), 1.0).when(
+        cos.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))
     p = p.withColumn("similarity", s).withColumn("_j", jac)
     known = p.where("similarity is not null").select("pair_id", "similarity")
     # a ratio above the Jaccard value needs lengths that allow it

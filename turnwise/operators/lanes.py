@@ -408,15 +408,22 @@ def _matrix(col: pd.Series, unit: bool) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-8) if unit else m
 
 
-def _best(scores: np.ndarray, qids, rids, depth: int, extra: dict | None = None) -> pd.DataFrame:
-    """Per query row the `depth` best columns by rounded score, ids breaking ties."""
+def _frame(strings: dict, numbers: dict) -> pd.DataFrame:
+    """One frame with plain object strings, also when there are no rows (Arrow needs one chunk per column)."""
+    obj = {k: pd.Series(np.asarray(v, dtype=object), dtype=object) for k, v in strings.items()}
+    return pd.DataFrame({**obj, **{k: pd.Series(np.asarray(v)) for k, v in numbers.items()}})
+
+
+def _best(scores: np.ndarray, qids, rids, depth: int) -> pd.DataFrame:
+    """Per query row the `depth` best columns by rounded score, ids (ascending order of `rids`) breaking ties."""
     s = np.round(scores, ROUND) + 0.0
-    order = np.argsort(rids, kind="stable")          # id order first, then a stable sort by score
-    picks = []
-    for i, qid in enumerate(qids):
-        top = order[np.argsort(-s[i][order], kind="stable")[:depth]]
-        picks.append(pd.DataFrame({"sample_id": qid, "raw_id": rids[top], "score": s[i][top], **{k: v[i][top] for k, v in (extra or {}).items()}}))
-    return pd.concat(picks) if picks else pd.DataFrame(columns=["sample_id", "raw_id", "score", *(extra or {})])
+    top = [np.argsort(-row, kind="stable")[:depth] for row in s]
+    at = np.concatenate(top) if top else np.array([], dtype=int)
+    rows = np.repeat(np.arange(len(top)), [len(x) for x in top])
+    return _frame({"sample_id": np.asarray(qids, dtype=object)[rows], "raw_id": np.asarray(rids, dtype=object)[at]}, {"score": s[rows, at]})
+
+
+_NO_ROWS = dict(strings={"sample_id": [], "raw_id": []}, numbers={"score": np.array([], dtype=float)})
 
 
 def _by_record(d: pd.DataFrame):
@@ -433,7 +440,7 @@ def dense_lane(queries: DataFrame, docs: DataFrame, lane: str, depth: int = DEPT
     """
     def score(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if q.empty or d.empty:
-            return pd.DataFrame({"sample_id": [], "raw_id": [], "score": []})
+            return _frame(**_NO_ROWS)
         d, ids, starts = _by_record(d)
         s = np.maximum.reduceat(_matrix(q["vec"], True) @ _matrix(d["vec"], True).T, starts, axis=1)
         return _best(s, q["sample_id"].tolist(), ids, depth)
@@ -447,7 +454,7 @@ def maxsim_lane(queries: DataFrame, docs: DataFrame, lane: str, depth: int = DEP
     """Late interaction: mean over query tokens of the best dot product with a record's tokens."""
     def score(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if q.empty or d.empty:
-            return pd.DataFrame({"sample_id": [], "raw_id": [], "score": []})
+            return _frame(**_NO_ROWS)
         d, ids, starts = _by_record(d)
         q = q.sort_values("sample_id", kind="stable")
         qids, qstarts = np.unique(q["sample_id"].to_numpy(dtype=object).astype(str), return_index=True)
@@ -467,27 +474,26 @@ def typed_lanes(queries: DataFrame, docs: DataFrame) -> DataFrame:
     The first fact wins ties; without owner terms every record is the owner's.
     """
     def score(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        cols = {"sample_id": [], "raw_id": [], "semantic": [], "value": [], "owner": []}
-        if q.empty or d.empty:
-            return pd.DataFrame(cols)
-        d = d.sort_values(["raw_id", "ord"], kind="stable")
-        ids, starts = np.unique(d["raw_id"].to_numpy(dtype=object).astype(str), return_index=True)
-        sem = np.round(_matrix(q["vec"], True) @ _matrix(d["vec"], True).T, ROUND) + 0.0
-        val = np.round(_matrix(q["value_vec"], True) @ _matrix(d["value_vec"], True).T, ROUND) + 0.0
-        both = np.maximum(sem, val)
-        ends = [*starts[1:], len(d)]
-        subj = [frozenset(x) for x in d["subject_terms"]]
-        out = []
-        for i, (qid, terms) in enumerate(zip(q["sample_id"], q["owner_terms"])):
-            pick = np.array([a + int(np.argmax(both[i, a:b])) for a, b in zip(starts, ends)])
-            want = frozenset(terms)
-            own = np.array([not want or bool(want & subj[p]) for p in pick])
-            s, v = sem[i, pick], val[i, pick]
-            keep = set(np.argsort(-s, kind="stable")[:DEPTH]) | set(np.argsort(-v, kind="stable")[:DEPTH])
-            keep |= set(np.flatnonzero(own)[np.argsort(-s[own], kind="stable")[:DEPTH]])
-            at = np.array(sorted(keep))
-            out.append(pd.DataFrame({"sample_id": qid, "raw_id": ids[at], "semantic": s[at], "value": v[at], "owner": own[at]}))
-        return pd.concat(out)
+        parts = {k: [] for k in ("sample_id", "raw_id", "semantic", "value", "owner")}
+        if not (q.empty or d.empty):
+            d = d.sort_values(["raw_id", "ord"], kind="stable")
+            ids, starts = np.unique(d["raw_id"].to_numpy(dtype=object).astype(str), return_index=True)
+            sem = np.round(_matrix(q["vec"], True) @ _matrix(d["vec"], True).T, ROUND) + 0.0
+            val = np.round(_matrix(q["value_vec"], True) @ _matrix(d["value_vec"], True).T, ROUND) + 0.0
+            both = np.maximum(sem, val)
+            ends = [*starts[1:], len(d)]
+            subj = [frozenset(x) for x in d["subject_terms"]]
+            for i, (qid, terms) in enumerate(zip(q["sample_id"], q["owner_terms"])):
+                pick = np.array([a + int(np.argmax(both[i, a:b])) for a, b in zip(starts, ends)])
+                want = frozenset(terms)
+                own = np.array([not want or bool(want & subj[p]) for p in pick])
+                s, v = sem[i, pick], val[i, pick]
+                keep = set(np.argsort(-s, kind="stable")[:DEPTH]) | set(np.argsort(-v, kind="stable")[:DEPTH])
+                keep |= set(np.flatnonzero(own)[np.argsort(-s[own], kind="stable")[:DEPTH]])
+                at = np.array(sorted(keep))
+                for k, x in zip(parts, ([qid] * len(at), ids[at], s[at], v[at], own[at])):
+                    parts[k].extend(x)
+        return _frame({k: parts[k] for k in ("sample_id", "raw_id")}, {"semantic": np.array(parts["semantic"], dtype=float), "value": np.array(parts["value"], dtype=float), "owner": np.array(parts["owner"], dtype=bool)})
 
     picks = _blocks(queries, docs).applyInPandas(score, "sample_id string, raw_id string, semantic double, value double, owner boolean")
     sem = ranked(picks.withColumn("score", F.col("semantic")), "typed_semantic")
@@ -503,31 +509,31 @@ def hybrid_lane(queries: DataFrame, docs: DataFrame, lane: str = "hybrid", depth
     inside a block through its own term → record lists.
     """
     def score(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or d.empty:
-            return pd.DataFrame({"sample_id": [], "raw_id": [], "ord": [], "score": []})
-        d = d.sort_values("ord", kind="stable")
-        ids, ords = d["raw_id"].to_numpy(dtype=object), d["ord"].to_numpy()
-        lists: dict[str, dict[int, int]] = {}
-        for at, words in enumerate(d["terms"]):
-            for w in words:
-                held = lists.setdefault(w, {})
-                held[at] = held.get(at, 0) + 1
-        arrays = {w: (np.fromiter(h, dtype=np.int64), np.fromiter(h.values(), dtype=np.float64)) for w, h in lists.items()}
-        sims = _matrix(q["vec"], True) @ _matrix(d["vec"], True).T
-        out = []
-        for i, (qid, words) in enumerate(zip(q["sample_id"], q["terms"])):
-            lex = np.zeros(len(d))
-            counts: dict[str, int] = {}
-            for w in words:
-                counts[w] = counts.get(w, 0) + 1
-            for w, c in counts.items():
-                if w in arrays:
-                    at, tf = arrays[w]
-                    lex[at] += np.minimum(tf, c)
-            s = np.round(cos * sims[i] + (1 - cos) * lex / max(len(words), 1), ROUND) + 0.0
-            top = np.argsort(-s, kind="stable")[:depth]
-            out.append(pd.DataFrame({"sample_id": qid, "raw_id": ids[top], "ord": ords[top], "score": s[top]}))
-        return pd.concat(out)
+        parts = {k: [] for k in ("sample_id", "raw_id", "ord", "score")}
+        if not (q.empty or d.empty):
+            d = d.sort_values("ord", kind="stable")
+            ids, ords = d["raw_id"].to_numpy(dtype=object), d["ord"].to_numpy()
+            lists: dict[str, dict[int, int]] = {}
+            for at, words in enumerate(d["terms"]):
+                for w in words:
+                    held = lists.setdefault(w, {})
+                    held[at] = held.get(at, 0) + 1
+            arrays = {w: (np.fromiter(h, dtype=np.int64), np.fromiter(h.values(), dtype=np.float64)) for w, h in lists.items()}
+            sims = _matrix(q["vec"], True) @ _matrix(d["vec"], True).T
+            for i, (qid, words) in enumerate(zip(q["sample_id"], q["terms"])):
+                lex = np.zeros(len(d))
+                counts: dict[str, int] = {}
+                for w in words:
+                    counts[w] = counts.get(w, 0) + 1
+                for w, c in counts.items():
+                    if w in arrays:
+                        at, tf = arrays[w]
+                        lex[at] += np.minimum(tf, c)
+                s = np.round(cos * sims[i] + (1 - cos) * lex / max(len(words), 1), ROUND) + 0.0
+                top = np.argsort(-s, kind="stable")[:depth]
+                for k, x in zip(parts, ([qid] * len(top), ids[top], ords[top], s[top])):
+                    parts[k].extend(x)
+        return _frame({k: parts[k] for k in ("sample_id", "raw_id")}, {"ord": np.array(parts["ord"], dtype=np.int64), "score": np.array(parts["score"], dtype=float)})
 
     cand = _blocks(queries, docs).applyInPandas(score, "sample_id string, raw_id string, ord long, score double")
     return ranked(cand, lane, depth, [F.desc("score"), F.asc("ord")])

@@ -1,15 +1,16 @@
 """Greedy packing: each unit joins the open chunk unless its running cost would pass the budget.
 
-A chunk's start depends on the previous chunk's end, so rows are packed in order. Two forms:
-in-row, over the pieces of one long text (built-in aggregate, no Python), and over the rows
-of a group, whose order is cut into bounded runs that are packed independently.
+A chunk's start depends on the previous chunk's end, so the order of a group is cut into
+bounded runs, each summed up by what it does to the load it is entered with.
 """
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text as tx
 
@@ -54,81 +55,86 @@ def split_oversize(clauses: DataFrame, budget: int) -> DataFrame:
     return c.where(F.length("text") <= F.col("room")).select("raw_id", "clause_id", "text", F.lit(None).cast("string").alias("parent_clause_id")).unionByName(big)
 
 
+def run_outcomes(costs: Sequence[int], budget: int):
+    """What packing a run leaves behind, for every load it can be entered with.
+
+    Returns (outcome when entered empty, list of (least load, load after, chunks opened)); opened is -1
+    where the whole run joins the open chunk. Starting points soon share their last chunk, so the
+    list is short.
+    """
+    n = len(costs)
+    prefix = list(accumulate(costs))
+    before = [0, *prefix]
+    filled = [0] * n                          # first position from i on with a positive cost
+    nxt = n
+    for i in range(n - 1, -1, -1):
+        nxt = i if costs[i] > 0 else nxt
+        filled[i] = nxt
+    after: list[tuple[int, int]] = [(0, 0)] * n    # outcome of a chunk that starts at i
+    for i in range(n - 1, -1, -1):
+        j = max(bisect_right(prefix, before[i] + budget), filled[i] + 1)
+        after[i] = (prefix[-1] - before[i], 0) if j >= n else (after[j][0], after[j][1] + 1)
+    steps: list[tuple[int, int, int]] = []
+    if budget - prefix[-1] >= 1:
+        steps.append((1, 0, -1))
+    for i in range(n - 1, -1, -1):            # loads that first overflow at i
+        least, most = max(budget - prefix[i] + 1, 1), budget - before[i]
+        if i > 0 and most < least:
+            continue
+        out = (after[i][0], after[i][1] + 1)
+        if not steps or steps[-1][1:] != out:
+            steps.append((least, *out))
+    return after[0], steps
+
+
+def enter_run(load: int, empty, steps, total: int) -> tuple[int, int]:
+    """Load and chunks opened after a run entered with `load`."""
+    if load == 0:
+        return empty
+    at = bisect_right([s[0] for s in steps], load) - 1
+    _, out, opened = steps[at]
+    return (load + total, 0) if opened < 0 else (out, opened)
+
+
 def pack(rows: DataFrame, keys: Sequence[str], order: str, cost: Column, budget: int, run: int = 4096, out: str = "chunk") -> DataFrame:
     """Chunk numbers of a greedy pack in order, per key.
 
-    A new chunk opens when the open one is not empty and the cost would pass the budget. The chunk
-    before a row depends only on where its chunk starts, so a key is walked in runs of `run` positions:
-    inside each run every possible entering cost (0 … budget) is mapped to the cost and the number of
-    chunks it leaves with — one small array per run — and the runs are then chained. No task ever
-    holds more than a run of rows, or one array per run.
+    A new chunk opens when the open one is not empty and the cost would pass the budget. A long key is
+    walked in runs of `run` positions: each run is summed up by what it leaves behind, the summaries are
+    chained, and the runs are then numbered side by side. No task holds more than one run of rows, or
+    one short summary per run.
 
-    `order` must be an integer position; `cost` a non-negative integer.
+    `order` is an integer position, `cost` a non-negative integer.
     """
+    keys = list(keys)
     r = rows.withColumn("_c", cost.cast("long")).withColumn("_o", F.col(order).cast("long")).withColumn("_run", F.floor(F.col("_o") / run).cast("long"))
-    key_types = {k: rows.schema[k].dataType.simpleString() for k in keys}
-    cols = ", ".join(f"{k} {ty}" for k, ty in key_types.items())
+    cols = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
-    # what a run does to an entering load: only distinct outcomes matter, and they merge quickly
     def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
         costs = pdf.sort_values("_o")["_c"].tolist()
-        exits: dict[int, tuple[int, int]] = {}
-
-        def walk(load: int, start: int = 0) -> tuple[int, int]:
-            opened = 0
-            for c in costs[start:]:
-                if load > 0 and load + c > budget:
-                    opened, load = opened + 1, 0
-                load += c
-            return load, opened
-
-        # the first overflow of an entering load happens where the prefix sum passes budget − load
-        prefix, total = [], 0
-        for c in costs:
-            total += c
-            prefix.append(total)
-        after: dict[int, tuple[int, int]] = {}
-        bounds = [0]
-        import bisect
-        loads, outs, opens = [], [], []
-        breaks = sorted({0, *[max(0, budget - p + 1) for p in prefix if 0 <= budget - p + 1 <= budget]})
-        for b in breaks:                    # every load in [b, next) overflows first at the same row
-            at = bisect.bisect_right(prefix, budget - b) if b else None
-            if at is None or at >= len(costs):
-                load, opened = walk(b)
-                loads.append(b); outs.append(load); opens.append(opened if b else opened)
-                continue
-            if at not in after:
-                after[at] = walk(0, at)
-            load, opened = after[at]
-            loads.append(b); outs.append(load); opens.append(opened + 1)
+        empty, steps = run_outcomes(costs, budget)
         head = pdf.iloc[0]
-        return pd.DataFrame([{**{k: head[k] for k in keys}, "_run": head["_run"], "loads": loads, "outs": outs, "opens": opens, "total": total}])
-
-    maps = r.select(*keys, "_o", "_c", "_run").groupBy(*keys, "_run").applyInPandas(
-        summarize, f"{cols}, _run long, loads array<long>, outs array<long>, opens array<long>, total long")
+        return pd.DataFrame([{**{k: head[k] for k in keys}, "_run": head["_run"], "total": sum(costs), "empty": list(empty), "steps": [x for s in steps for x in s]}])
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        import bisect
+        pdf = pdf.sort_values("_run")
         load, opened, got = 0, 0, []
-        for m in pdf.sort_values("_run").itertuples(index=False):
+        for total, empty, flat in zip(pdf["total"], pdf["empty"], pdf["steps"]):
             got.append((load, opened))
-            i = bisect.bisect_right(list(m.loads), load) - 1
-            kept = m.opens[i] == 0           # no overflow: the whole run joins the open chunk
-            opened += int(m.opens[i])
-            load = load + int(m.total) if kept else int(m.outs[i])
-        res = pdf.sort_values("_run")[[*keys, "_run"]].copy()
-        res["_load"], res["_opened"] = [g[0] for g in got], [g[1] for g in got]
-        return res
+            steps = [tuple(int(x) for x in flat[i:i + 3]) for i in range(0, len(flat), 3)]
+            load, more = enter_run(load, tuple(int(x) for x in empty), steps, int(total))
+            opened += more
+        return pdf[[*keys, "_run"]].assign(_load=[g[0] for g in got], _opened=[g[1] for g in got])
 
+    maps = r.select(*keys, "_o", "_c", "_run").groupBy(*keys, "_run").applyInPandas(
+        summarize, f"{cols}, _run long, total long, empty array<long>, steps array<long>")
     entry = maps.groupBy(*keys).applyInPandas(chain, f"{cols}, _run long, _load long, _opened long")
     full = r.join(entry, [*keys, "_run"])
-    schema = full.drop("_c", "_o", "_run", "_load", "_opened").schema.add(out, "long")
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.LongType())])
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_o")
-        load, n = int(pdf["_load"].iloc[0]), int(pdf["_opened"].iloc[0])
-        marks = []
+        load, n, marks = int(pdf["_load"].iloc[0]), int(pdf["_opened"].iloc[0]), []
         for c in pdf["_c"]:
             if load > 0 and load + c > budget:
                 n, load = n + 1, 0

@@ -19,7 +19,7 @@ WRAPPERS = ("samples", "records", "data", "items")
 
 def read_text_records(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
     """One JSON text per row: a line each, or a whole file each; a leading byte-order mark goes."""
-    rows = spark.read.option("wholetext", str(whole_file).lower()).text(path)
+    rows = spark.read.text(path, wholetext=whole_file)
     return rows.select(F.regexp_replace("value", "^﻿", "").alias("value")).where(tx.strip(F.col("value")) != "")
 
 
