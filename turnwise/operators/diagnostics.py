@@ -30,8 +30,9 @@ def evidence_pairs(units: DataFrame, texts: DataFrame, keys: Sequence[str] = ("s
 
     units: keys, unit_id, unit; texts: keys, text_id, text
     """
-    u = units.select(*keys, "unit_id", tx.normalize_answer("unit").alias("nt"))
-    t = texts.select(*keys, "text_id", tx.normalize_answer("text").alias("ht"))
+    # read several times below: normalised once and written
+    u = cut_lineage(units.select(*keys, "unit_id", tx.normalize_answer("unit").alias("nt")))
+    t = cut_lineage(texts.select(*keys, "text_id", tx.normalize_answer("text").alias("ht")))
     held = contains_pairs(u, t, keys, "unit_id", "text_id").select(*keys, "unit_id", "text_id")
     cover = overlap_pairs(u.where("nt <> ''").select(*keys, "unit_id", F.split("nt", " ").alias("lw")), t.where("ht <> ''").select(*keys, "text_id", F.split("ht", " ").alias("rw")),
                           keys, "unit_id", "text_id", ratio).select(*keys, "unit_id", "text_id")
@@ -134,8 +135,7 @@ def duplicate_pairs(entries: DataFrame, keys: Sequence[str] = ("sample_id",), ra
 
     Jaccard above r needs an overlap above r of either side, so the pair search is the coverage join.
     """
-    e = entries.select(*keys, "text_id", F.array_distinct(_words("text")).alias("w"))
-    same = entries.select(*keys, "text_id", tx.normalize_answer("text").alias("n")).where("n <> ''")
+    e = cut_lineage(entries.select(*keys, "text_id", F.array_distinct(_words("text")).alias("w")))
     pairs = overlap_pairs(e.withColumnRenamed("w", "lw"), e.select(*keys, F.col("text_id").alias("other_id"), F.col("w").alias("rw")), keys, "text_id", "other_id", ratio, strict=False)
     size = e.select(*keys, "text_id", F.size("w").alias("n"))
     j = pairs.where("text_id < other_id").join(size, [*keys, "text_id"]).join(size.select(*keys, F.col("text_id").alias("other_id"), F.col("n").alias("m")), [*keys, "other_id"])

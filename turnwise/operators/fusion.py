@@ -73,9 +73,12 @@ def quota_fill(lanes: DataFrame, spec: dict = QUOTAS, order: Sequence[str] = LAN
     lanes: sample_id, lane, raw_id, rank
     """
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        ranks = {lane: g.sort_values("rank")["raw_id"].tolist() for lane, g in pdf.groupby("lane")}
-        size = min(limit, pdf["raw_id"].nunique())
-        rows = [(pdf["sample_id"].iloc[0], arm, rid, i) for arm, amounts in spec.items()
+        ranks: dict[str, list[str]] = {}
+        for _, lane, rid in sorted(zip(pdf["rank"].tolist(), pdf["lane"].tolist(), pdf["raw_id"].tolist())):
+            ranks.setdefault(lane, []).append(rid)
+        size = min(limit, len({r for ids in ranks.values() for r in ids}))
+        sample = pdf["sample_id"].iat[0]
+        rows = [(sample, arm, rid, i) for arm, amounts in spec.items()
                 for i, rid in enumerate(fill_quota(ranks, amounts, order, size), 1)]
         return pd.DataFrame(rows, columns=["sample_id", "arm", "raw_id", "rank"])
 
@@ -168,17 +171,17 @@ def routed_candidates(streams: DataFrame, kinds: DataFrame, links: DataFrame, ro
             .unionByName(part(kinds, "kind", F.col("query_kind"), none, F.lit(0), F.lit(0))))
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        by = {k: g.sort_values("d") for k, g in pdf.groupby("part")}
-        blank = pdf.iloc[:0]
-        lay = by.get("layer", blank)
-        layers = [lay[lay["n"] == i]["x"].tolist() for i in (1, 2, 3)]
-        ag = by.get("agreed", blank)
-        lk = by.get("link", blank)
-        kind = by["kind"]["x"].iloc[0] if "kind" in by else "SINGLE_FACT"
-        rows_ = []
-        for arm, cfg in routes.items():
-            got = route(kind, layers, list(zip(ag["x"], ag["n"])), list(zip(lk["x"], lk["y"], lk["n"] == 1, lk["d"])), by.get("whole", blank)["x"].tolist(), cfg)
-            rows_ += [(pdf["sample_id"].iloc[0], arm, rid, i) for i, rid in enumerate(got, 1)]
+        by: dict[str, list] = {"layer": [], "agreed": [], "whole": [], "link": [], "kind": []}
+        for kind, x, y, n, d in zip(*(pdf[c].tolist() for c in ("part", "x", "y", "n", "d"))):
+            by[kind].append((d, x, y, n))
+        order = lambda rows_: sorted(rows_, key=lambda r: r[0])
+        layers = [[x for _, x, _, n in order(by["layer"]) if n == i] for i in (1, 2, 3)]
+        agreed_ = [(x, n) for _, x, _, n in order(by["agreed"])]
+        links_ = [(x, y, n == 1, d) for d, x, y, n in by["link"]]
+        whole_ = [x for _, x, _, _ in order(by["whole"])]
+        kind = by["kind"][0][1] if by["kind"] else "SINGLE_FACT"
+        sample = pdf["sample_id"].iat[0]
+        rows_ = [(sample, arm, rid, i) for arm, cfg in routes.items() for i, rid in enumerate(route(kind, layers, agreed_, links_, whole_, cfg), 1)]
         return pd.DataFrame(rows_, columns=["sample_id", "arm", "raw_id", "rank"])
 
     return rows.groupBy("sample_id").applyInPandas(pick, "sample_id string, arm string, raw_id string, rank long")

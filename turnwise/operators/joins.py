@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
+from ..session import cut_lineage
 from .matching import contains_pairs, overlap_pairs
 from .rowset import ordered_union
 from .scale import fits_broadcast, top_k
@@ -127,8 +128,9 @@ def explicit_ids(texts: DataFrame, turns: DataFrame) -> DataFrame:
 
 def text_turn_pairs(texts: DataFrame, turns: DataFrame, coverage: float = 0.85) -> DataFrame:
     """(text, turn) pairs: either holds the other's normalised text, or the text covers 85 % of the turn's words."""
-    t = texts.select(SCOPE, "text_id", tx.normalize_for_source_match("text").alias("t"))
-    u = turns.select(SCOPE, "pos", tx.normalize_for_source_match("text").alias("u")).where("u <> ''")
+    # read several times below: normalised once and written
+    t = cut_lineage(texts.select(SCOPE, "text_id", tx.normalize_for_source_match("text").alias("t")))
+    u = cut_lineage(turns.select(SCOPE, "pos", tx.normalize_for_source_match("text").alias("u")).where("u <> ''"))
     held = contains_pairs(u.withColumnRenamed("u", "nt"), t.withColumnRenamed("t", "ht"), [SCOPE], "pos", "text_id").select(SCOPE, "text_id", "pos")
     holds = contains_pairs(t.withColumnRenamed("t", "nt"), u.withColumnRenamed("u", "ht"), [SCOPE], "text_id", "pos").select(SCOPE, "text_id", "pos")
     cover = overlap_pairs(u.select(SCOPE, "pos", F.split("u", " ").alias("lw")), t.where("t <> ''").select(SCOPE, "text_id", F.split("t", " ").alias("rw")),
@@ -159,14 +161,17 @@ def batch_sources(entries: DataFrame, turns: DataFrame, k: int = 5, floor: float
 
     entries: text_id, scope, query, text, batch_ids
     """
-    e = entries.select("text_id", SCOPE, F.concat_ws(" ", tx.text_of("query"), tx.text_of("text")).alias("said"), F.posexplode(F.array_distinct("batch_ids")).alias("o", "turn_id"))
-    j = e.join(turns.select(SCOPE, "turn_id", "text", "timestamp"), [SCOPE, "turn_id"])
     split = lambda c: F.array_distinct(F.filter(F.split(tx.normalize_for_source_match(c), " "), lambda x: x != ""))
-    a, m = split("text"), split("said")
-    inter = F.size(F.array_intersect(a, m))
-    dates = F.coalesce(F.arrays_overlap(tx.extract_dates("timestamp"), tx.extract_dates("said")), F.lit(False))
-    score = F.least(F.lit(1.0), 0.8 * F.try_divide(inter, F.size(a)) + 0.2 * F.try_divide(inter, F.size(m)) + F.when(dates, 0.2).otherwise(0.0))
-    s = j.withColumn("score", F.round(F.when((F.size(a) == 0) | (F.size(m) == 0), 0.0).otherwise(score), 9)).where(F.col("score") >= floor)
+    said = F.concat_ws(" ", tx.text_of("query"), tx.text_of("text"))
+    # words and dates are worked out once per entry and once per turn, before the rows multiply
+    e = entries.select("text_id", SCOPE, split(said).alias("m"), tx.extract_dates(said).alias("md"), F.array_distinct("batch_ids").alias("ids")).select(
+        "text_id", SCOPE, "m", "md", F.posexplode("ids").alias("o", "turn_id"))
+    u = turns.select(SCOPE, "turn_id", split("text").alias("a"), tx.extract_dates("timestamp").alias("ad"))
+    j = e.join(u, [SCOPE, "turn_id"])
+    inter = F.size(F.array_intersect("a", "m"))
+    dates = F.coalesce(F.arrays_overlap("ad", "md"), F.lit(False))
+    score = F.least(F.lit(1.0), 0.8 * inter / F.nullif(F.size("a"), F.lit(0)) + 0.2 * inter / F.nullif(F.size("m"), F.lit(0)) + F.when(dates, 0.2).otherwise(0.0))
+    s = j.withColumn("score", F.round(F.when((F.size("a") == 0) | (F.size("m") == 0), 0.0).otherwise(score), 9)).where(F.col("score") >= floor)
     best = s.withColumn("_top", F.max("score").over(W.partitionBy("text_id"))).where(F.col("score") >= F.round(F.col("_top") - slack, 9))
     return top_k(best, ["text_id"], [F.desc("score"), F.asc("o")], k).select("text_id", SCOPE, F.col("turn_id").alias("source_id"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
@@ -196,7 +201,7 @@ def trace_retrieval(retrieved: DataFrame, turns: DataFrame) -> DataFrame:
 
     retrieved: sample_id, scope, rank, entry_id, content, source_ids, query, batch_ids
     """
-    r = usable_ids(retrieved, turns).withColumn("text_id", F.concat_ws("#", "sample_id", "rank"))
+    r = cut_lineage(usable_ids(retrieved, turns).withColumn("text_id", F.concat_ws("#", "sample_id", "rank")))
     at = lambda phase, a: F.struct(F.col("rank").alias("r"), F.lit(phase).alias("p"), a.alias("a"))
     own = r.select("sample_id", "rank", F.posexplode("source_ids").alias("o", "source_id")).select(
         "sample_id", "source_id", at(0, F.struct(F.lit(0).alias("k"), F.col("o").cast("bigint").alias("a"), F.lit(0).alias("b"))).alias("place"))
@@ -278,6 +283,7 @@ def trace_prompt(prompts: DataFrame, entries: DataFrame, retrieved: DataFrame, t
     none = F.array().cast("array<string>")
     u = usable_ids(j.withColumn("source_ids", F.coalesce("es", none)), turns).withColumn("es", F.col("source_ids"))
     u = usable_ids(u.withColumn("source_ids", F.coalesce("rs", none)), turns).withColumn("rs", F.col("source_ids"))
+    u = cut_lineage(u)
     ids = F.concat("es", "rs")
     cited = u.select("sample_id", "place", F.posexplode(F.when(F.size(ids) > 0, ids).otherwise(F.array("entry_id"))).alias("o", "source_id")).select(
         "sample_id", "source_id", F.struct(F.col("place").alias("r"), F.lit(0).alias("p"), F.struct(F.lit(0).alias("k"), F.col("o").cast("bigint").alias("a"), F.lit(0).alias("b")).alias("a")).alias("at"))

@@ -9,6 +9,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .scale import keyed_join
+
 #: Anchor lengths of the gram join, longest first.
 GRAMS = (16, 8, 4, 2, 1)
 
@@ -27,13 +29,16 @@ def gram_pairs(needles: DataFrame, strings: DataFrame, keys: Sequence[str]) -> D
     """
     size = F.coalesce(*[F.when(F.length("needle") >= n, F.lit(n)) for n in GRAMS], F.lit(0))
     n = needles.withColumn("_n", size).withColumn("_g", F.col("needle").substr(F.lit(1), F.col("_n")))
+    # strings are cut only into the gram lengths some needle of their scope is looked up by
+    sizes = n.groupBy(*keys).agg(F.collect_set("_n").alias("_sizes"))
+    asked = keyed_join(strings.select(*keys, "string"), sizes, keys, "string", size_of=needles)
 
     def tagged(size):
-        return F.transform(_grams(F.col("string"), size), lambda x: F.struct(F.lit(size).alias("n"), x.alias("g")))
+        return F.when(F.array_contains("_sizes", size), F.transform(_grams(F.col("string"), size), lambda x: F.struct(F.lit(size).alias("n"), x.alias("g"))))
 
-    empty = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("g")))
+    empty = F.when(F.array_contains("_sizes", 0), F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("g"))))
     each = F.flatten(F.array_compact(F.array(*[tagged(g) for g in GRAMS], empty)))
-    s = strings.select(*keys, "string", F.explode(each).alias("e")).select(*keys, "string", F.col("e.n").alias("_n"), F.col("e.g").alias("_g"))
+    s = asked.select(*keys, "string", F.explode(each).alias("e")).select(*keys, "string", F.col("e.n").alias("_n"), F.col("e.g").alias("_g"))
     return n.join(s, [*keys, "_n", "_g"]).where(F.contains("string", F.col("needle"))).select(*keys, "needle", "string")
 
 
@@ -81,10 +86,14 @@ def contains_pairs(needles: DataFrame, hay: DataFrame, keys: Sequence[str], nid:
     hw = H.select(*keys, hid, F.explode(F.array_distinct("_h")).alias("w"))
     long_ = anchor.join(hw, [*keys, "w"]).select(*keys, nid, hid).join(N.select(*keys, nid, "nt"), [*keys, nid]).join(
         H.select(*keys, hid, "ht"), [*keys, hid]).where(F.contains("ht", F.col("nt"))).select(*keys, nid, hid)
-    short = N.where(F.size("_w") < 3).select(*keys, nid, F.col("nt").alias("needle"))
-    pieces = F.concat("_h", F.zip_with(F.slice("_h", F.lit(1), F.greatest(F.size("_h") - 1, F.lit(0))), F.slice("_h", F.lit(2), F.greatest(F.size("_h") - 1, F.lit(0))),
-                                       lambda a, b: F.concat(a, F.lit(" "), b)))
-    hp = H.select(*keys, hid, F.explode(F.array_distinct(pieces)).alias("string"))
+    short = N.where(F.size("_w") < 3).select(*keys, nid, F.col("nt").alias("needle"), (F.size("_w") == 2).alias("_two"))
+    # only scopes with short needles give up their words, and word pairs only where a needle has two words
+    scopes = short.groupBy(*keys).agg(F.max("_two").alias("_two"))
+    near = keyed_join(H, scopes, keys, hid, size_of=needles)
+    short = short.drop("_two")
+    pairs = F.zip_with(F.slice("_h", F.lit(1), F.greatest(F.size("_h") - 1, F.lit(0))), F.slice("_h", F.lit(2), F.greatest(F.size("_h") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    pieces = F.when(F.col("_two"), F.concat("_h", pairs)).otherwise(F.col("_h"))
+    hp = near.select(*keys, hid, F.explode(F.array_distinct(pieces)).alias("string"))
     gp = gram_pairs(short.select(*keys, "needle").distinct(), hp.select(*keys, "string").distinct(), keys)
     short_ = short.join(gp, [*keys, "needle"]).join(hp, [*keys, "string"]).select(*keys, nid, hid)
     return long_.unionByName(short_).distinct()

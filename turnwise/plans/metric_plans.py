@@ -377,15 +377,15 @@ def _(t):
     return me.overview(classified(t))
 
 
-@plan("agg_mechanism", f"""with {_CLASS}, m as (select *, doc_id%50 nm, len(inj_ids) ni from cls), r as (select sample_id, system, 1 rk, (doc_id%10)*0.1373::double sc, doc_id%3=0 as gold from cls union all select sample_id, system, 2, (doc_id%7)*0.0971::double, doc_id%2=0 from cls where doc_id%5<>0),
+@plan("agg_mechanism", f"""with {_CLASS}, m as (select *, doc_id%50 nm, len(inj_ids) ni from cls), r as (select sample_id, system, 1 rk, (doc_id%10)*0.137311::double sc, doc_id%3=0 as gold from cls union all select sample_id, system, 2, (doc_id%7)*0.097133::double, doc_id%2=0 from cls where doc_id%5<>0),
  p as (select sample_id, system, count(*) n, min(case when gold then rk end) fg, sum(sc) ss, count(sc) sn, min(sc) mn, max(sc) mx from r group by 1,2)
 select m.system, count(*)::bigint as n_samples, round(avg(nullif(nm,0)),2) as avg_memory_entries, min(nullif(nm,0)) as min_memory_entries, max(nullif(nm,0)) as max_memory_entries, round(avg(coalesce(n,0)),2) as avg_retrieved, round(avg(fg),2) as gold_avg_rank, count(fg)::bigint as gold_hit_count,
  round(sum(ss)/sum(sn),3) as score_mean, round(min(mn),3) as score_min, round(max(mx),3) as score_max, round(avg(ni),2) as avg_injected, round(avg(n_chars),2) as avg_prompt_tokens, round(avg(case when gold_in_prompt then grade::int end),4) as accuracy_given_gold from m left join p on p.sample_id=m.sample_id and p.system=m.system group by 1""")
 def _(t):
     c, d = classified(t), F.col("doc_id")
     rows = c.select("sample_id", "system", (d % 50).alias("n_memory"), F.size("injected_ids").alias("n_injected"), F.col("n_chars").alias("prompt_tokens"), "gold_in_prompt", "answer_correct")
-    one = c.select("sample_id", "system", F.lit(1).alias("rank"), (d % 10 * 0.1373).alias("score"), (d % 3 == 0).alias("is_gold"))
-    two = c.where("doc_id % 5 <> 0").select("sample_id", "system", F.lit(2).alias("rank"), (d % 7 * 0.0971).alias("score"), (d % 2 == 0).alias("is_gold"))
+    one = c.select("sample_id", "system", F.lit(1).alias("rank"), (d % 10 * 0.137311).alias("score"), (d % 3 == 0).alias("is_gold"))
+    two = c.where("doc_id % 5 <> 0").select("sample_id", "system", F.lit(2).alias("rank"), (d % 7 * 0.097133).alias("score"), (d % 2 == 0).alias("is_gold"))
     return me.mechanism(rows, one.unionByName(two))
 
 
