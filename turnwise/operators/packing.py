@@ -110,39 +110,67 @@ def pack(rows: DataFrame, keys: Sequence[str], order: str, cost: Column, budget:
     r = rows.withColumn("_c", cost.cast("long")).withColumn("_o", F.col(order).cast("long")).withColumn("_run", F.floor(F.col("_o") / run).cast("long"))
     cols = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
-    def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        costs = pdf.sort_values("_o")["_c"].tolist()
-        empty, steps = run_outcomes(costs, budget)
-        head = pdf.iloc[0]
-        return pd.DataFrame([{**{k: head[k] for k in keys}, "_run": head["_run"], "total": sum(costs), "empty": list(empty), "steps": [x for s in steps for x in s]}])
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_run")
-        load, opened, got = 0, 0, []
-        for total, empty, flat in zip(pdf["total"], pdf["empty"], pdf["steps"]):
-            got.append((load, opened))
-            steps = [tuple(int(x) for x in flat[i:i + 3]) for i in range(0, len(flat), 3)]
-            load, more = enter_run(load, tuple(int(x) for x in empty), steps, int(total))
-            opened += more
-        return pdf[[*keys, "_run"]].assign(_load=[g[0] for g in got], _opened=[g[1] for g in got])
-
-    maps = r.select(*keys, "_o", "_c", "_run").groupBy(*keys, "_run").applyInPandas(
-        summarize, f"{cols}, _run long, total long, empty array<long>, steps array<long>")
-    entry = maps.groupBy(*keys).applyInPandas(chain, f"{cols}, _run long, _load long, _opened long")
-    full = r.join(entry, [*keys, "_run"])
+    # sorted partitions are streamed, so neither a group nor a partition is held in memory
+    def stream(batches, cols_):
+        for pdf in batches:
+            yield pdf, zip(*(pdf[c].tolist() for c in cols_))
+
+    def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [*keys, "_run", "total", "empty", "steps"]
+        at, costs = None, []
+
+        def close():
+            empty, steps = run_outcomes(costs, budget)
+            return (*at, sum(costs), list(empty), [x for s in steps for x in s])
+
+        for _, rows_ in stream(batches, [*keys, "_run", "_c"]):
+            done = []
+            for *where, c in rows_:
+                if where != at:
+                    if at is not None:
+                        done.append(close())
+                    at, costs = where, []
+                costs.append(c)
+            if done:
+                yield pd.DataFrame(done, columns=names)
+        if at is not None:
+            yield pd.DataFrame([close()], columns=names)
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, load, opened = None, 0, 0
+        for pdf, rows_ in stream(batches, [*keys, "total", "empty", "steps"]):
+            got = []
+            for *where, total, empty, flat in rows_:
+                if where != at:
+                    at, load, opened = where, 0, 0
+                got.append((load, opened))
+                steps = [tuple(int(x) for x in flat[i:i + 3]) for i in range(0, len(flat), 3)]
+                load, more = enter_run(load, tuple(int(x) for x in empty), steps, int(total))
+                opened += more
+            yield pdf[[*keys, "_run"]].assign(_load=[g[0] for g in got], _opened=[g[1] for g in got])
+
+    by_run = [*keys, "_run"]
+    laid = r.select(*by_run, "_o", "_c").repartition(*by_run).sortWithinPartitions(*by_run, "_o")
+    maps = laid.mapInPandas(summarize, f"{cols}, _run long, total long, empty array<long>, steps array<long>")
+    entry = maps.repartition(*keys).sortWithinPartitions(*by_run).mapInPandas(chain, f"{cols}, _run long, _load long, _opened long")
+    full = r.join(entry, by_run).repartition(*by_run).sortWithinPartitions(*by_run, "_o")
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.LongType())])
-
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_o")
-        load, n, marks = int(pdf["_load"].iloc[0]), int(pdf["_opened"].iloc[0]), []
-        for c in pdf["_c"]:
-            if load > 0 and load + c > budget:
-                n, load = n + 1, 0
-            load += int(c)
-            marks.append(n)
-        return pdf.assign(**{out: marks})[[f.name for f in schema]]
-
-    return full.groupBy(*keys, "_run").applyInPandas(number, schema)
+    fields = [f.name for f in schema]
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, load, n = None, 0, 0
+        for pdf, rows_ in stream(batches, [*by_run, "_c", "_load", "_opened"]):
+            marks = []
+            for *where, c, entered, opened in rows_:
+                if where != at:
+                    at, load, n = where, entered, opened
+                if load > 0 and load + c > budget:
+                    n, load = n + 1, 0
+                load += c
+                marks.append(n)
+            yield pdf.assign(**{out: marks})[fields]
+
+    return full.mapInPandas(number, schema)
 
 
 def paginate(turns: DataFrame, budget: int = 350) -> DataFrame:
