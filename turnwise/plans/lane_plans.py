@@ -70,8 +70,8 @@ def _(t):
     q, d = b.bench_questions(t), b.docs(t)
     top = ln.bm25(q, d, "raw", 10)
     sq = lambda c: F.array_join(tx.find_all(c, r"\S+"), " ")
-    pairs = contains_pairs(q.select("conversation_id", "sample_id", sq(F.col("passage")).alias("nt")), d.select("conversation_id", "raw_id", sq(F.col("text")).alias("ht")),
-                           ["conversation_id"], "sample_id", "raw_id")
+    flat = cut_lineage(d.select("conversation_id", "raw_id", sq(F.col("text")).alias("ht")))   # read several times by the match
+    pairs = contains_pairs(q.select("conversation_id", "sample_id", sq(F.col("passage")).alias("nt")), flat, ["conversation_id"], "sample_id", "raw_id")
     exact = pairs.join(q.select("sample_id", "passage"), "sample_id").join(d.select("raw_id", "text"), "raw_id").where(F.contains("text", F.col("passage")))
     gold = exact.select("sample_id", "raw_id")
     hit = gold.join(top.select("sample_id", "raw_id", "rank"), ["sample_id", "raw_id"], "left")
