@@ -182,6 +182,14 @@ RUN_LOG = """run_log as (select event_id as position, user_id::varchar as sample
  event_id%13=0 as incomplete_build, json_extract_string(props,'$.k')::int as tokens from events)"""
 
 
+#: The systems of a run are named in its configuration: here, the event types.
+SYSTEMS = ["view", "signup", "error", "click", "purchase"]
+
+
+def each_system():
+    return F.explode(F.array(*map(F.lit, SYSTEMS))).alias("system")
+
+
 def run_log(t) -> DataFrame:
     """Events as an append-only journal of runs: key = (user, event type)."""
     e = F.col("event_id")

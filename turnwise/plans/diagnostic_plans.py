@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import diagnostics as dg, lanes as ln
+from ..operators import diagnostics as dg
 from ..session import cut_lineage
 from . import bindings as b, sqlkit as k
 from .registry import plan

@@ -1,8 +1,7 @@
 """Queries for hydration, reconciliation and source tracing."""
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
-from ..operators import joins as jn, lanes as ln
+from ..operators import joins as jn
 from ..operators.scale import top_k
 from . import bindings as b, sqlkit as k
 from .registry import plan
@@ -24,8 +23,7 @@ def _(t):
  select p.sample_id, s.system from (select distinct sample_id from r) p, (select distinct system from r) s where not exists (select 1 from r where r.sample_id=p.sample_id and r.system=s.system and r.error is null)""")
 def _(t):
     r = b.run_log(t).select(F.concat_ws("-", "sample_id", F.col("tokens") % 20).alias("sample_id"), "system", "error")
-    systems = r.select("system").distinct()
-    return jn.pending(r.select("sample_id").distinct().crossJoin(F.broadcast(systems)), r)
+    return jn.pending(r.select("sample_id").distinct().select("sample_id", b.each_system()), r)
 
 
 @plan("jn_pending_changed", """select o_orderkey as sample_id, o_orderstatus as system, case when o_orderkey%3=0 then 'unjudged' else 'changed' end as why from orders where o_orderkey%3=0 or (o_orderkey%3=1 and o_custkey%5=0)""")
@@ -44,7 +42,7 @@ select count(e.sample_id)::bigint as expected, count(n)::bigint as actual, count
 def _(t):
     r = b.run_log(t)
     systems = r.select("system").distinct()
-    expected = r.select("sample_id").distinct().crossJoin(F.broadcast(systems))
+    expected = r.select("sample_id").distinct().select("sample_id", b.each_system())
     actual = r.where(F.col("sample_id").cast("int") % 5 != 0).select("sample_id", "system", "error").unionByName(systems.select(F.lit("ghost").alias("sample_id"), "system", F.lit(None).cast("string").alias("error")))
     return jn.reconcile(expected, actual, ["sample_id", "system"], F.col("error").isNotNull())
 

@@ -237,8 +237,8 @@ select * from (select sample_id, raw_id, score, row_number() over (partition by
 def _(t):
     w = F.round(F.log(1 + F.count(F.lit(1))), 6).alias("weight")
     d = t.documents.select(F.col("doc_id").cast("string").alias("raw_id"), F.col("lang").alias("conversation_id"), F.explode(tx.tokens("text", "plain")).alias("term"))
-    langs = t.documents.select(F.col("lang").alias("conversation_id")).distinct()
-    q = t.benchmark.crossJoin(F.broadcast(langs)).select(F.concat(F.lit("b"), "item_id", F.lit("-"), "conversation_id").alias("sample_id"), "conversation_id", F.explode(tx.tokens("text", "plain")).alias("term"))
+    scopes = F.explode(F.array(*map(F.lit, ["en", "fr", "de", "es"]))).alias("conversation_id")
+    q = t.benchmark.select("item_id", "text", scopes).select(F.concat(F.lit("b"), "item_id", F.lit("-"), "conversation_id").alias("sample_id"), "conversation_id", F.explode(tx.tokens("text", "plain")).alias("term"))
     return _out(ln.sparse_lane(q.groupBy("sample_id", "conversation_id", "term").agg(w), d.groupBy("raw_id", "conversation_id", "term").agg(w)))
 
 
@@ -519,7 +519,7 @@ def _(t):
     gaps = l.select("sample_id").distinct().withColumn("gap_id", F.explode(F.array(*map(F.lit, ["g1", "g2", "g3"]))))
     dense = l.where("lane = 'price_desc'").withColumn("gap_id", F.lit("g1")).unionByName(l.where("lane = 'oldest'").withColumn("gap_id", F.lit("g2"))).select("sample_id", "gap_id", "raw_id", "rank")
     pool = new.where("rank <= 20")
-    pairs = dense.select("sample_id", "gap_id", "raw_id").unionByName(pool.crossJoin(F.broadcast(t.spark.createDataFrame([("g1",), ("g2",)], "gap_id string"))).select("sample_id", "gap_id", "raw_id")).distinct()
+    pairs = dense.select("sample_id", "gap_id", "raw_id").unionByName(pool.select("sample_id", F.explode(F.array(F.lit("g1"), F.lit("g2"))).alias("gap_id"), "raw_id")).distinct()
     s = pairs.withColumn("score", F.round(F.conv(F.substring(F.md5(F.concat("gap_id", "raw_id")), 1, 6), 16, 10).cast("double") / 16777216.0, 6))
     return _out(ln.gap_search(gaps, dense, pool, new.where("rank <= 3"), s))
 

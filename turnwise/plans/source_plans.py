@@ -3,7 +3,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 from ..operators import corpus
 from ..session import shared_dir
 from ..sources import readers as rd, sinks

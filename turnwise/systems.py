@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from .functions import text as tx
 from .operators import corpus, fusion, lanes
-from .operators.scale import top_k
 
 
 @dataclass
