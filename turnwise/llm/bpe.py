@@ -13,6 +13,17 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+# Letters and numbers assigned after Unicode 16, which the tokenizer's pattern engine does not know as such
+# and the regex library may; found by splitting every code point with both.
+NEWER = ("\u0558 \u058B-\u058C \u088F \u0C5C \u0CDC \u208F \u209D-\u209F \uA7CE-\uA7CF \uA7D2 \uA7D4 \uA7DD \uA7E2 \uA7F1 \uAB6C-\uAB6D "
+         "\U000107BB-\U000107BF \U00010940-\U00010959 \U00010EC5-\U00010EC7 \U00010ED9-\U00010EEE \U00011B0A \U00011DB0-\U00011DDB \U00011DE0-\U00011DE9 "
+         "\U00011DF1 \U0001246F \U00012475-\U0001247F \U00012550-\U00012686 \U00016EA0-\U00016EB8 \U00016EBB-\U00016ED3 \U00016FF2-\U00016FF6 "
+         "\U000187F8-\U000187FF \U00018CD6-\U00018CDA \U00018D09-\U00018D20 \U00018D80-\U00018DF2 \U00018E00-\U00019191 \U000191A0-\U000191D2 "
+         "\U0001B123-\U0001B128 \U0001B168 \U0001D6A6 \U0001DF1F-\U0001DF24 \U0001DF2B-\U0001DF81 \U0001DF90-\U0001DF96 \U0001DFCD-\U0001DFFF "
+         "\U0001E6C0-\U0001E6DE \U0001E6E0-\U0001E6E2 \U0001E6E4-\U0001E6E5 \U0001E6E7-\U0001E6ED \U0001E6F0-\U0001E6F4 \U0001E6FE-\U0001E6FF "
+         "\U0002B73A-\U0002B73F \U0002B81E \U0002CEA2-\U0002CEAD \U000323B0-\U00033479 \U0003D000-\U0003FC3F").replace(" ", "")
+#: Stands for them while a text is split: no letter, number or space in any version.
+NONCHARACTER = "\uFFFF"
 #: Distinct pre-tokens a task remembers before it starts anew, and the longest that is remembered.
 CACHE, CACHED_CHARS = 200_000, 64
 
@@ -71,7 +82,9 @@ class Codec:
         self.vocabulary = vocabulary
         self.whole = {t: i for i, t in enumerate(vocabulary)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.split = self.pattern.findall
+        self.newer = regex.compile(f"[{NEWER}]")
         self.map = dict(enumerate(byte_chars()))
         self.cache: dict[str, bytes] = {}
 
@@ -81,7 +94,9 @@ class Codec:
         rank = self.whole.get(raw)
         ids = [rank] if rank is not None else [i - 1 for i in self.model.encode(raw.decode("latin-1").translate(self.map))]
         packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(token) <= CACHED_CHARS:
+        if self.newer.search(token):
+            self.resplit = True
+        elif len(token) <= CACHED_CHARS:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             self.cache[token] = packed
@@ -89,7 +104,12 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         get, piece = self.cache.get, self.piece
-        return b"".join([get(t) or piece(t) for t in self.split(text)])
+        self.resplit = False
+        packed = b"".join([get(t) or piece(t) for t in self.split(text)])
+        if self.resplit:
+            masked = self.newer.sub(NONCHARACTER, text)
+            packed = b"".join([get(t) or piece(t) for t in (text[slice(*m.span())] for m in self.pattern.finditer(masked))])
+        return packed
 
     def decode(self, packed: bytes) -> bytes:
         vocabulary = self.vocabulary

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -22,6 +23,8 @@ BLOCK = 2048
 #: Sources are a configured dimension: their totals, one row each, are gathered up to this many.
 MAX_SOURCES = 100_000
 EPS = 1e-9
+#: The largest documents of a block move first, each against all others: three at a time could not make up for their words.
+LARGEST = 32
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -42,12 +45,30 @@ def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[
 
 
 def fly(sizes: list[float], probs: list[float], seed: int) -> list[float]:
-    """Flight phase: at most two probabilities stay strictly between 0 and 1; Σ p and Σ p·size do not change."""
-    rng, p = random.Random(seed), list(probs)
+    """Flight phase: at most two probabilities stay strictly between 0 and 1; Σ p and Σ p·size do not change.
+
+    Every step follows a vector of the null space until one more probability is 0 or 1.
+    """
+    rng = random.Random(seed)
+    x, p = np.asarray(sizes, float), np.asarray(probs, float)
+    p[(p < EPS) | (p > 1 - EPS)] = np.round(p[(p < EPS) | (p > 1 - EPS)])
+    for k in np.argsort(-x, kind="stable")[:LARGEST]:
+        for _ in range(8):
+            free = np.flatnonzero((p > 0) & (p < 1))
+            if not 0 < p[k] < 1 or len(free) < 4:
+                break
+            a = np.stack([np.ones(len(free)), x[free] / (x[free].max() or 1)])
+            one = (free == k).astype(float)
+            u = one - a.T @ np.linalg.lstsq(a @ a.T, a @ one, rcond=None)[0]
+            u[np.abs(u) < 1e-12] = 0
+            if not u.any():
+                break
+            q = p[free] + _step(p[free], u, rng) * u
+            p[free] = np.where(q < EPS, 0.0, np.where(q > 1 - EPS, 1.0, q))
+    p, sizes = p.tolist(), x.tolist()
     work: list[int] = []
-    for k in range(len(p)):
-        if not EPS < p[k] < 1 - EPS:
-            p[k] = float(round(p[k]))
+    for k in np.argsort(-x, kind="stable").tolist():
+        if not 0 < p[k] < 1:
             continue
         work.append(k)
         if len(work) < 3:
@@ -56,9 +77,7 @@ def fly(sizes: list[float], probs: list[float], seed: int) -> list[float]:
         u = [b - c, c - a, a - b]          # the null vector of rows (1, 1, 1) and (a, b, c)
         if not any(u):
             u = [1.0, -1.0, 0.0]
-        up = min((1 - p[i]) / d if d > 0 else p[i] / -d for i, d in zip(work, u) if d)
-        down = min(p[i] / d if d > 0 else (1 - p[i]) / -d for i, d in zip(work, u) if d)
-        step = up if rng.random() * (up + down) < down else -down
+        step = _step([p[i] for i in work], u, rng)
         for i, d in zip(work, u):
             p[i] += step * d
             if p[i] < EPS or p[i] > 1 - EPS:
@@ -67,6 +86,13 @@ def fly(sizes: list[float], probs: list[float], seed: int) -> list[float]:
     return p
 
 
+def _step(p, u, rng: random.Random) -> float:
+    """Up or down along u to the first bound, drawn so that every probability keeps its mean."""
+    up = min((1 - q) / d if d > 0 else q / -d for q, d in zip(p, u) if d)
+    down = min(q / d if d > 0 else (1 - q) / -d for q, d in zip(p, u) if d)
+    return up if rng.random() * (up + down) < down else -down
+
+
 def land(sizes: list[float], probs: list[float]) -> list[float]:
     """Landing phase: round the open probabilities so that the words come nearest to their expectation, then the documents."""
     p = list(probs)
@@ -80,7 +106,7 @@ def land(sizes: list[float], probs: list[float]) -> list[float]:
 
 
 def _flight(last: bool):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "size"], kind="stable", na_position="last").reset_index(drop=True)
         sizes = [float(x) for x in rows["size"]]
         p = fly(sizes, rows["p"].tolist(), int(key[0]) * 1_000_003 + int(key[1]))
