@@ -20,8 +20,9 @@ STEPS = 4
 CUTOFF = 60.0
 #: Least standard deviation of each statistic, so that groups in which a statistic is constant have an estimate too.
 FLOORS = (0.08, 0.12, 0.12, 0.10)
-#: Groups with fewer rows are estimated together with the other small groups of their language, then with all others.
-MIN_GROUP = 64
+#: Groups with fewer rows, or with fewer than 1 / MAX_GROUPS of all, are estimated together with the other small groups of
+#: their language, then with all others. So there are at most 2 * MAX_GROUPS + 1 estimates, which are broadcast.
+MIN_GROUP, MAX_GROUPS = 64, 4096
 #: Distance bins per unit of ln(1 + d²).
 BINS = 64
 
@@ -100,7 +101,7 @@ def estimate(m: DataFrame, factor: float) -> DataFrame:
 
 def concentrate(rows: DataFrame, current: DataFrame) -> DataFrame:
     """One concentration step: the nearest `PART` of each group's rows under `current` give the next estimate."""
-    placed = squared_distance(rows.join(current, "key")).withColumn("bin", F.expr(f"CAST(floor(ln(1 + d2) * {BINS}) AS INT)"))
+    placed = squared_distance(rows.join(F.broadcast(current), "key")).withColumn("bin", F.expr(f"CAST(floor(ln(1 + d2) * {BINS}) AS INT)"))
     binned = moments(placed, ["key", "bin"], [f"m{i}" for i in range(DIMENSIONS)])
     by_bin = W.partitionBy("key").orderBy("bin")
     near = (binned.withColumn("before", F.sum("n").over(by_bin) - F.col("n")).withColumn("all", F.sum("n").over(W.partitionBy("key")))
@@ -110,37 +111,32 @@ def concentrate(rows: DataFrame, current: DataFrame) -> DataFrame:
     return estimate(sums, CONSISTENCY)
 
 
-def coded(stats: DataFrame) -> DataFrame:
-    """`stats` with _l and _ls, names of its language and of language and source; null is a value of its own."""
-    code = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    return stats.withColumn("_l", code("lang")).withColumn("_ls", F.concat_ws("\x1f", code("lang"), code("source")))
-
+def keyed(rows: DataFrame, least: int, of: DataFrame) -> DataFrame:
+    """`rows` with key, the name of their group; null is a value of its own.
 
-def grouped(stats: DataFrame) -> DataFrame:
-    """The rows an estimate is made from, with key and x..: language and source, or a wider key for small groups."""
-    rows = coded(stats.where("NOT base_failed"))
-    sizes = rows.groupBy("_l", "_ls").agg(F.count(F.lit(1)).alias("n"))
-    fine = F.col("n") >= MIN_GROUP
-    small = F.sum(F.when(~fine, F.col("n")).otherwise(0)).over(W.partitionBy("_l"))
-    keys = sizes.select("_ls", F.when(fine, F.col("_ls")).when(small >= MIN_GROUP, F.col("_l")).otherwise(F.lit("*")).alias("key"))
-    return rows.join(keys, "_ls").select("key", *[F.expr(v).alias(f"x{i}") for i, v in enumerate(VECTOR)])
+    Groups of language and source with `least` rows of `of` are named by both, the others by their language where
+    together they have as many, else "*". As `least` is at least 1 / MAX_GROUPS of all rows, both lists are short and
+    broadcast.
+    """
+    code = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
+    both = F.concat_ws("\x1f", code("lang"), code("source"))
+    sizes = of.groupBy(code("lang").alias("_l"), both.alias("_ls")).agg(F.count(F.lit(1)).alias("n"))
+    fine = sizes.where(F.col("n") >= least).select("_ls", F.col("_ls").alias("_fine"))
+    wide = sizes.where(F.col("n") < least).groupBy("_l").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("_l", F.col("_l").alias("_wide"))
+    return (rows.withColumn("_l", code("lang")).withColumn("_ls", both).join(F.broadcast(fine), "_ls", "left").join(F.broadcast(wide), "_l", "left")
+            .withColumn("key", F.coalesce("_fine", "_wide", F.lit("*"))).drop("_l", "_ls", "_fine", "_wide"))
 
 
 def distances(stats: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Every row of `stats` with key, x.. and d2 under its group's estimate; d2 is null where base_failed."""
-    rows = grouped(stats)
+    """Every row of `stats` with key and d2 under its group's estimate; d2 is null where base_failed or without an estimate."""
+    sound = stats.where("NOT base_failed")
+    named = keyed(stats, max(MIN_GROUP, sound.count() // MAX_GROUPS), sound)
+    vectors = named.select("*", *[F.when(~F.col("base_failed"), F.expr(v)).alias(f"x{i}") for i, v in enumerate(VECTOR)])
+    rows = cut_lineage(vectors.where("NOT base_failed").select("key", *[f"x{i}" for i in range(DIMENSIONS)]))
     current = estimate(moments(rows, ["key"], ["0D"] * DIMENSIONS), 1.0)
     for _ in range(steps):
         current = concentrate(rows, current)
-    wide = coded(stats)
-    # The key of a row follows from its language and source: the finest of the three that has an estimate.
-    named = current.select(F.col("key"), *[f"m{i}" for i in range(DIMENSIONS)], *[f"l{i}{j}" for i, j in PAIRS])
-    choice = (wide.select("_ls", "_l").distinct().withColumn("_k", F.explode(F.array(F.struct(F.lit(0).alias("o"), F.col("_ls").alias("key")),
-              F.struct(F.lit(1).alias("o"), F.col("_l").alias("key")), F.struct(F.lit(2).alias("o"), F.lit("*").alias("key")))))
-              .select("_ls", "_k.o", "_k.key").join(named, "key").groupBy("_ls").agg(F.min_by(F.struct("key", *named.columns[1:]), "o").alias("e")))
-    joined = wide.join(choice, "_ls", "left").select(*stats.columns, "e.*")
-    vectors = joined.select("*", *[F.when(~F.col("base_failed"), F.expr(v)).alias(f"x{i}") for i, v in enumerate(VECTOR)])
-    return squared_distance(vectors)
+    return squared_distance(vectors.join(F.broadcast(current), "key", "left"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
