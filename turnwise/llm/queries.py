@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact, jaccard, licenses, mixing, repeats, rules, sharding
+from . import bpe, exact, jaccard, licenses, mixing, pseudonyms, quality, repeats, rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,17 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(repeats.remove_repeats(documents(spark, sf_dir)))
 
 
+@query
+def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(documents(spark, sf_dir))
+
+
+@query
+def op5_pairwise_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.classify(docs, quality.train(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")))
+
+
 @query
 def op6_count_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir))
