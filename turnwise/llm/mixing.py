@@ -11,7 +11,7 @@ import random
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import cut_lineage
 
@@ -115,6 +115,11 @@ def _flight(last: bool):
     return run
 
 
+def words(text: Column) -> Column:
+    """Number of words of a whole text; null has none."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, block: int = BLOCK) -> DataFrame:
     """One row per row of `docs` (doc_id, source, text): doc_id, source, size, source_size, target, copies, taken.
 
@@ -124,8 +129,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST,
     so reruns agree. No rows give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
-    rows = cut_lineage(docs.select("doc_id", "source", size.alias("size")))
+    rows = cut_lineage(docs.select("doc_id", "source", words(F.col("text")).alias("size")))
     totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: map them to fewer before mixing")
@@ -162,3 +166,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST,
         out = out.unionByName(more)
     copies = F.col("whole") + F.col("p").cast("int")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` as often as `mix` takes them, all columns as they were.
+
+    Rows that share id, source and size share their copies as evenly as whole copies allow.
+    """
+    taken = (mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+             .select(F.xxhash64("doc_id", "source", "size").alias("_k"), F.struct("doc_id", "source", "size").alias("_of"), "_copies", "_rows"))
+    rows = docs.select(F.struct("*").alias("_row"), F.struct("doc_id", "source", words(F.col("text")).alias("size")).alias("_is"))
+    rows = rows.withColumn("_h", F.xxhash64("_is.doc_id", "_is.source", "_is.size"))
+    joined = rows.join(taken, (F.col("_h") == F.col("_k")) & F.col("_is").eqNullSafe(F.col("_of")))
+    number = F.row_number().over(W.partitionBy("_h", "_is").orderBy(F.xxhash64("_row.text")))
+    copies = F.floor(F.col("_copies") / F.col("_rows")) + F.when(number <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
+    return joined.select("_row", copies.cast("int").alias("_n")).where("_n > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")

@@ -7,6 +7,8 @@ Mahalanobis distance under the last estimate is beyond the cutoff.
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import cut_lineage
@@ -51,11 +53,11 @@ def repeat_words(words: str) -> Column:
     return F.expr(f"CASE WHEN size({words}) < 9 THEN 0L ELSE {with_h(f'CASE WHEN size(array_distinct(_h)) = size(_h) THEN 0L ELSE {with_s} END', hashes)} END")
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the counts of the rules and base_failed per row of `docs`, in one pass without a shuffle."""
-    parts = docs.select("doc_id", "lang", "source", *text_statistics(F.col("text")))
+def statistics(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The `carried` columns, lang, source, the counts of the rules and base_failed per row of `docs`, in one pass without a shuffle."""
+    parts = docs.select(*carried, "lang", "source", *text_statistics(F.col("text")))
     counted = parts.select(
-        "doc_id", "lang", "source", F.size("_words").cast("bigint").alias("n_words"), F.char_length(F.array_join("_words", "")).cast("bigint").alias("word_chars"), "n_symbols",
+        *carried, "lang", "source", F.size("_words").cast("bigint").alias("n_words"), F.char_length(F.array_join("_words", "")).cast("bigint").alias("word_chars"), "n_symbols",
         F.size("_lines").cast("bigint").alias("n_lines"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         repeat_words("_words").alias("n_repeat_words"))
     return counted.withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
@@ -127,16 +129,34 @@ def keyed(rows: DataFrame, least: int, of: DataFrame) -> DataFrame:
             .withColumn("key", F.coalesce("_fine", "_wide", F.lit("*"))).drop("_l", "_ls", "_fine", "_wide"))
 
 
-def distances(stats: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Every row of `stats` with key and d2 under its group's estimate; d2 is null where base_failed or without an estimate."""
+@dataclass
+class Estimates:
+    """What a corpus says of its groups: the rows that count, the least size of a group, mean and covariance factor by key."""
+    sound: DataFrame
+    least: int
+    by_key: DataFrame
+
+    def verdicts(self, stats: DataFrame) -> DataFrame:
+        """`stats` with distance (null where base_failed) and kept. No row is shuffled."""
+        vectors = vectors_of(keyed(stats, self.least, self.sound))
+        far = squared_distance(vectors.join(F.broadcast(self.by_key), "key", "left")).withColumnRenamed("d2", "distance")
+        return far.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF))
+
+
+def vectors_of(stats: DataFrame) -> DataFrame:
+    """`stats` with the statistic vector x.., null where base_failed."""
+    return stats.select("*", *[F.when(~F.col("base_failed"), F.expr(v)).alias(f"x{i}") for i, v in enumerate(VECTOR)])
+
+
+def fit(stats: DataFrame, steps: int = STEPS) -> Estimates:
+    """Minimum-covariance-determinant estimates from a written table of statistics."""
     sound = stats.where("NOT base_failed")
-    named = keyed(stats, max(MIN_GROUP, sound.count() // MAX_GROUPS), sound)
-    vectors = named.select("*", *[F.when(~F.col("base_failed"), F.expr(v)).alias(f"x{i}") for i, v in enumerate(VECTOR)])
-    rows = cut_lineage(vectors.where("NOT base_failed").select("key", *[f"x{i}" for i in range(DIMENSIONS)]))
+    least = max(MIN_GROUP, sound.count() // MAX_GROUPS)
+    rows = cut_lineage(vectors_of(keyed(sound, least, sound)).select("key", *[f"x{i}" for i in range(DIMENSIONS)]))
     current = estimate(moments(rows, ["key"], ["0D"] * DIMENSIONS), 1.0)
     for _ in range(steps):
         current = concentrate(rows, current)
-    return squared_distance(vectors.join(F.broadcast(current), "key", "left"))
+    return Estimates(sound, least, cut_lineage(current))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -147,6 +167,11 @@ def judge(docs: DataFrame) -> DataFrame:
     source of its own. Repeated rows are judged each, alike; no rows give no rows; other columns are ignored.
     """
     stats = cut_lineage(statistics(docs))
-    far = distances(stats)
-    return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                      (~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= CUTOFF)).alias("kept"), F.col("d2").alias("distance"), "n_lines")
+    return fit(stats).verdicts(stats).select("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that `judge` keeps, all columns as they were. Texts are read twice and never shuffled."""
+    estimates = fit(cut_lineage(statistics(docs)))
+    rows = docs.select(F.struct("*").alias("_row"), "lang", "source", "text")
+    return estimates.verdicts(statistics(rows, ("_row",))).where("kept").select("_row.*")
