@@ -52,13 +52,25 @@ def test_latest_over_several_batches(spark, tmp_path):
     for rows in ([("a", 1, "x"), ("b", 2, "x")], [("a", 5, "y")], [("a", 3, "late"), ("c", 4, "z")]):
         spark.createDataFrame(rows, "k string, position long, v string").coalesce(1).write.mode("append").parquet(src_dir)
     src = jn.read_stream(spark, src_dir, "k string, position long, v string", files_per_batch=1)
-    q = jn.upsert_latest(src, ["k"], "position", str(tmp_path / "out"), "t")
-    jn.drain(q)
+    jn.drain(jn.upsert_latest(src, ["k"], "position", str(tmp_path / "out")))
     last = max(int(p.name[2:]) for p in (tmp_path / "out").iterdir() if p.name.startswith("v="))
     assert last == 2
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / f"v={last}")).select("k", "v").collect()) == [("a", "y"), ("b", "x"), ("c", "z")]
 
 
+def test_streams_go_on_after_a_stop(spark, tmp_path):
+    src_dir, out, done = (str(tmp_path / d) for d in ("in", "out", "done"))
+    schema = "k string, position long, v string"
+    for rows in ([("a", 1, "x"), ("b", 2, "x")], [("a", 5, "y")], [("a", 9, "new"), ("b", 1, "late"), ("c", 4, "z")], [("c", 3, "late"), ("d", 1, "w")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src_dir)
+        src = jn.read_stream(spark, src_dir, schema)
+        jn.drain(jn.upsert_latest(src, ["k"], "position", out))
+        jn.drain(jn.start(jn.accept_once(src.select("k"), ["k"]), done, lambda b, n: b.write.mode("overwrite").parquet(f"{done}/batch={n}")))
+    got = jn.versioned(spark, out, src.schema, "v").select("k", "v").collect()
+    assert sorted(map(tuple, got)) == [("a", "new"), ("b", "x"), ("c", "z"), ("d", "w")]
+    assert sorted(r.k for r in spark.read.parquet(done).collect()) == ["a", "b", "c", "d"]
+
+
 FACTS = "conversation_id string, subject string, relation string, position bigint, assertion_id string, value string"
 
 
@@ -69,7 +81,7 @@ def _facts(spark, path):
 
 
 def test_state_tables_over_batches(spark, tmp_path):
-    jn.drain(jn.supersede_foreach(_facts(spark, str(tmp_path / "in")), str(tmp_path / "out"), "s"))
+    jn.drain(jn.supersede_foreach(_facts(spark, str(tmp_path / "in")), str(tmp_path / "out")))
     got = sorted((r.assertion_id, r.superseded_by) for r in spark.read.parquet(str(tmp_path / "out" / "gone")).collect())
     assert got == [("a2", "a3"), ("a3", "a5")]
 

@@ -115,12 +115,9 @@ def test_probe_orders_ids_descending(spark):
     assert [r.raw_id for r in dg.standard_probe(q, e, sim, None, 3).orderBy("rank").collect()] == ["c", "b", "a"]
 
 
-def test_scorer_isolates_failing_rows(spark):
+def test_scorer_must_score_every_row(spark):
     df = spark.createDataFrame([(i,) for i in range(6)], "v int")
-
-    def scorer(pdf):
-        if (pdf["v"] == 3).any():
-            raise ValueError("bad row")
-        return pdf["v"] * 2.0
-
-    assert {r.v: r.score for r in score_pairs(df, scorer).collect()} == {0: 0.0, 1: 2.0, 2: 4.0, 3: None, 4: 8.0, 5: 10.0}
+    assert {r.v: r.score for r in score_pairs(df, lambda pdf: pdf["v"] * 2.0).collect()} == {i: 2.0 * i for i in range(6)}
+    for bad in (lambda pdf: pdf["v"].where(pdf["v"] != 3), lambda pdf: pdf["v"].iloc[:0], lambda pdf: 1 / 0):
+        with pytest.raises(Exception, match="PYTHON|score|ZeroDivision"):
+            score_pairs(df, bad).collect()

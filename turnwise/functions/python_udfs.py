@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.functions import pandas_udf
@@ -130,22 +131,19 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def score_pairs(pairs: DataFrame, scorer: Callable[[pd.DataFrame], "pd.Series"], out: str = "score", length: str | None = None) -> DataFrame:
     """Apply a batch scorer (cross-encoder, embedding, …) to pair rows as Arrow batches.
 
-    With `length`, rows of like size share a batch. A batch that fails is halved until the
-    failing rows stand alone; those get a null score instead of stopping the job.
+    With `length`, rows of like size share a batch. Every row must get a finite score: a scorer that fails, returns
+    another number of scores or a score that is not finite stops the job.
     """
     rows = pairs.sortWithinPartitions(length) if length else pairs
 
-    def attempt(pdf: pd.DataFrame) -> list:
-        try:
-            return list(scorer(pdf))
-        except Exception:
-            if len(pdf) <= 1:
-                return [None] * len(pdf)
-            half = len(pdf) // 2
-            return attempt(pdf.iloc[:half]) + attempt(pdf.iloc[half:])
+    def checked(pdf: pd.DataFrame) -> np.ndarray:
+        scores = np.asarray(scorer(pdf), dtype="float64")
+        if scores.shape != (len(pdf),) or not np.isfinite(scores).all():
+            raise ValueError("a scorer must return one finite score per row")
+        return scores
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(**{out: pd.Series(attempt(pdf), index=pdf.index, dtype="float64")})
+            yield pdf.assign(**{out: pd.Series(checked(pdf), index=pdf.index, dtype="float64")})
 
     return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField(out, DoubleType())]))

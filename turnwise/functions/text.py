@@ -22,14 +22,13 @@ MONTHS = {"jan": 1, "january": 1, "feb": 2, "february": 2, "mar": 3, "march": 3,
           "oct": 10, "october": 10, "nov": 11, "november": 11, "dec": 12, "december": 12}
 MONTH_NAMES = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october",
                "november", "december"]
-TASK_TYPES = {"t1_fact": "T1_fact", "t1_fact_qa": "T1_fact", "single_hop": "T1_fact", "multi_hop": "T1_fact",
-              "open_domain_qa": "T1_fact", "single_session_user": "T1_fact", "single_session_assistant": "T1_fact",
-              "single-session-user": "T1_fact", "single-session-assistant": "T1_fact", "t2_update": "T2_update",
-              "temporal": "T2_update", "adversarial": "T2_update", "temporal_update": "T2_update",
-              "knowledge-update": "T2_update", "t3_preference": "T3_preference",
-              "t3_preference_constraint": "T3_preference", "preference": "T3_preference",
-              "constraint": "T3_preference", "t4_agentic": "T4_agentic", "t4_agentic_resume": "T4_agentic",
-              "agentic": "T4_agentic", "task_resume": "T4_agentic"}
+SESSION_MAP_TASKS = {"t1_fact": "T1_fact", "t1_fact_qa": "T1_fact", "t2_update": "T2_update", "t3_preference": "T3_preference",
+                     "t3_preference_constraint": "T3_preference", "t4_agentic": "T4_agentic", "t4_agentic_resume": "T4_agentic", "single_hop": "T1_fact",
+                     "temporal": "T2_update", "multi_hop": "T1_fact", "open_domain_qa": "T1_fact", "adversarial": "T2_update"}
+HAYSTACK_TASKS = {"t1_fact": "T1_fact", "t1_fact_qa": "T1_fact", "single_session_user": "T1_fact", "single_session_assistant": "T1_fact",
+                  "single-session-user": "T1_fact", "single-session-assistant": "T1_fact", "t2_update": "T2_update", "temporal_update": "T2_update",
+                  "knowledge-update": "T2_update", "t3_preference": "T3_preference", "preference": "T3_preference", "constraint": "T3_preference",
+                  "t4_agentic": "T4_agentic", "agentic": "T4_agentic", "task_resume": "T4_agentic"}
 TRUE_WORDS = ["1", "true", "yes", "y", "ok", "是"]
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -363,9 +362,13 @@ def normalize_role(c) -> Column:
     return F.when(s == "system", "system").when(s.isin("assistant", "agent", "bot", "ai"), "assistant").otherwise("user")
 
 
-def task_type(c) -> Column:
-    table = F.create_map(*[F.lit(v) for kv in TASK_TYPES.items() for v in kv])
+def task_type(c, dataset: str) -> Column:
+    """A task's type under the names of a dataset: session_map, haystack, or generic, which passes names through."""
     raw = text_of(c)
+    if dataset == "generic":
+        return F.coalesce(F.nullif(strip(raw), F.lit("")), F.lit("generic"))
+    names = {"session_map": SESSION_MAP_TASKS, "haystack": HAYSTACK_TASKS}[dataset]
+    table = F.create_map(*[F.lit(v) for kv in names.items() for v in kv])
     return F.coalesce(F.try_element_at(table, F.lower(strip(raw))), F.nullif(raw, F.lit("")), F.lit("T1_fact"))
 
 

@@ -208,11 +208,11 @@ def _(t):
     return ct.select_answer(d).select("sample_id", "selection_reason", "final_answer")
 
 
-@plan("ctr_auto_verdict", f"""with {b.JUDGED}, x as (select sample_id, system, category, case when sample_id::int%4=0 then '' else lower(text[1:30]) end g, case when sample_id::int%3=0 then 'Not enough information.' else text end p from judged), n as (select *, {k.norm_answer('g')} ng, {k.norm_answer('p')} np_ from x)
+@plan("ctr_auto_verdict", f"""with {b.JUDGED}, x as (select sample_id, system, category, case when sample_id::int%4=0 then '' else lower(split_part(text,'.',1)) end g, case when sample_id::int%3=0 then 'Not enough information.' else text end p from judged), n as (select *, {k.norm_answer('g')} ng, {k.norm_answer('p')} np_ from x)
 select sample_id, case when category='5' and ng='' and np_='not enough information' then 'auto_empty_answer' when np_<>'' and ng<>'' and contains(np_,ng) then 'auto_strict' else 'judge' end as verdict_source from n""")
 def _(t):
     i = F.col("sample_id").cast("int")
-    g = F.when(i % 4 == 0, "").otherwise(F.lower(F.substring("text", 1, 30)))
+    g = F.when(i % 4 == 0, "").otherwise(F.lower(F.substring_index("text", ".", 1)))
     r = b.judged(t).select("sample_id", F.col("category").alias("question_type"), g.alias("gold_answer"), F.array(g).alias("candidates"), F.when(i % 3 == 0, "Not enough information.").otherwise(F.col("text")).alias("pred_answer"))
     return ct.auto_verdict(r).select("sample_id", "verdict_source")
 

@@ -285,14 +285,14 @@ def _(t):
     return a.join(links.select("raw_id", "chunk", F.col("assertion_ids").alias("unit_links")), ["raw_id", "chunk"]).select("raw_id", "chunk", "pos", "new_id", "unit_links")
 
 
-@plan("cmp_unit_links", f"""with {b.TURNS}, {b.FACTS}, un as (select raw_id, 'c'||((ord+1)//2) clause_id, 'u'||ord unit_id, retrieval_text span, list_distinct(list_filter(regexp_extract_all(lower(retrieval_text),'[\\p{{L}}\\p{{N}}\\p{{M}}_''-]+'), lambda x: length(x)>=4)) sw from facts where ord<=4),
- fa as (select assertion_id, raw_id, ord, case when ord%2=0 then 'c'||((ord+1)//2) end cid, list_distinct(list_filter(regexp_extract_all(lower(retrieval_text),'[\\p{{L}}\\p{{N}}\\p{{M}}_''-]+'), lambda x: length(x)>=4)) fw from facts where ord<=4),
+@plan("cmp_unit_links", f"""with {b.TURNS}, {b.FACTS}, un as (select raw_id, 'c'||((ord+1)//2) clause_id, 'u'||ord unit_id, retrieval_text span, list_distinct(list_filter(regexp_extract_all(lower(retrieval_text),'[\\p{{L}}\\p{{N}}\\p{{M}}_''-]+'), lambda x: length(x)>=4)) sw from facts),
+ fa as (select assertion_id, raw_id, ord, case when ord%2=0 then 'c'||((ord+1)//2) end cid, list_distinct(list_filter(regexp_extract_all(lower(retrieval_text),'[\\p{{L}}\\p{{N}}\\p{{M}}_''-]+'), lambda x: length(x)>=4)) fw from facts),
  cand as (select f.assertion_id, count(*) n, min(u.unit_id) u from fa f join un u on u.raw_id=f.raw_id and u.clause_id=f.cid group by 1),
  sc as (select f.assertion_id, u.unit_id, len(list_intersect(fw,sw)) o, len(list_intersect(fw,sw))/len(sw) s from fa f join un u on u.raw_id=f.raw_id where f.assertion_id not in (select assertion_id from cand) and len(list_intersect(fw,sw))>0),
  rk as (select *, row_number() over (partition by assertion_id order by s desc, o desc, unit_id desc) rn from sc), b1 as (select * from rk where rn=1), b2 as (select * from rk where rn=2)
 select f.raw_id, f.assertion_id, case when c.n=1 then c.u when b1.s>=0.5 and (b2.s is null or b1.s>b2.s or (b1.s=b2.s and b1.o>b2.o)) then b1.unit_id end as unit_id from fa f left join cand c using (assertion_id) left join b1 using (assertion_id) left join b2 using (assertion_id)""")
 def _(t):
-    f = b.facts(t).where("ord <= 4")
+    f = b.facts(t)
     cid = F.concat(F.lit("c"), F.floor((F.col("ord") + 1) / 2))
     units = f.select("raw_id", cid.alias("clause_id"), F.concat(F.lit("u"), "ord").alias("unit_id"), F.col("retrieval_text").alias("span"), F.lit("ASSERTED").alias("status"))
     facts = f.select("raw_id", "assertion_id", F.when(F.col("ord") % 2 == 0, F.array(cid)).otherwise(F.array().cast("array<string>")).alias("clause_ids"), F.col("retrieval_text").alias("text"))

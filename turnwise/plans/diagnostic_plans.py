@@ -7,13 +7,13 @@ from ..session import cut_lineage
 from . import bindings as b, sqlkit as k
 from .registry import plan
 
-# units: the first sentences of the gold turn; entries: the turns of the conversation near the question
-UNITS = """units as (select g.sample_id, 'u'||f.ord as unit_id, f.retrieval_text as unit from gold g join facts f on f.raw_id=g.raw_id and f.ord<=2),
+# units: the sentences of the gold turn; entries: the turns of the conversation near the question
+UNITS = """units as (select g.sample_id, 'u'||f.ord as unit_id, f.retrieval_text as unit from gold g join facts f on f.raw_id=g.raw_id),
  texts as (select q.sample_id, t.raw_id as text_id, t.text, t.pos-q.pos+1 as rank from questions q join turns t on t.conversation_id=q.conversation_id and t.pos between q.pos and q.pos+2)"""
 
 
 def units(t):
-    f = b.facts(t).where("ord <= 2").select("raw_id", "ord", "retrieval_text")
+    f = b.facts(t).select("raw_id", "ord", "retrieval_text")
     return b.gold(t).select("sample_id", "raw_id").join(f, "raw_id").select("sample_id", F.concat(F.lit("u"), "ord").alias("unit_id"), F.col("retrieval_text").alias("unit"))
 
 
@@ -41,7 +41,7 @@ def _(t):
     return dg.evidence_in_text(u)
 
 
-_FACTS4 = """f4 as (select q.sample_id, f.assertion_id fact_id, f.subject s, f.relation a, f.value v, f.raw_id from questions q join facts f on f.conversation_id=q.conversation_id and f.pos=q.pos+1 and f.ord<=2),
+_FACTS4 = """f4 as (select q.sample_id, f.assertion_id fact_id, f.subject s, f.relation a, f.value v, f.raw_id from questions q join facts f on f.conversation_id=q.conversation_id and f.pos=q.pos+1),
  forms as (select sample_id, fact_id, unnest([v, s||' '||a||' '||v, s||'''s '||a||' is '||v, a||': '||v]) u from f4)"""
 
 
@@ -51,7 +51,7 @@ _FACTS4 = """f4 as (select q.sample_id, f.assertion_id fact_id, f.subject s, f.r
 select f.sample_id, f.fact_id, exists(select 1 from c where c.sample_id=f.sample_id and c.fact_id=f.fact_id) as targeted, case when exists(select 1 from c where c.sample_id=f.sample_id and c.fact_id=f.fact_id)
  then exists(select 1 from c join h using (sample_id, fact_id, text_id) where c.sample_id=f.sample_id and c.fact_id=f.fact_id) else exists(select 1 from h where h.sample_id=f.sample_id and h.fact_id=f.fact_id) end as found from f4 f""")
 def _(t):
-    f = b.facts(t).where("ord <= 2").select("conversation_id", (F.col("pos") - 1).alias("pos"), "assertion_id", "subject", "relation", "value", "raw_id")
+    f = b.facts(t).select("conversation_id", (F.col("pos") - 1).alias("pos"), "assertion_id", "subject", "relation", "value", "raw_id")
     q = b.questions(t).select("sample_id", "conversation_id", "pos").join(f, ["conversation_id", "pos"])
     facts = q.select("sample_id", F.col("assertion_id").alias("fact_id"), "subject", F.col("relation").alias("attribute"), "value", F.array("raw_id").alias("source_turn_ids"))
     return dg.fact_in_entries(facts, texts(t).withColumn("source_ids", F.array("text_id")))
@@ -191,7 +191,7 @@ def prompt_rows(t):
 select sample_id, round(count(*) filter (bucket<>'not_injected')/count(*),6) as pcr, round(avg(place),6) as ps, string_agg(unit_id||'='||bucket, ',' order by unit_id) as buckets from j group by 1""")
 def _(t):
     each, per = dg.injection_metrics(units(t), prompt_rows(t))
-    lab = each.groupBy("sample_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("unit_id", F.lit("="), "bucket"))), ",").alias("buckets"))
+    lab = each.groupBy("sample_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_id", "bucket"))), lambda x: F.concat(x["unit_id"], F.lit("="), x["bucket"])), ",").alias("buckets"))
     return per.join(lab, "sample_id").select("sample_id", F.round("PCR", 6).alias("pcr"), F.round("PS", 6).alias("ps"), "buckets")
 
 

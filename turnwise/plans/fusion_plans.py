@@ -2,8 +2,9 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import fusion as fu
+from ..operators import corpus as cp, fusion as fu
 from . import bindings as b, sqlkit as k
+from .corpus_plans import _GIST
 from .registry import plan
 
 _L = f"with {b.LANES}, l as (select * from lanes where rank<=128)"
@@ -121,8 +122,8 @@ def _(t):
     return fu.prompt_sections(i)
 
 
-@plan("fus_page_replace", f"""with {b.QUESTIONS} select q.sample_id, t.pos as page, (t.pos between q.pos and q.pos+1) as in_full, case when t.pos between q.pos and q.pos+1 then t.text else {k.strip('t.text[1:40]')} end as line from questions q join turns t using (conversation_id)""")
+@plan("fus_page_replace", f"""with {b.QUESTIONS} select q.sample_id, t.pos as page, (t.pos between q.pos and q.pos+1) as in_full, case when t.pos between q.pos and q.pos+1 then t.text else {_GIST} end as line from questions q join turns t using (conversation_id)""")
 def _(t):
-    store = b.turns(t).select("conversation_id", F.col("pos").alias("page"), tx.strip(F.substring("text", 1, 40)).alias("gist"), F.col("text").alias("content"))
+    store = b.turns(t).select("conversation_id", F.col("pos").alias("page"), cp.gist("text").alias("gist"), F.col("text").alias("content"))
     sel = b.questions(t).select("sample_id", "conversation_id", F.explode(F.array("pos", F.col("pos") + 1)).alias("page"))
     return fu.page_prompt(store, sel)

@@ -1,9 +1,9 @@
 """Queries for hydration, reconciliation and source tracing."""
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
-from ..operators import joins as jn
-from ..operators.scale import top_k
+from ..operators import joins as jn, lanes as ln
 from . import bindings as b, sqlkit as k
+from .lane_plans import _TOV, raws
 from .registry import plan
 
 
@@ -163,19 +163,20 @@ def _(t):
     return jn.entry_source_ids(e).select("entry_id", F.array_join("source_ids", ",").alias("source_ids"))
 
 
-_RETR = """retr as (select q.sample_id, q.conversation_id, (e.pos-q.pos)*2+e.ord as rank, e.text_id, e.text, e.raw_id, q.query_text from questions q join entries e on e.conversation_id=q.conversation_id and e.pos between q.pos and q.pos+1 and e.ord<=2)"""
+_RETR = """retr as (select q.sample_id, q.conversation_id, row_number() over (partition by q.sample_id order by e.pos, e.ord) as rank, e.ord, e.text_id, e.text, e.raw_id, q.query_text
+  from questions q join entries e on e.conversation_id=q.conversation_id and e.pos between q.pos and q.pos+1)"""
 
 
 def retrieved(t):
-    """Each question retrieves the first two facts of its own turn and of the next one."""
+    """Each question retrieves the facts of its own turn and of the next one, in order."""
     q = b.questions(t).select("sample_id", "conversation_id", F.col("pos").alias("qpos"), F.col("query_text").alias("query"))
-    e = _batch_entries(t).where("ord <= 2").withColumn("qpos", F.explode(F.array("pos", F.col("pos") - 1)))
+    e = _batch_entries(t).withColumn("qpos", F.explode(F.array("pos", F.col("pos") - 1)))
     j = q.join(e, ["conversation_id", "qpos"])
-    return j.select("sample_id", "conversation_id", ((F.col("pos") - F.col("qpos")) * 2 + F.col("ord")).alias("rank"), F.col("text_id").alias("entry_id"), F.col("text").alias("content"),
+    return j.select("sample_id", "conversation_id", F.row_number().over(W.partitionBy("sample_id").orderBy("pos", "ord")).alias("rank"), F.col("text_id").alias("entry_id"), F.col("text").alias("content"),
                     F.when(F.col("ord") == 1, F.array(F.element_at(F.split("raw_id", "::"), 2))).otherwise(F.array().cast("array<string>")).alias("source_ids"), "query", "batch_ids", "raw_id")
 
 
-_OWN = "own as (select sample_id, rank, 0 p, 0 kk, 0::bigint a, 0 bb, string_split(raw_id,'::')[2] source_id from retr where rank%2=1)"
+_OWN = "own as (select sample_id, rank, 0 p, 0 kk, 0::bigint a, 0 bb, string_split(raw_id,'::')[2] source_id from retr where ord=1)"
 _SAID = f"""said as (select r.sample_id, r.rank, 1 p, 0 kk, case x.id when 'D1:1' then 0 when 'session_1' then 1 else 2 end::bigint a, 0 bb, x.id source_id from retr r join expl x on x.text_id=r.text_id
   union all select r.sample_id, r.rank, 1, 1, x.pos, 0, x.turn_id from retr r join pairs x on x.text_id=r.text_id union all select r.sample_id, r.rank, 1, 1, x.pos, 1, x.session_id from retr r join pairs x on x.text_id=r.text_id)"""
 _RBATCH = f"""rb as (select r.sample_id, r.rank, t.turn_id, t.pos, list_distinct(list_filter(string_split({_NU},' '), lambda x: x<>'')) a, list_distinct(list_filter(string_split({k.norm_source("r.query_text||' '||r.text")},' '), lambda x: x<>'')) m
@@ -194,7 +195,7 @@ def _(t):
 
 
 @plan("jn_trace_prompt", f"""with {b.QUESTIONS}, {b.FACTS}, {ENTRIES}, {_PAIRS}, {_EXPL}, {_RETR}, {_SAID},
- cited as (select sample_id, rank, 0 p, 0 kk, 0::bigint a, 0 bb, case when rank%2=1 then string_split(raw_id,'::')[2] else text_id end source_id from retr),
+ cited as (select sample_id, rank, 0 p, 0 kk, 0::bigint a, 0 bb, case when ord=1 then string_split(raw_id,'::')[2] else text_id end source_id from retr),
  u as (select * from cited union all select * from said), f as (select *, row_number() over (partition by sample_id, source_id order by rank, p, kk, a, bb) n from u)
 select sample_id, source_id, row_number() over (partition by sample_id order by rank, p, kk, a, bb, source_id)::bigint as rank from f where n=1""")
 def _(t):
@@ -222,19 +223,19 @@ def _(t):
                     j("missing_prompt_gold_ids").alias("missing_prompt"), "source_mapping_available")
 
 
-@plan("jn_expand_sources", f"""with {b.QUESTIONS}, {b.FACTS}, {ENTRIES}, {_RETR}, c as (select sample_id, string_split(raw_id,'::')[2] tid, min(rank) p from retr where rank%2=1 group by 1,2), n as (select sample_id, max(rank) n from retr group by 1)
+@plan("jn_expand_sources", f"""with {b.QUESTIONS}, {b.FACTS}, {ENTRIES}, {_RETR}, c as (select sample_id, string_split(raw_id,'::')[2] tid, min(rank) p from retr where ord=1 group by 1,2), n as (select sample_id, max(rank) n from retr group by 1)
 select sample_id, rank::bigint as rank, text_id as entry_id from retr union all select sample_id, (n + row_number() over (partition by sample_id order by p))::bigint, 'source:'||tid from c join n using (sample_id)""")
 def _(t):
     return jn.expand_sources(retrieved(t), b.turns(t))
 
 
-@plan("jn_raw_fallback", f"""with {b.QUESTIONS}, {b.FACTS}, {ENTRIES}, {_RETR}, c as (select distinct sample_id, string_split(raw_id,'::')[2] tid from retr where rank%2=1), n as (select sample_id, max(rank) n from retr group by 1),
- l as (select q.sample_id, t.turn_id, t.pos from questions q join turns t using (conversation_id)), x as (select l.*, row_number() over (partition by l.sample_id order by pos) rn from l anti join c on c.sample_id=l.sample_id and c.tid=l.turn_id)
+@plan("jn_raw_fallback", f"""with {b.QUESTIONS}, {b.FACTS}, {ENTRIES}, {_RETR}, c as (select distinct sample_id, string_split(raw_id,'::')[2] tid from retr where ord=1), n as (select sample_id, max(rank) n from retr group by 1),
+ {_TOV.format(q='questions', d='turns')}, l as (select q.sample_id, t.turn_id, t.pos, coalesce(o.score,0) s from questions q join turns t using (conversation_id) left join ot o on o.sample_id=q.sample_id and o.raw_id=t.raw_id),
+ x as (select l.*, row_number() over (partition by l.sample_id order by s desc, pos) rn from l anti join c on c.sample_id=l.sample_id and c.tid=l.turn_id)
 select sample_id, rank::bigint as rank, text_id as entry_id from retr union all select x.sample_id, (coalesce(n,0)+rn)::bigint, 'raw:'||turn_id from x left join n using (sample_id) where rn<=3""")
 def _(t):
-    lane = b.questions(t).select("sample_id", "conversation_id").join(
-        top_k(b.turns(t).select("conversation_id", "turn_id", "pos"), ["conversation_id"], [F.asc("pos")], 64, "rank"), "conversation_id").select("sample_id", "turn_id", "rank")
-    return jn.raw_fallback(retrieved(t), lane)
+    lane = ln.term_overlap(b.questions(t), raws(t))
+    return jn.raw_fallback(retrieved(t), lane.select("sample_id", F.element_at(F.split("raw_id", "::"), 2).alias("turn_id"), "rank"))
 
 
 @plan("jn_full_context_ref", """with r as (select source as system, lang as question_type, doc_id//20 as sample_id, max(quality)::double acc from labels join documents using (doc_id) group by 1,2,3),

@@ -363,7 +363,7 @@ _INC = """inc as (select 'o'||l_orderkey a, 'p'||l_partkey b from lineitem union
 
 
 def _order_seeds(t):
-    r = top_k(t.orders, ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 128)
+    r = top_k(t.orders, ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], None)
     return r.select(F.concat(F.lit("c"), "o_custkey").alias("sample_id"), F.concat(F.lit("o"), "o_orderkey").alias("raw_id"), (1 / (20 + F.col("rank"))).alias("score"))
 
 
@@ -434,16 +434,16 @@ def _(t):
     return _out(ln.page_lookup(b.questions(t), raws(t).where("pos % 2 = 1")))
 
 
-@plan("ln_hybrid", f"""with v as (select e.vec_id, label::varchar conversation_id, list_transform(embedding, lambda x: x::double) v, regexp_extract_all(lower(d.text),'[a-z0-9'']+')[1:60] w from embeddings e join documents d on d.doc_id=e.vec_id),
+@plan("ln_hybrid", f"""with v as (select e.vec_id, label::varchar conversation_id, list_transform(embedding, lambda x: x::double) v, regexp_extract_all(lower(d.text),'[a-z0-9'']+') w from embeddings e join documents d on d.doc_id=e.vec_id),
  tf as (select vec_id, term, count(*) tf from (select vec_id, unnest(w) term from v) group by all),
- q as (select 'q'||vec_id sample_id, conversation_id, v, w[1:12] w from v where vec_id%7=0), qt as (select sample_id, conversation_id, term, count(*) qtf from (select sample_id, conversation_id, unnest(w) term from q) group by all),
+ q as (select 'q'||vec_id sample_id, conversation_id, v, w from v where vec_id%7=0), qt as (select sample_id, conversation_id, term, count(*) qtf from (select sample_id, conversation_id, unnest(w) term from q) group by all),
  lex as (select sample_id, d.vec_id, sum(least(tf,qtf)) o from qt join v d using (conversation_id) join tf on tf.vec_id=d.vec_id and tf.term=qt.term group by 1,2),
  s as (select q.sample_id, 'd'||d.vec_id raw_id, d.vec_id ord, round(0.85*{_COS}+0.15*coalesce(o,0)/greatest(len(q.w),1),6) score from q join v d using (conversation_id) left join lex l on l.sample_id=q.sample_id and l.vec_id=d.vec_id)
 select * from (select sample_id, raw_id, score, row_number() over (partition by sample_id order by score desc, ord)::bigint rank from s) where rank<=128""")
 def _(t):
     e = t.embeddings.join(t.documents, F.col("doc_id") == F.col("vec_id")).select(
-        "vec_id", F.col("label").cast("string").alias("conversation_id"), F.col("embedding").cast("array<double>").alias("vec"), F.slice(tx.tokens("text", "plain"), 1, 60).alias("terms"))
-    q = e.where("vec_id % 7 = 0").select(F.concat(F.lit("q"), "vec_id").alias("sample_id"), "conversation_id", "vec", F.slice("terms", 1, 12).alias("terms"))
+        "vec_id", F.col("label").cast("string").alias("conversation_id"), F.col("embedding").cast("array<double>").alias("vec"), tx.tokens("text", "plain").alias("terms"))
+    q = e.where("vec_id % 7 = 0").select(F.concat(F.lit("q"), "vec_id").alias("sample_id"), "conversation_id", "vec", "terms")
     d = e.select(F.concat(F.lit("d"), "vec_id").alias("raw_id"), "conversation_id", F.col("vec_id").alias("ord"), "vec", "terms")
     return _out(ln.hybrid_lane(q, d))
 

@@ -112,7 +112,7 @@ def _(t):
 @plan("ext_stem")
 def _(t):
     from ..functions.python_udfs import stem
-    w = t.documents.where("lang = 'en'").select(F.explode(tx.tokens("text", "lexical")).alias("word")).distinct()
+    w = t.documents.select(F.explode(tx.tokens("text", "lexical")).alias("word")).distinct()
     return w.select("word", stem("word").alias("stem"))
 
 

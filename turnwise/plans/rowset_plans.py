@@ -62,10 +62,10 @@ def _(t):
     return rs.first_match(b.lanes(t).join(b.lane_gold(t), ["sample_id", "raw_id"]), ["sample_id", "lane"])
 
 
-@plan("win_failure_sample", f"""with {b.JUDGED}, r as (select *, row_number() over (partition by system, grade order by sample_id::int) rn from judged) select system, sample_id, grade as ok, rn::bigint as rn, text[1:200] as answer from r where rn <= case when grade then 2 else 3 end""")
+@plan("win_failure_sample", f"""with {b.JUDGED}, r as (select *, row_number() over (partition by system, grade order by sample_id::int) rn from judged) select system, sample_id, grade as ok, rn::bigint as rn, text as answer from r where rn <= case when grade then 15 else 40 end""")
 def _(t):
-    j = b.judged(t).select("system", "sample_id", F.col("grade").alias("answer_correct"), F.col("sample_id").cast("int").alias("position"), F.substring("text", 1, 200).alias("answer"))
-    return rs.failure_sample(j, failures=3, successes=2).select("system", "sample_id", "ok", F.col("rn").cast("bigint").alias("rn"), "answer")
+    j = b.judged(t).select("system", "sample_id", F.col("grade").alias("answer_correct"), F.col("sample_id").cast("int").alias("position"), F.col("text").alias("answer"))
+    return rs.failure_sample(j, failures=40, successes=15).select("system", "sample_id", "ok", F.col("rn").cast("bigint").alias("rn"), "answer")
 
 
 @plan("win_session_sequence", f"with {b.TURNS} select conversation_id, session_id, min(pos) as first_pos, row_number() over (partition by conversation_id order by min(pos))::bigint as seq from turns group by 1,2")

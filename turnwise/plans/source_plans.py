@@ -26,19 +26,22 @@ def _(t):
 
 
 @plan("src_asset_dir", """
-with a as (select o_orderkey, count(*) n, count(*) filter (l_returnflag='R') r from orders join lineitem on l_orderkey=o_orderkey group by 1)
-select o_orderkey::varchar as sample_id, o_orderstatus as query, coalesce(n,0)::bigint as n_history, coalesce(n,0)::bigint as n_facts, coalesce(r,0)::bigint as n_relations
-from orders left join a using (o_orderkey)""")
+with a as (select l_orderkey, count(*) n, count(*) filter (l_returnflag='R') r from lineitem group by 1),
+h as (select l_orderkey, l_linenumber n, 'part '||l_partkey x, row_number() over (partition by l_orderkey order by l_linenumber, 'part '||l_partkey) i from lineitem)
+select o_orderkey::varchar as sample_id, o_orderstatus as query, coalesce(a.n,0)::bigint as n_history, coalesce(a.n,0)::bigint as n_facts, coalesce(r,0)::bigint as n_relations,
+ case when h.n%2=1 then 'L'||h.n else 'turn_'||i end as turn_id, case when h.n is null then null when h.n%5=0 then '' else 's1' end as session_id, case when h.n%3=0 then 'unknown' when h.n is not null then 'user' end as speaker, x as text, h.n as turn_index
+from orders left join a on a.l_orderkey=o_orderkey left join h on h.l_orderkey=o_orderkey""")
 def _(t):
+    n = F.col("l_linenumber")
     li = t.lineitem.select(F.col("l_orderkey").cast("string").alias("parent_id"), "l_linenumber", "l_partkey", "l_returnflag")
-    turn = F.struct(F.concat(F.lit("t"), "l_linenumber").alias("turn_id"), F.lit("s1").alias("session_id"), F.lit("user").alias("speaker"),
-                    F.concat(F.lit("part "), "l_partkey").alias("text"), F.col("l_linenumber").alias("turn_index"))
+    turn = F.struct(n.alias("turn_index"), F.when(n % 2 == 1, F.concat(F.lit("L"), n)).alias("id"), F.when(n % 5 != 0, "s1").alias("session_id"), F.when(n % 3 != 0, "user").alias("role"),
+                    F.concat(F.lit("part "), "l_partkey").alias("content"))
     documents = li.groupBy(F.col("parent_id").alias("doc_id")).agg(F.array_sort(F.collect_list(turn)).alias("history"))
     facts = li.select("parent_id", F.col("l_partkey").alias("value"))
     rel = li.where("l_returnflag = 'R'").select("parent_id", "l_partkey")
     qa = t.orders.select(F.col("o_orderkey").cast("string").alias("sample_id"), F.col("o_orderkey").cast("string").alias("parent_id"), F.col("o_orderstatus").alias("query"))
-    samples, _, _, _ = rd.load_assets(documents, qa, facts, rel)
-    return samples.drop("parent_id")
+    samples, turns, _, _ = rd.load_assets(documents, qa, facts, rel)
+    return samples.join(turns, "parent_id", "left").drop("parent_id")
 
 
 def _session_records(t):
@@ -71,25 +74,36 @@ def _(t):
 
 
 def _haystack_records(t):
-    turn = F.struct("idx", F.when(F.col("idx") % 2 == 1, F.col("speaker")).alias("role"), F.when(F.col("idx") % 2 == 0, F.col("speaker")).alias("speaker"),
-                    F.when(F.col("idx") % 2 == 1, F.col("text")).alias("content"), F.when(F.col("idx") % 2 == 0, F.col("text")).alias("text"),
-                    (F.col("pos") % 3 == 0).alias("has_answer"))
-    s = b.turns(t).groupBy("conversation_id", "session_no", "session_id").agg(F.array_sort(F.collect_list(turn)).alias("ts"), F.min("timestamp").alias("d"))
-    arr = F.to_json("ts")
-    body = F.when(F.col("session_no") % 2 == 1, arr).otherwise(F.concat(F.lit('{"messages":'), arr, F.lit("}")))
-    ids = F.when(F.col("session_no") % 2 == 1, F.concat(F.lit('["'), "session_id", F.lit('"]'))).otherwise("[]")
+    """One record per session, with every form a session, a turn and a name may take."""
+    n, m, alias = F.col("idx"), F.col("session_no") % 4, F.col("idx") % 4
+    said = F.when((F.col("session_no") % 3 == 0) & (n == 2), F.lit(" \n ")).otherwise(F.col("text"))
+    who = lambda k: F.when(alias == k, F.col("speaker"))
+    obj = F.to_json(F.struct(who(0).alias("role"), who(1).alias("speaker"), who(2).alias("author"), F.when(alias == 0, said).alias("content"), F.when(alias == 1, said).alias("text"),
+                             F.when(alias == 2, said).alias("message"), F.when(alias == 3, said).alias("utterance"), (F.col("pos") % 3 == 0).alias("has_answer")))
+    text = F.to_json(F.array(said))
+    one = F.when((m == 3) & (n % 2 == 0), F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(obj)
+    s = b.turns(t).groupBy("conversation_id", "session_no", "session_id").agg(F.array_sort(F.collect_list(F.struct("idx", one.alias("j")))).alias("ts"), F.min("timestamp").alias("d"))
+    arr = F.concat(F.lit("["), F.array_join(F.transform("ts", lambda x: x["j"]), ","), F.lit("]"))
+    keyed = F.array_join(F.transform("ts", lambda x: F.concat(F.lit('"k'), x["idx"], F.lit('":'), x["j"])), ",")
+    body = (F.when(m == 1, F.concat(F.lit('{"id":" own-'), "session_no", F.lit('","dialogue":3,"messages":'), arr, F.lit("}")))
+            .when(m == 2, F.concat(F.lit('{"session":{'), keyed, F.lit("}}"))).otherwise(arr))
+    ids = F.when(m < 2, F.concat(F.lit('["'), "session_id", F.lit('"]'))).when(m == 3, F.lit('[""]')).otherwise("[]")
     return s.select(F.concat(F.lit('{"question_id":"'), F.concat_ws("-", "conversation_id", "session_no"), F.lit('","haystack_session_ids":'), ids,
                              F.lit(',"haystack_dates":["'), "d", F.lit('"],"haystack_sessions":['), body, F.lit("]}")).alias("value"))
 
 
-@plan("src_longmem_turn", f"""with {b.TURNS} select conversation_id||'-'||session_no as sample_id, 'session_1' as session_id, timestamp,
- (idx-1)::bigint as turn_index, 'session_1:turn_'||(idx-1) as turn_id, 'session_1_'||idx as official_turn_id, speaker, {k.strip('text')} as text, pos%3=0 as has_answer from turns""")
+_HAYSTACK = f"""{b.TURNS}, hs as (select *, min(timestamp) over (partition by conversation_id, session_no) d, session_no%4=3 and idx%2=0 as plain, {k.norm('text')} x from turns),
+ hay as (select conversation_id||'-'||session_no as sample_id, case session_no%4 when 0 then session_id when 1 then 'own-'||session_no else 'session_0' end as session_id, {k.norm('d')} as timestamp, (idx-1)::bigint as turn_index,
+  case when plain or idx%4=3 then null else speaker end as role, x as text, pos%3=0 and not plain as has_answer from hs where x<>'' and not (session_no%3=0 and idx=2))"""
+
+
+@plan("src_longmem_turn", f"""with {_HAYSTACK} select sample_id, session_id, timestamp, turn_index, session_id||':turn_'||turn_index as turn_id, session_id||'_'||(turn_index+1) as official_turn_id, coalesce(role,'unknown') as speaker, text, has_answer from hay""")
 def _(t):
     return rd.load_haystack(_haystack_records(t), "turn").drop("s_no").withColumn("turn_index", F.col("turn_index").cast("bigint"))
 
 
-@plan("src_longmem_session", f"""with {b.TURNS} select conversation_id||'-'||session_no as sample_id, 'session_1' as session_id, min(timestamp) as timestamp,
- string_agg(speaker||': '||{k.strip('text')}, chr(10) order by idx) as text, bool_or(pos%3=0) as has_answer, count(*)::bigint as n_turns from turns group by conversation_id, session_no""")
+@plan("src_longmem_session", f"""with {_HAYSTACK} select sample_id, session_id, timestamp, string_agg(coalesce(role||': ','')||text, chr(10) order by turn_index) as text, bool_or(has_answer) as has_answer, count(*)::bigint as n_turns
+ from hay group by 1,2,3""")
 def _(t):
     return rd.load_haystack(_haystack_records(t), "session").drop("s_no")
 
@@ -102,17 +116,26 @@ def _(t):
     return rd.gold_ids(d, ["answer_session_ids", "meta_ids"]).select("o_orderkey", F.array_join("gold_ids", ",").alias("gold_ids"))
 
 
-@plan("src_generic", f"""select 'x'||conv_id||'-'||turn as sample_id, case turn%3 when 0 then 'session_1' when 1 then 'session_1' else 'sX' end as session_id,
- case when turn%3=1 then 'session_1:turn_0' else 'T'||turn end as turn_id, case when turn%3=1 then 'user' else role end as speaker, text, 'T1_fact' as task_type from conversations""")
+@plan("src_generic", f"""with g as (select *, turn%4 m, 'x'||conv_id||'-'||turn sid from conversations)
+select sid as sample_id, case m when 0 then 'temporal' when 1 then 'single_hop' when 2 then 'generic' else 'x' end as task_type, 'q'||turn as question, case m when 0 then 'a0' when 1 then 'a1' when 2 then 'a2' else '' end as answer,
+ session_id, turn_id, turn_index::int as turn_index, speaker, said as text
+from g, lateral (select * from (values (0, '', 'T'||turn, 0, role, text), (0, '', 'turn_2', 1, 'S', 'second'), (1, '', 'turn_1', 0, 'unknown', text), (1, '', 'turn_2', 1, 'unknown', 'x'),
+ (2, 'sX', 'turn_1', 0, role, text), (2, 'sX', 'turn_2', 1, 'unknown', 'str'), (2, 'own', 'turn_3', 7, 'unknown', 'z'), (3, 'sQ', 'Q', 0, 'unknown', text)) v(k, session_id, turn_id, turn_index, speaker, said) where k=m)""")
 def _(t):
-    c, m = t.conversations, F.col("turn") % 3
-    obj = F.to_json(F.struct(F.concat(F.lit("T"), "turn").alias("id"), F.col("role"), F.col("text").alias("content")))
-    hist = F.when(m == 0, F.concat(F.lit("["), obj, F.lit("]"))).when(m == 1, F.to_json(F.array("text"))).otherwise(F.concat(F.lit('{"sX":['), obj, F.lit("]}")))
-    key = F.when(m == 0, "history").when(m == 1, "turns").otherwise("conversation")
-    idk = F.when(m == 0, "sample_id").when(m == 1, "id").otherwise("question_id")
-    rec = F.concat(F.lit('{"'), idk, F.lit('":"x'), F.concat_ws("-", "conv_id", "turn"), F.lit('","query":"q","category":"single_hop","'), key, F.lit('":'), hist, F.lit("}"))
+    c, m = t.conversations, F.col("turn") % 4
+    text = F.substring(F.to_json(F.array("text")), F.lit(2), F.length(F.to_json(F.array("text"))) - 2)
+    sid = F.concat(F.lit("x"), F.concat_ws("-", "conv_id", "turn"))
+    said = F.to_json(F.struct(F.when(m == 0, F.concat(F.lit("T"), "turn")).alias("id"), F.when(m != 3, F.col("role")).alias("role"), F.col("text").alias("content"), F.when(m == 3, "Q").alias("turn_id")))
+    history = (F.when(m == 0, F.concat(F.lit('"history":['), said, F.lit(',{"text":"second","speaker":"S"}]'))).when(m == 1, F.concat(F.lit('"conversation_history":['), text, F.lit(',"x"]')))
+               .when(m == 2, F.concat(F.lit('"history":[],"conversation":{"sX":['), said, F.lit(',"str"],"sY":[{"text":"z","session_id":"own","turn_index":7}]}')))
+               .otherwise(F.concat(F.lit('"conversation":{"sZ":"no list","sQ":['), said, F.lit("]}"))))
+    names = F.to_json(F.struct(F.when(m == 0, sid).alias("sample_id"), F.when(m == 0, F.lit("other")).when(m != 2, sid).alias("question_id"), F.when(m == 1, F.lit("other")).when(m == 2, sid).alias("id"),
+                               F.when(m % 2 == 0, F.concat(F.lit("q"), "turn")).alias("question"), F.when(m % 2 == 1, F.concat(F.lit("q"), "turn")).alias("query"), F.when(m == 0, "a0").alias("answer"),
+                               F.when(m == 1, "a1").alias("gold_answer"), F.when(m == 2, "a2").alias("reference_answer"), F.when(m == 0, " temporal ").when(m == 3, "x").alias("task_type"),
+                               F.when(m == 1, "single_hop").alias("question_type"), F.lit("ignored").alias("category")))
+    rec = F.concat(F.substring(names, F.lit(1), F.length(names) - 1), F.lit(","), history, F.lit("}"))
     samples, turns = rd.load_generic(c.select(rec.alias("value")))
-    return turns.join(samples.select("sample_id", "task_type"), "sample_id").select("sample_id", "session_id", "turn_id", "speaker", "text", "task_type")
+    return samples.join(turns, "sample_id")
 
 
 @plan("src_prepare", f"""with {b.TURNS}, x as (select * from turns where {k.strip('text')}<>'')

@@ -356,13 +356,13 @@ def _(t):
     return t.conversations.select("conv_id", "turn", tx.normalize_role(said).alias("role"))
 
 
-@plan("txt_task_type", """select event_id, case event_type when 'view' then 'T1_fact' when 'click' then 'T2_update' when 'error' then 'T2_update'
- when 'purchase' then 'T3_preference' else 'signup' end as task_type from events""")
+@plan("txt_task_type", """select event_id, case event_type when 'view' then 'T1_fact' when 'click' then 'T2_update' when 'error' then 'T2_update' when 'purchase' then 'preference' else 'T1_fact' end as session_map,
+ case event_type when 'view' then ' Single_Hop ' when 'click' then 'temporal' when 'error' then 'ADVERSARIAL' when 'purchase' then 'T3_preference' else 'T1_fact' end as haystack,
+ case event_type when 'view' then 'Single_Hop' when 'click' then 'temporal' when 'error' then 'ADVERSARIAL' when 'purchase' then 'preference' else 'generic' end as generic from events""")
 def _(t):
     raw = (F.when(F.col("event_type") == "view", " Single_Hop ").when(F.col("event_type") == "click", "temporal")
-           .when(F.col("event_type") == "error", "ADVERSARIAL").when(F.col("event_type") == "purchase", "preference")
-           .otherwise(F.col("event_type")))
-    return t.events.select("event_id", tx.task_type(raw).alias("task_type"))
+           .when(F.col("event_type") == "error", "ADVERSARIAL").when(F.col("event_type") == "purchase", "preference"))
+    return t.events.select("event_id", *[tx.task_type(raw, d).alias(d) for d in ("session_map", "haystack", "generic")])
 
 
 @plan("txt_conversation_key", """select conv_id, turn, case turn % 4 when 0 then 'meta'||conv_id else 'c'||conv_id end as conversation_key from conversations""")

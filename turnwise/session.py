@@ -29,13 +29,16 @@ def local_session(app: str = "turnwise", cores: str | None = None) -> SparkSessi
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by spark.checkpoint.dir.
 
-    Only where the session names none (tests, laptops) is a scratch folder set.
+    A local session that names none gets one scratch folder for its lifetime; a cluster must name one.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named:
+        return named
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

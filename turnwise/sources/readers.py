@@ -95,37 +95,57 @@ def observation_index(rows: DataFrame) -> DataFrame:
     return f.select("conversation_id", F.explode(ids).alias("turn_id"), fact.alias("fact")).where(tx.strip(F.col("turn_id")) != "")
 
 
-_SESSION = "array<variant>"
+def _field(j, *names: str):
+    """First of the named fields of a JSON object that is neither null nor blank, white space collapsed."""
+    return F.coalesce(*[F.nullif(tx.normalize_text(F.get_json_object(j, f"$.{k}")), F.lit("")) for k in names])
+
+
+def _items(j):
+    """Members of a JSON array, or values of a JSON object, as JSON texts; else null."""
+    listed = F.when(F.startswith(F.ltrim(j), F.lit("[")), F.transform(F.from_json(j, "array<variant>"), lambda x: F.to_json(x)))
+    return F.coalesce(listed, F.when(F.startswith(F.ltrim(j), F.lit("{")), F.transform(F.map_values(F.from_json(j, "map<string,variant>")), lambda x: F.to_json(x))))
+
+
+def _is(j, opening: str):
+    return F.startswith(j, F.lit(opening))
+
+
+def _unquoted(j):
+    return F.from_json(F.concat(F.lit("["), j, F.lit("]")), "array<string>")[0]
 
 
 def load_haystack(rows: DataFrame, granularity: str = "turn") -> DataFrame:
     """Turns (or whole sessions) of question records with parallel session, id and date lists.
 
-    A session may be a list of turns or an object holding it under turns / messages; a turn
-    may name its fields role/speaker and content/text; missing ids are built from the place.
+    A session is a list of turns, an object holding a list or object of them, or a text; it is named by itself, by the id
+    list, or by its place from 0. A turn is a text or an object; blank ones are dropped but keep their number.
     """
     g = lambda k: F.get_json_object("value", f"$.{k}")
-    r = rows.select(g("question_id").alias("sample_id"), F.from_json(g("haystack_session_ids"), "array<string>").alias("ids"),
-                    F.from_json(g("haystack_dates"), "array<string>").alias("dates"), F.from_json(g("haystack_sessions"), _SESSION).alias("ss"))
-    s = r.select("sample_id", "ids", "dates", F.posexplode("ss").alias("s_no", "s"))
-    text = F.to_json("s")
-    body = F.when(F.startswith(text, F.lit("[")), text).otherwise(F.coalesce(
-        *[F.get_json_object(text, f"$.{k}") for k in ("turns", "messages", "dialogue", "history")]))
-    sid = F.coalesce(F.try_element_at("ids", F.col("s_no") + 1), F.concat(F.lit("session_"), F.col("s_no") + 1))
-    turn = "struct<role:string,speaker:string,content:string,text:string,has_answer:boolean>"
-    t = s.select("sample_id", sid.alias("session_id"), F.try_element_at("dates", F.col("s_no") + 1).alias("timestamp"), "s_no",
-                 F.posexplode(F.from_json(body, f"array<{turn}>")).alias("i", "t"))
-    say = F.coalesce("t.content", "t.text", F.lit(""))
-    who = F.coalesce(F.nullif("t.role", F.lit("")), F.nullif("t.speaker", F.lit("")), F.lit("unknown"))
-    flat = t.select("sample_id", "session_id", "timestamp", "s_no", F.col("i").alias("turn_index"),
-                    F.concat("session_id", F.lit(":turn_"), F.col("i")).alias("turn_id"), F.concat("session_id", F.lit("_"), F.col("i") + 1).alias("official_turn_id"),
-                    who.alias("speaker"), tx.strip(say).alias("text"), F.coalesce("t.has_answer", F.lit(False)).alias("has_answer"))
+    r = rows.select(F.coalesce(*[F.nullif(g(k), F.lit("")) for k in ("sample_id", "question_id", "id")]).alias("sample_id"), F.from_json(g("haystack_session_ids"), "array<string>").alias("ids"),
+                    F.from_json(g("haystack_dates"), "array<string>").alias("dates"), F.from_json(g("haystack_sessions"), "array<variant>").alias("ss"))
+    s = r.select("sample_id", "ids", "dates", F.posexplode("ss").alias("s_no", "s")).withColumn("s", F.to_json("s"))
+    held = F.coalesce(*[F.when(F.get_json_object("s", f"$.{k}").rlike(r"^\s*[\[{]"), F.get_json_object("s", f"$.{k}")) for k in ("session", "turns", "messages", "history", "dialogue")])
+    named = F.when(_is(F.col("s"), "{"), _field("s", "session_id", "id", "name"))
+    listed = F.nullif(tx.normalize_text(F.try_element_at("ids", F.col("s_no") + 1)), F.lit(""))
+    sid = F.coalesce(named, listed, F.concat(F.lit("session_"), "s_no"))
+    body = F.when(_is(F.col("s"), "["), _items(F.col("s"))).when(_is(F.col("s"), "{"), _items(held))
+    s = s.select("sample_id", sid.alias("session_id"), tx.normalize_text(F.try_element_at("dates", F.col("s_no") + 1)).alias("timestamp"), "s_no", "s", body.alias("body"))
+
+    def turn(j):
+        obj = _is(j, "{")
+        return F.struct(F.when(obj, _field(j, "role", "speaker", "author")).alias("role"),
+                        F.when(obj, _field(j, "content", "text", "message", "utterance")).when(_is(j, '"'), F.nullif(tx.normalize_text(_unquoted(j)), F.lit(""))).alias("text"),
+                        F.coalesce(F.when(obj, F.get_json_object(j, "$.has_answer")) == "true", F.lit(False)).alias("has_answer"))
+
     if granularity == "turn":
-        return flat
-    line = F.struct("turn_index", F.concat_ws(": ", "speaker", "text").alias("l"))
-    return flat.groupBy("sample_id", "session_id", "timestamp", "s_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]), "\n").alias("text"),
-        F.bool_or("has_answer").alias("has_answer"), F.count(F.lit(1)).alias("n_turns"))
+        t = s.select("sample_id", "session_id", "timestamp", "s_no", F.posexplode("body").alias("i", "j")).withColumn("t", turn(F.col("j"))).where(F.col("t.text").isNotNull())
+        return t.select("sample_id", "session_id", "timestamp", "s_no", F.col("i").alias("turn_index"), F.concat("session_id", F.lit(":turn_"), F.col("i")).alias("turn_id"),
+                        F.concat("session_id", F.lit("_"), F.col("i") + 1).alias("official_turn_id"), F.coalesce("t.role", F.lit("unknown")).alias("speaker"), "t.text", "t.has_answer")
+    said = F.filter(F.transform(F.coalesce("body", F.array().cast("array<string>")), turn), lambda x: x["text"].isNotNull())
+    lines = F.when(_is(F.col("s"), '"'), F.array(tx.normalize_text(_unquoted(F.col("s"))))).otherwise(
+        F.transform(said, lambda x: F.when(x["role"].isNotNull(), F.concat(x["role"], F.lit(": "), x["text"])).otherwise(x["text"])))
+    return s.select("sample_id", "session_id", "timestamp", "s_no", F.array_join(lines, "\n").alias("text"), F.exists(said, lambda x: x["has_answer"]).alias("has_answer"),
+                    F.size(lines).cast("bigint").alias("n_turns"))
 
 
 def gold_ids(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -141,29 +161,43 @@ def gold_turns(turns: DataFrame) -> DataFrame:
 
 
 def load_generic(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Samples and turns of loosely named records: aliases coalesced, history as list of objects, of strings, or a map."""
+    """Samples and turns of loosely named records: aliases coalesced, history as list of objects, of strings, or a map.
+
+    Turns are numbered through a record's whole history; a map names their sessions, which a turn may override.
+    """
     g = lambda *ks: F.coalesce(*[F.nullif(F.get_json_object("value", f"$.{k}"), F.lit("")) for k in ks])
-    samples = rows.select(g("sample_id", "id", "question_id").alias("sample_id"), g("question", "query", "input").alias("question"),
-                          g("answer", "gold_answer", "expected_answer").alias("answer"), tx.task_type(g("task_type", "question_type", "category")).alias("task_type"))
-    h = rows.select(g("sample_id", "id", "question_id").alias("sample_id"), g("history", "conversation", "turns", "messages").alias("h"))
+    sid = F.coalesce(g("sample_id", "question_id", "id"), F.lit("")).alias("sample_id")
+    answer = F.coalesce(F.get_json_object("value", "$.answer"), g("gold_answer", "reference_answer"), F.lit(""))
+    samples = rows.select(sid, F.coalesce(g("question", "query"), F.lit("")).alias("question"), answer.alias("answer"), tx.task_type(g("task_type", "question_type"), "generic").alias("task_type"))
+    full = lambda k: F.when(~F.regexp_replace(F.get_json_object("value", f"$.{k}"), r"\s", "").isin("[]", "{}", '""', ""), F.get_json_object("value", f"$.{k}"))
+    h = rows.select(sid, F.coalesce(*[full(k) for k in ("history", "conversation_history", "conversation")]).alias("h"))
     is_map = F.startswith(F.ltrim("h"), F.lit("{"))
-    sess = F.when(is_map, F.map_entries(F.from_json(F.when(is_map, F.col("h")), "map<string,array<variant>>"))).otherwise(
-        F.array(F.struct(F.lit("session_1").alias("key"), F.from_json(F.when(~is_map, F.col("h")), "array<variant>").alias("value"))))
-    t = h.select("sample_id", F.explode(sess).alias("e")).select("sample_id", F.col("e.key").alias("session_id"), F.posexplode("e.value").alias("i", "t"))
-    j = F.to_json("t")
-    obj = F.startswith(j, F.lit("{"))
-    f = lambda *ks: F.coalesce(*[F.nullif(F.get_json_object(j, f"$.{k}"), F.lit("")) for k in ks])
-    turns = t.select("sample_id", "session_id", F.col("i").alias("turn_index"),
-                     F.when(obj, f("turn_id", "id")).alias("given_id"), F.when(obj, f("speaker", "role")).otherwise("user").alias("speaker"),
-                     F.when(obj, f("text", "content", "utterance")).otherwise(F.variant_get("t", "$", "string")).alias("text"))
-    return samples, turns.withColumn("turn_id", F.coalesce("given_id", F.concat("session_id", F.lit(":turn_"), F.col("turn_index")))).drop("given_id")
+    none = F.lit(None).cast("string")
+    kept = lambda j: F.filter(_items(j), lambda x: _is(x, "{") | _is(x, '"'))
+    named = F.flatten(F.transform(F.map_entries(F.from_json(F.when(is_map, F.col("h")), "map<string,variant>")), lambda e: F.transform(
+        F.when(_is(F.to_json(e["value"]), "["), kept(F.to_json(e["value"]))).otherwise(F.array().cast("array<string>")), lambda x, i: F.struct(e["key"].alias("s"), i.alias("n"), x.alias("j")))))
+    plain = F.transform(_items(F.when(~is_map, F.col("h"))), lambda x: F.struct(none.alias("s"), F.lit(None).cast("int").alias("n"), x.alias("j")))
+    t = h.select("sample_id", F.posexplode(F.when(is_map, named).otherwise(plain)).alias("i", "e")).select("sample_id", "i", "e.s", "e.n", "e.j")
+    obj = _is(F.col("j"), "{")
+    f = lambda *ks: F.when(obj, F.coalesce(*[F.nullif(F.get_json_object("j", f"$.{k}"), F.lit("")) for k in ks]))
+    turns = t.select("sample_id", F.coalesce(f("session_id"), "s", F.lit("")).alias("session_id"), F.coalesce(f("turn_index").cast("int"), "n", "i").alias("turn_index"),
+                     F.coalesce(f("turn_id", "id"), F.concat(F.lit("turn_"), F.col("i") + 1)).alias("turn_id"), F.coalesce(f("speaker", "role"), F.lit("unknown")).alias("speaker"),
+                     F.coalesce(f("text", "content"), F.when(~obj, _unquoted(F.col("j"))), F.lit("")).alias("text"))
+    return samples, turns
 
 
 def load_assets(documents: DataFrame, qa: DataFrame, facts: DataFrame, relations: DataFrame):
-    """Samples and turns of the four-table layout; facts and relations stay child tables by parent."""
+    """Samples and turns of the four-table layout; facts and relations stay child tables by parent.
+
+    documents.history: array of structs that name some of turn_id or id, session_id, speaker or role, text or content,
+    turn_index; a turn without an id is named by its place from 1.
+    """
     d = documents.select(F.col("doc_id").alias("parent_id"), F.posexplode("history").alias("i", "h"))
-    turns = d.select("parent_id", F.coalesce("h.turn_id", F.concat(F.lit("turn_"), F.col("i"))).alias("turn_id"), F.col("h.session_id").alias("session_id"),
-                     F.col("h.speaker").alias("speaker"), tx.strip(tx.text_of(F.col("h.text"))).alias("text"), F.coalesce("h.turn_index", F.col("i")).alias("turn_index"))
+    fields = d.schema["h"].dataType.names
+    f = lambda *ks: F.coalesce(*[F.nullif(tx.text_of(F.col(f"h.{k}")), F.lit("")) for k in ks if k in fields], F.lit(None).cast("string"))
+    index = [F.col("h.turn_index")] if "turn_index" in fields else []
+    turns = d.select("parent_id", F.coalesce(f("turn_id", "id"), F.concat(F.lit("turn_"), F.col("i") + 1)).alias("turn_id"), F.coalesce(f("session_id"), F.lit("")).alias("session_id"),
+                     F.coalesce(f("speaker", "role"), F.lit("unknown")).alias("speaker"), F.coalesce(f("text", "content"), F.lit("")).alias("text"), F.coalesce(*index, F.col("i")).alias("turn_index"))
     known = documents.select(F.col("doc_id").alias("parent_id"), F.size("history").alias("n_history"))
     nf = facts.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n_facts"))
     nr = relations.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n_relations"))

@@ -1,19 +1,18 @@
 """Streams over append-only run journals: latest row per key, progress, accepted-once, conversation state, rates.
 
-Every stream keeps its progress in a checkpoint folder on shared storage, so a lost executor or a
-restart resumes where the last committed batch ended.
+Every stream keeps its progress beside its output (`progress_folder`), so a lost executor or a restart with the same
+output folder resumes where the last committed batch ended.
 """
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import text as tx
-from ..session import shared_dir
 
 JOURNAL = "position bigint, sample_id string, system string, latency double, error string, pred_answer string, incomplete_build boolean, tokens int"
 
@@ -26,8 +25,20 @@ def read_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet
     return reader.load(path)
 
 
-def checkpoint(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+def progress_folder(path: str) -> str:
+    """Where the stream that writes to `path` keeps its progress; readers of `path` pass over it."""
+    return f"{path.rstrip('/')}/_progress"
+
+
+def start(src: DataFrame, path: str, step: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
+    """Run all batches that are new since the last start with this `path` through step(batch, number)."""
+    return src.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", progress_folder(path)).trigger(availableNow=True).start()
+
+
+def versioned(spark: SparkSession, path: str, schema: StructType, part: str) -> DataFrame:
+    """The rows of the last batch folder `part`=n under `path`; none were written before the first batch."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField(part, IntegerType())])).parquet(path)
+    return rows.join(F.broadcast(rows.agg(F.max(part).alias(part))), part, "left_semi").drop(part)
 
 
 def drain(query: StreamingQuery) -> None:
@@ -43,10 +54,11 @@ def latest(src: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
     return src.groupBy(*keys).agg(F.max_by(body, position).alias("r")).select(*keys, "r.*")
 
 
-def upsert_latest(src: DataFrame, keys: Sequence[str], position: str, path: str, name: str) -> StreamingQuery:
+def upsert_latest(src: DataFrame, keys: Sequence[str], position: str, path: str) -> StreamingQuery:
     """Latest row per key as versioned snapshots: batch n is merged with snapshot n-1 into folder n.
 
-    A batch that is retried rewrites its own folder only, so the result is exactly-once.
+    A batch that is retried rewrites its own folder only, so the result is exactly-once. Batch numbers go on over
+    restarts, as progress is kept under `path`; `versioned` reads the last snapshot.
     """
     from ..operators.rowset import latest_wins
 
@@ -56,7 +68,7 @@ def upsert_latest(src: DataFrame, keys: Sequence[str], position: str, path: str,
             rows = batch.sparkSession.read.schema(src.schema).parquet(f"{path}/v={n - 1}").select(*src.columns).unionByName(rows)
         latest_wins(rows, keys, position).select(*src.columns).write.mode("overwrite").parquet(f"{path}/v={n}")
 
-    return src.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint(src.sparkSession, name)).trigger(availableNow=True).start()
+    return start(src, path, merge)
 
 
 def progress(src: DataFrame) -> DataFrame:
@@ -65,8 +77,14 @@ def progress(src: DataFrame) -> DataFrame:
     return src.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def accept_once(src: DataFrame, keys: Sequence[str], ts: str, delay: str = "7 days") -> DataFrame:
-    """One accepted row per key across batches and restarts; keys are forgotten once the watermark passes."""
+def accept_once(src: DataFrame, keys: Sequence[str], ts: str | None = None, delay: str | None = None) -> DataFrame:
+    """One accepted row per key across batches and restarts.
+
+    The state holds every key ever accepted. Only a caller who knows that keys do not come back later than `delay` after
+    their time `ts` may give both, to let the state forget them.
+    """
+    if delay is None:
+        return src.dropDuplicates(list(keys))
     return src.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
@@ -106,7 +124,7 @@ def supersede_stream(src: DataFrame) -> DataFrame:
     return keyed.transformWithStateInPandas(CurrentFacts(), STATE_OUT, "Append", "None")
 
 
-def supersede_foreach(src: DataFrame, path: str, name: str) -> StreamingQuery:
+def supersede_foreach(src: DataFrame, path: str) -> StreamingQuery:
     """The same state kept as versioned tables: the last fact per key, and the supersessions of each batch.
 
     Needs no state store beyond the written folders; a retried batch rewrites its own folders.
@@ -128,12 +146,15 @@ def supersede_foreach(src: DataFrame, path: str, name: str) -> StreamingQuery:
         body = F.struct("position", "assertion_id", "value")
         rows.groupBy(*keys).agg(F.max_by(body, "position").alias("r")).select(*keys, "r.*").select(*cols).write.mode("overwrite").parquet(f"{path}/last/v={n}")
 
-    return src.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint(src.sparkSession, name)).trigger(availableNow=True).start()
+    return start(src, path, step)
 
 
-def windowed_rates(src: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Error rate and mean latency by event-time window and system. src: ts, system, latency, error"""
-    rows = src.withWatermark("ts", delay) if src.isStreaming else src
+def windowed_rates(src: DataFrame, width: str = "1 hour", delay: str | None = None) -> DataFrame:
+    """Error rate and mean latency by event-time window and system. src: ts, system, latency, error
+
+    Late rows count unless `delay` says how late a row may be; a stream with a delay forgets closed windows.
+    """
+    rows = src.withWatermark("ts", delay) if delay is not None else src
     return rows.groupBy(F.window("ts", width).alias("w"), "system").agg(
         F.count(F.lit(1)).alias("n"), F.avg((tx.strip(tx.text_of("error")) != "").cast("double")).alias("error_rate"), F.avg("latency").alias("avg_latency")).select(
         F.col("w.start").alias("start"), "system", "n", "error_rate", "avg_latency")
