@@ -372,13 +372,24 @@ def _(t):
     return ln.one_hop(_order_seeds(t), ln.adjacency(_incidence(t)), 0.72).withColumn("score", F.round("score", 6))
 
 
-@plan("jn_two_hop", f"""with {_INC}, adds as (select s.sample_id, a.b raw_id, s.score*0.75 x from seeds s join adj a on a.a=s.raw_id
-  union all select s.sample_id, s.raw_id, s.score*0.08 from seeds s join adj a on a.a=s.raw_id)
-select sample_id, raw_id, round(sum(x),6) as score from adds group by 1,2""")
+def _typed(t):
+    """Orders meet their parts by two edge types, parts meet suppliers by an antecedent edge."""
+    kind = F.when(F.col("l_linenumber") % 2 == 1, "OCCURRENCE").otherwise("CONFIRMATION")
+    pair = F.array(F.struct(F.concat(F.lit("o"), "l_orderkey").alias("s"), F.concat(F.lit("p"), "l_partkey").alias("d"), kind.alias("k")),
+                   F.struct(F.concat(F.lit("p"), "l_partkey").alias("s"), F.concat(F.lit("s"), "l_suppkey").alias("d"), F.lit("ANTECEDENT").alias("k")))
+    return t.lineitem.select(F.explode(pair).alias("x")).select(F.col("x.s").alias("source_raw_id"), F.col("x.d").alias("target_raw_id"), F.col("x.k").alias("edge_type"))
+
+
+@plan("jn_two_hop", f"""with {_INC}, te as (select 'o'||l_orderkey a, 'p'||l_partkey b, case when l_linenumber%2=1 then 'OCCURRENCE' else 'CONFIRMATION' end ty from lineitem union select 'p'||l_partkey, 's'||l_suppkey, 'ANTECEDENT' from lineitem),
+ ta as (select a, b, ty, case ty when 'OCCURRENCE' then 0.90 when 'CONFIRMATION' then 0.92 else 0.95 end::double w from (select a, b, ty from te union select b, a, ty from te)),
+ hop as (select s.sample_id, s.raw_id, s.score, e.b, e.w from seeds s join ta e on e.a=s.raw_id),
+ adds as (select sample_id, b raw_id, score*w x from hop union all select sample_id, raw_id, score*0.08 from hop
+  union all select h.sample_id, e.b, h.score*h.w*0.30 from hop h join ta e on e.a=h.b where e.ty in ('ANTECEDENT','OCCURRENCE','PROPOSITION_SOURCE') and e.b<>h.raw_id)
+select sample_id, raw_id, round(sum(x),9) as score from adds group by 1,2 having round(sum(x),9)<>0""")
 def _(t):
     seeds = _order_seeds(t).withColumn("arm", F.lit("occ_consensus"))
-    h = ln.two_hop(seeds, ln.typed_adjacency(_incidence(t)))
-    return h.groupBy("sample_id", "raw_id").agg(F.round(F.sum("score"), 6).alias("score"))
+    h = ln.two_hop(seeds, ln.typed_adjacency(_typed(t)))
+    return h.groupBy("sample_id", "raw_id").agg((F.round(F.sum("score"), 9) + 0.0).alias("score")).where("score <> 0")
 
 
 @plan("jn_scoped_cross", f"""with {b.QUESTIONS} select q.sample_id, count(*)::bigint as n_candidates, min(t.raw_id) as first_raw from questions q join turns t using (conversation_id) group by 1""")
