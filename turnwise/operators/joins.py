@@ -270,27 +270,41 @@ def raw_fallback(retrieved: DataFrame, lane: DataFrame, k: int = 3) -> DataFrame
     return retrieved.select("sample_id", F.col("rank").cast("bigint").alias("rank"), "entry_id").unionByName(more)
 
 
-def trace_prompt(prompts: DataFrame, entries: DataFrame, retrieved: DataFrame, turns: DataFrame) -> DataFrame:
-    """Ordered-unique source ids of what was injected: stored and retrieved ids (or the entry's own id), then inferred.
+def trace_prompt(prompts: DataFrame, entries: DataFrame, retrieved: DataFrame, turns: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Ordered-unique source ids of what was injected.
 
-    prompts: sample_id, scope, place, entry_id; entries: entry_id, content, source_ids; retrieved: sample_id, entry_id, content, source_ids;
-    the prompt text is the injected contents in order, so its own inferences add nothing new.
+    Per entry: stored and retrieved ids (or the entry's own id), then per content the inferred and the batch-inferred ones;
+    last what the whole memory block says, as a turn's words may be spread over several entries.
+
+    prompts: sample_id, scope, place, entry_id; entries: entry_id, content, source_ids; retrieved: sample_id, entry_id,
+    content, source_ids, query, batch_ids; contexts: sample_id, scope, text.
     """
     e = entries.select("entry_id", F.col("content").alias("ec"), F.col("source_ids").alias("es"))
-    r = retrieved.select("sample_id", "entry_id", F.col("content").alias("rc"), F.col("source_ids").alias("rs"))
+    r = retrieved.select("sample_id", "entry_id", F.col("content").alias("rc"), F.col("source_ids").alias("rs"), "query", "batch_ids")
     j = prompts.join(e, "entry_id", "left").join(r, ["sample_id", "entry_id"], "left")
     none = F.array().cast("array<string>")
     u = usable_ids(j.withColumn("source_ids", F.coalesce("es", none)), turns).withColumn("es", F.col("source_ids"))
     u = usable_ids(u.withColumn("source_ids", F.coalesce("rs", none)), turns).withColumn("rs", F.col("source_ids"))
     u = cut_lineage(u)
     ids = F.concat("es", "rs")
+
+    def at(place, phase, inner):
+        return F.struct(place.cast("bigint").alias("r"), phase.cast("int").alias("p"), inner.alias("a")).alias("at")
+
+    def plain(o):
+        return F.struct(F.lit(0).alias("k"), o.cast("bigint").alias("a"), F.lit(0).alias("b"))
+
     cited = u.select("sample_id", "place", F.posexplode(F.when(F.size(ids) > 0, ids).otherwise(F.array("entry_id"))).alias("o", "source_id")).select(
-        "sample_id", "source_id", F.struct(F.col("place").alias("r"), F.lit(0).alias("p"), F.struct(F.lit(0).alias("k"), F.col("o").cast("bigint").alias("a"), F.lit(0).alias("b")).alias("a")).alias("at"))
+        "sample_id", "source_id", at(F.col("place"), F.lit(0), plain(F.col("o"))))
     body = F.array_distinct(F.array_compact(F.array("ec", "rc")))
-    texts = u.select("sample_id", SCOPE, "place", F.posexplode(body).alias("w", "text")).withColumn("text_id", F.concat_ws("#", "sample_id", "place", "w"))
-    said = infer_sources(texts, turns).join(texts.select("text_id", "sample_id", "place"), "text_id").select(
-        "sample_id", "source_id", F.struct(F.col("place").alias("r"), F.lit(1).alias("p"), F.col("o").alias("a")).alias("at"))
-    once = cited.unionByName(said).groupBy("sample_id", "source_id").agg(F.min("at").alias("at"))
+    texts = u.select("sample_id", SCOPE, "place", "query", "batch_ids", F.posexplode(body).alias("w", "text")).withColumn("text_id", F.concat_ws("#", "sample_id", "place", "w"))
+    key = texts.select("text_id", "sample_id", "place", "w")
+    said = infer_sources(texts.select("text_id", SCOPE, "text"), turns).join(key, "text_id").select("sample_id", "source_id", at(F.col("place"), 1 + 2 * F.col("w"), F.col("o")))
+    picks = batch_sources(texts.where(F.col("batch_ids").isNotNull()).select("text_id", SCOPE, "query", "text", "batch_ids"), turns)
+    batch = picks.join(key, "text_id").select("sample_id", "source_id", at(F.col("place"), 2 + 2 * F.col("w"), plain(F.col("rank"))))
+    block = infer_sources(contexts.select(F.col("sample_id").alias("text_id"), SCOPE, "text"), turns).select(
+        F.col("text_id").alias("sample_id"), "source_id", at(F.lit(2 ** 62), F.lit(0), F.col("o")))
+    once = cited.unionByName(said).unionByName(batch).unionByName(block).groupBy("sample_id", "source_id").agg(F.min("at").alias("at"))
     return top_k(once, ["sample_id"], [F.asc("at"), F.asc("source_id")], None).select("sample_id", "source_id", F.col("rank").cast("bigint").alias("rank"))
 
 

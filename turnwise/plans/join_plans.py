@@ -194,15 +194,24 @@ def _(t):
     return jn.trace_retrieval(retrieved(t), b.turns(t))
 
 
-@plan("jn_trace_prompt", f"""with {b.QUESTIONS}, {b.FACTS}, {ENTRIES}, {_PAIRS}, {_EXPL}, {_RETR}, {_SAID},
+_WHOLE = f"""wh as (select sample_id, conversation_id, string_agg(text, chr(10) order by rank) text from retr group by 1,2), wn as (select e.sample_id, e.conversation_id, {_NT} nt from wh e),
+ wp as (select w.sample_id, t.pos, t.turn_id, t.session_id from wn w join tn t using (conversation_id) where nt<>'' and nu<>'' and (contains(nt,nu) or contains(nu,nt)
+  or len(list_intersect(list_distinct(string_split(nu,' ')), list_distinct(string_split(nt,' '))))/len(list_distinct(string_split(nu,' '))) >= 0.85)),
+ block as (select sample_id, 4611686018427387904 rank, 0 p, 1 kk, pos::bigint a, 0 bb, turn_id source_id from wp union all select sample_id, 4611686018427387904, 0, 1, pos, 1, session_id from wp)"""
+
+
+@plan("jn_trace_prompt", f"""with {b.QUESTIONS}, {b.FACTS}, {ENTRIES}, {_PAIRS}, {_EXPL}, {_RETR}, {_SAID}, {_RBATCH}, {_WHOLE},
  cited as (select sample_id, rank, 0 p, 0 kk, 0::bigint a, 0 bb, case when ord=1 then string_split(raw_id,'::')[2] else text_id end source_id from retr),
- u as (select * from cited union all select * from said), f as (select *, row_number() over (partition by sample_id, source_id order by rank, p, kk, a, bb) n from u)
+ u as (select * from cited union all select * from said union all select * from rbr where a<=5 union all select * from block),
+ f as (select *, row_number() over (partition by sample_id, source_id order by rank, p, kk, a, bb) n from u)
 select sample_id, source_id, row_number() over (partition by sample_id order by rank, p, kk, a, bb, source_id)::bigint as rank from f where n=1""")
 def _(t):
     r = retrieved(t)
     p = r.select("sample_id", "conversation_id", F.col("rank").alias("place"), "entry_id")
     store = r.select("entry_id", "content", F.array().cast("array<string>").alias("source_ids")).distinct()
-    return jn.trace_prompt(p, store, r.select("sample_id", "entry_id", "content", "source_ids"), b.turns(t))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"])
+    block = r.groupBy("sample_id", "conversation_id").agg(F.array_join(lines, "\n").alias("text"))
+    return jn.trace_prompt(p, store, r, b.turns(t), block)
 
 
 @plan("jn_trace_gold", f"""with {b.QUESTIONS}, s(system) as (values ('no_memory'),('full_context'),('mem')),
