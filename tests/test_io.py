@@ -60,13 +60,13 @@ def test_latest_over_several_batches(spark, tmp_path):
 
 def test_streams_go_on_after_a_stop(spark, tmp_path):
     src_dir, out, done = (str(tmp_path / d) for d in ("in", "out", "done"))
-    schema = "k string, position long, v string"
+    schema = "k string, position long, w string"
     for rows in ([("a", 1, "x"), ("b", 2, "x")], [("a", 5, "y")], [("a", 9, "new"), ("b", 1, "late"), ("c", 4, "z")], [("c", 3, "late"), ("d", 1, "w")]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src_dir)
         src = jn.read_stream(spark, src_dir, schema)
         jn.drain(jn.upsert_latest(src, ["k"], "position", out))
         jn.drain(jn.start(jn.accept_once(src.select("k"), ["k"]), done, lambda b, n: b.write.mode("overwrite").parquet(f"{done}/batch={n}")))
-    got = jn.versioned(spark, out, src.schema, "v").select("k", "v").collect()
+    got = jn.versioned(spark, out, src.schema, "v").select("k", "w").collect()
     assert sorted(map(tuple, got)) == [("a", "new"), ("b", "x"), ("c", "z"), ("d", "w")]
     assert sorted(r.k for r in spark.read.parquet(done).collect()) == ["a", "b", "c", "d"]
 

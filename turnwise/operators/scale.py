@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Largest optimizer size estimate (bytes) that may be broadcast.
 BROADCAST_BYTES = 16 << 20
+#: What is exploded from a frame (terms of texts) may be this much larger than the frame's own estimate.
+FAN_OUT = 16
 #: Copies of the smaller side in a salted join.
 SALTS = 8
 
@@ -24,11 +26,12 @@ def keyed_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: str,
                how: str = "inner", size_of: DataFrame | None = None) -> DataFrame:
     """Equi-join that survives hot keys on the big side.
 
-    The small side is broadcast when its checked size allows; beyond that the big
+    The small side is broadcast when its checked size allows; where it was exploded from `size_of`, a growth that the
+    optimizer does not see, that frame must be smaller by `FAN_OUT`. Beyond that the big
     side is salted by the `spread` column and the small side is copied per salt,
     so a key holding a third of all rows lands on `SALTS` tasks, not one.
     """
-    if fits_broadcast(size_of if size_of is not None else small):
+    if fits_broadcast(small) if size_of is None else fits_broadcast(size_of, BROADCAST_BYTES // FAN_OUT):
         return big.join(F.broadcast(small), list(on), how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
