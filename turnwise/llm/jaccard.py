@@ -31,6 +31,8 @@ GROUPS = 128
 FREQUENT = 1000
 #: Rows of a candidate list that meet in one task; a longer list is dealt out in pairs of blocks.
 CELL = 4096
+#: Rows of the candidate lists of one family of components that meet in one task.
+SLICE = 1 << 19
 LEAF, FAN = 32, 8
 LOAD = 1 << 20
 _FOLD = 0xD6E8FEB86659FD93
@@ -90,10 +92,10 @@ def shingle_sets(texts: list[str | None], powers: Powers) -> list[np.ndarray]:
         if n >= WORDS:
             out.append(np.unique(fold[ends[i] - (n - WORDS + 1):ends[i]]))
         elif n:
-            value = U64(n)
-            for x in h[first[i]:first[i] + n]:
-                value = mix(np.array([value * U64(_FOLD) + x], U64))[0]
-            out.append(np.array([value], U64))
+            value = np.array([n], U64)
+            for k in range(n):
+                value = mix(value * U64(_FOLD) + h[first[i] + k:first[i] + k + 1])
+            out.append(value)
         else:
             out.append(np.zeros(0, U64))
     return out
@@ -176,12 +178,21 @@ def _first_shingles(frequent: np.ndarray):
     return run
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """A count vector in one byte per coordinate where that holds it, else in four."""
+    return counts.astype("u1" if counts.max() < 256 else "<u4").tobytes()
+
+
+def unpacked(vector: bytes) -> np.ndarray:
+    return np.frombuffer(vector, "u1" if len(vector) == GROUPS else "<u4").astype(np.int32)
+
+
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = Powers()
     for batch in batches:
         for low in range(0, batch.num_rows, 512):
             sets = shingle_sets(batch.column(0).slice(low, 512).to_pylist(), powers)
-            vectors = [np.bincount((s >> U64(40)) % U64(GROUPS), minlength=GROUPS).astype("<u4").tobytes() for s in sets]
+            vectors = [packed(np.bincount((s >> U64(40)) % U64(GROUPS), minlength=GROUPS)) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()),
                                               pa.array(vectors, pa.binary())], ["node", "n", "shingles", "vector"])
 
@@ -233,26 +244,26 @@ class RTree:
 
 
 def _surviving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in one cell that the R-tree leaves; rows stand ordered by (token, cell)."""
+    """Pairs of different components in one cell that the R-tree leaves; rows stand ordered by (token, cell).
+
+    A pair may stand in several lists; a task names it once as long as it remembers it.
+    """
     done: set[tuple[int, int]] = set()
     held: list[pa.RecordBatch] = []
 
     def work(cell: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         node, part, n, block = (cell.column(c).to_numpy() for c in ("node", "component", "n", "block"))
-        low, high = cell.column("one")[0].as_py(), cell.column("two")[0].as_py()
-        vectors = np.frombuffer(b"".join(cell.column("vector").to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int32)
+        low, high = (cell.column(c)[0].as_py() for c in ("one", "two"))
+        vectors = np.stack([unpacked(v) for v in cell.column("vector").to_pylist()])
         for x, y in RTree(vectors, n.astype(np.int64)).pairs():
             apart = (part[x] != part[y]) & (np.minimum(block[x], block[y]) == low) & (np.maximum(block[x], block[y]) == high)
-            out = []
-            for p, q in zip(node[x[apart]].tolist(), node[y[apart]].tolist()):
-                pair = (min(p, q), max(p, q))
-                if pair not in done:
-                    if len(done) > 1_000_000:
-                        done.clear()
-                    done.add(pair)
-                    out.append(pair)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["x", "y"])
+            x, y = node[x[apart]], node[y[apart]]
+            fresh = [p for p in zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()) if p not in done]
+            if len(done) > 1_000_000:
+                done.clear()
+            done.update(fresh)
+            if fresh:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in fresh], pa.int64()), pa.array([b for _, b in fresh], pa.int64())], ["x", "y"])
 
     def joined() -> pa.RecordBatch:
         return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -336,13 +347,18 @@ def join(docs: DataFrame) -> DataFrame:
     near = cut_lineage(verified(spokes.select(F.col("node").alias("x"), F.col("centre").alias("y")), sets))
     part = components(near)
     placed = keys.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = placed.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token", "m")
-    cells = (placed.join(open_, "token").withColumn("blocks", F.expr(f"(m + {CELL - 1}) div {CELL}").cast("int"))
+    by_part = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"))
+    open_ = (by_part.groupBy("token").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "component")).alias("most")).where("parts > 1")
+             .select("token", "m", F.col("most.component").alias("family")))
+    # Lists in which one component prevails name the same pairs: they go to one task, or to several if they are very many.
+    slices = open_.groupBy("family").agg(F.sum("m").alias("rows")).select("family", F.expr(f"CAST((rows + {SLICE - 1}) div {SLICE} AS INT)").alias("slices"))
+    cells = (placed.join(open_.join(slices, "family"), "token").withColumn("blocks", F.expr(f"(m + {CELL - 1}) div {CELL}").cast("int"))
              .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-             .select("token", "node", "component", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+             .select("family", "slices", "token", "node", "component", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+             .withColumn("slice", F.pmod(F.xxhash64("token", "one", "two"), F.col("slices")).cast("int")).drop("slices")
              .join(sets.select("node", "n", "vector"), "node"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    survivors = (cells.repartition(parts, "token", "one", "two").sortWithinPartitions("token", "one", "two").mapInArrow(_surviving, "x bigint, y bigint").distinct())
+    survivors = (cells.repartition(parts, "family", "slice").sortWithinPartitions("token", "one", "two").mapInArrow(_surviving, "x bigint, y bigint").distinct())
     far = verified(survivors, sets)
     whole = components(near.unionByName(far))
     named = nodes.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
