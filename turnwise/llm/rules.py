@@ -171,7 +171,12 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that `judge` keeps, all columns as they were. Texts are read twice and never shuffled."""
-    estimates = fit(cut_lineage(statistics(docs)))
-    rows = docs.select(F.struct("*").alias("_row"), "lang", "source", "text")
-    return estimates.verdicts(statistics(rows, ("_row",))).where("kept").select("_row.*")
+    """The rows of `docs` that `judge` keeps, all columns as they were.
+
+    Verdicts are short rows, named by id and a hash of what they rest on; the rejected ones are taken out by an anti-join.
+    """
+    seen = F.xxhash64("text", "lang", "source")
+    stats = cut_lineage(statistics(docs.withColumn("_seen", seen), ("doc_id", "_seen")))
+    out = fit(stats).verdicts(stats).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("_seen").alias("_key")).distinct()
+    rows = docs.select(F.struct("*").alias("_row"), seen.alias("_seen"))
+    return rows.join(cut_lineage(out), (F.col("_seen") == F.col("_key")) & F.col("_row.doc_id").eqNullSafe(F.col("_id")), "left_anti").select("_row.*")
