@@ -138,6 +138,23 @@ def test_pseudonyms_keep_format_and_link(spark, frame):
         assert value not in new
 
 
+def test_phones_and_dates_by_form(spark, frame):
+    table = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(F.col("text").rlike(r"\+1 \([0-9]{3}\) ")).collect()]
+    phones = ["+1 (017) 555-7713", "415-555-2671", "+14155552671", "(015)555-2671", "415.555.2671", "415 555 2671", "+44 20 7946 0958", "+49 (0)30/123456", "+4915112345678"]
+    dates = ["2021-03-05T10:00", "3/5/2021", "2021/03/05", "2021-3-5", "1.2.2003", "13/05/2021", "5.12.1999"]
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(frame([*table, (-1, "; ".join(phones)), (-2, "; ".join(dates))])).collect()}
+    form = r"\+1 \(\d{3}\) \d{3}-\d{4}"
+    old, new = ([n for i, _ in table for n in re.findall(form, texts[i])] for texts in (dict(table), {i: r.text for i, r in got.items()}))
+    assert len(old) == len(new) >= 159 and not any(a == b for a, b in zip(old, new))
+    assert len(set(zip(old, new))) == len(set(old)) == len(set(new))
+    shape = lambda t: re.sub(r"\d", "0", t)
+    assert got[-1].n_phone == len(phones) and shape(got[-1].text) == shape("; ".join(phones))
+    assert got[-1].text.split("; ")[6].startswith("+44 ") and got[-1].text.split("; ")[2].startswith("+1")
+    assert got[-2].n_date == len(dates) and "T10:00; " in got[-2].text and not set(got[-2].text.split("; ")) & set(dates)
+    for text in got[-2].text.split("; "):
+        assert re.fullmatch(r"\d{4}([-/])\d{1,2}\1\d{1,2}(T10:00)?|\d{1,2}([./])\d{1,2}\3\d{4}", text)
+
+
 def test_feistel_is_a_permutation(spark):
     n = spark.range(10_000).select(F.call_function("lpad", F.col("id").cast("string"), F.lit(4), F.lit("0")).alias("d"))
     assert n.select(pseudonyms.permute_digits(F.col("d"), 10, "k", "t").alias("p")).where("length(p) = 4").distinct().count() == 10_000

@@ -17,15 +17,28 @@ WALKS = 96
 #: Days from 1900-01-01 to 2099-12-31.
 FIRST_DAY, DAYS = "1900-01-01", 73049
 
+#: Country codes of phone numbers.
+COUNTRY_CODE = "^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+
+
+SSN = r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"
+DATE = (r"(?=[0-9])(?<![\w./-])(?:" + "|".join(f"[0-9]{{4}}{c}[0-9]{{1,2}}{c}[0-9]{{1,2}}|[0-9]{{1,2}}{c}[0-9]{{1,2}}{c}[0-9]{{4}}" for c in ("-", "/", r"\."))
+        + r")(?:(?=T[0-9]{2})|(?![\w/-]))")
+IP = r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])"
+#: North American with brackets, with +1, and in groups of 3, 3 and 4; other countries' with + and 7 to 15 digits.
+BARE_PHONE = r"(?<![\w+./-])(?:1[ .-])?(?:" + "|".join(f"[0-9]{{3}}{c}[0-9]{{3}}{c}[0-9]{{4}}" for c in ("-", " ", r"\.")) + r")(?!\w|-[0-9])"
+PHONE = (r"(?=[+(0-9])(?:(?<![\w+])(?:\+?1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![\w+])\+1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|" + BARE_PHONE
+         + rf"|(?<![\w+])\+[1-9](?:(?! (?:{SSN}|{DATE}|{IP}))[ ./-]?\(?[0-9]\)?){{6,14}}(?![0-9]))")
 #: Kind, pattern. The first that matches at a place wins.
 FORMS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "secret": r"(?i:password|passwd|token|secret|api_?key)[ \t]*[=:][ \t]*[\"']?[A-Za-z0-9_-]{8,}|\bAKIA[A-Z0-9]{16}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "phone": r"(?<![\w+])(?:\+1[ .-]?)?\([2-9][0-9]{2}\) ?[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])|(?<![\w+])\+1[ .-][2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])",
-    "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "date": r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\w/-])",
-    "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])",
+    "phone": PHONE,
+    "ssn": SSN,
+    "date": DATE,
+    "ip": IP,
     "card": r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
 }
 KINDS = tuple(FORMS)
@@ -108,11 +121,16 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    def new(d: Column) -> Column:
+    """Numbers of the North American plan stay in it, and others of its form outside it; country codes stay."""
+    def plan(d: Column) -> Column:
         last = F.substr(d, F.length(d) - 9)
-        drawn = walk(last, lambda b: permute_digits(b, 10, key, "phone"), lambda b: b.rlike("^[2-9]..[2-9]"))
+        valid = lambda b: b.rlike("^[2-9]..[2-9]")
+        drawn = _let(last, lambda x: walk(x, lambda b: permute_digits(b, 10, key, "phone"), lambda b: valid(b) == valid(x)))
         return F.concat(F.substr(d, F.lit(1), F.length(d) - 10), drawn)
-    return refill(m, new(only(m, "0-9")), "0-9")
+
+    def abroad(d: Column) -> Column:
+        return _let(F.regexp_extract(d, COUNTRY_CODE, 0), lambda c: F.concat(c, permute_digits(F.substr(d, F.length(c) + 1), 10, key, "phone abroad")))
+    return _let(only(m, "0-9"), lambda d: refill(m, _let(F.when(m.startswith("+") & ~d.rlike("^1.{10}$"), abroad(d)).otherwise(plan(d)), lambda x: x), "0-9"))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -130,13 +148,25 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    def moved(form: str) -> Column:
-        day = F.try_to_timestamp(m, F.lit(form)).cast("date")
-        number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-        step = lambda v: _let(feistel(F.floor(v / 512).cast("bigint"), v % 512, 256, 512, key, "date"), lambda p: p["a"] * 512 + p["b"])
-        drawn = walk(number.cast("bigint"), step, lambda v: v < DAYS)
-        return F.when(number.between(0, DAYS - 1), F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), drawn.cast("int")), form))
-    return F.coalesce(F.when(m.contains("-"), moved("yyyy-MM-dd")).when(m.contains("."), moved("dd.MM.yyyy")).otherwise(F.coalesce(moved("MM/dd/yyyy"), moved("dd/MM/yyyy"))), m)
+    """Years stand first or last. Where one of day and month has one digit, the new date is written without leading zeros."""
+    first = F.lit(FIRST_DAY).cast("date")
+    plain = F.translate(m, "./", "--")
+    number = lambda form: F.datediff(F.try_to_timestamp(plain, F.lit(form)).cast("date"), first)
+    as_ = lambda form: F.when(number(form).between(0, DAYS - 1), F.struct(F.lit(form).alias("form"), number(form).cast("bigint").alias("day")))
+    read = (F.when(m.rlike("^[0-9]{4}"), as_("y-M-d")).when(m.contains("/"), F.coalesce(as_("M-d-y"), as_("d-M-y"))).when(m.contains("-"), F.coalesce(as_("d-M-y"), as_("M-d-y")))
+            .otherwise(as_("d-M-y")))
+    step = lambda v: _let(feistel(F.floor(v / 512).cast("bigint"), v % 512, 256, 512, key, "date"), lambda p: p["a"] * 512 + p["b"])
+
+    def written(form: Column, day: Column) -> Column:
+        short = m.rlike("(?<![0-9])[0-9](?![0-9])")
+        out = F
+        for f in ("y-M-d", "M-d-y", "d-M-y"):
+            full = f.replace("y", "yyyy")
+            out = out.when((form == f) & short, F.date_format(day, full)).when(form == f, F.date_format(day, full.replace("M", "MM").replace("d", "dd")))
+        return F.translate(out.otherwise(None), "-", "#")
+
+    new = _let(read, lambda r: _let(F.date_add(first, walk(r["day"], step, lambda v: v < DAYS).cast("int")), lambda day: F.replace(written(r["form"], day), F.lit("#"), F.regexp_extract(m, "[./-]", 0))))
+    return F.coalesce(new, m)
 
 
 def _iban(m: Column, key: str) -> Column:
@@ -178,8 +208,8 @@ MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "phone": _phone, "s
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """`docs` (doc_id, text): doc_id, the text with pseudonyms, n_<kind> per kind: values that were replaced.
 
-    Cards (Luhn), IBANs (mod 97), North American phone numbers, social security numbers, dates from 1900 to 2099 and IPv4
-    addresses are replaced where valid; the local part of e-mail addresses and the values of passwords, tokens and keys,
+    Cards (Luhn), IBANs (mod 97), social security numbers, dates from 1900 to 2099 (with a four-digit year) and IPv4
+    addresses are replaced where valid, phone numbers by their form; the local part of e-mail addresses and the values of passwords, tokens and keys,
     whose form is free, are permuted as identifiers. Numbers that fail their check stay as they are. A null text stays
     null; texts without a match are returned as they are; repeated rows are replaced alike; no rows give no rows; other
     columns are ignored. Rows never leave their task.
