@@ -155,6 +155,27 @@ def test_phones_and_dates_by_form(spark, frame):
         assert re.fullmatch(r"\d{4}([-/])\d{1,2}\1\d{1,2}(T10:00)?|\d{1,2}([./])\d{1,2}\3\d{4}", text)
 
 
+def test_cards_and_ibans_beside_other_words(spark, frame):
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    texts = [card, f"{card} 12/26", f"{card} 123", f"5 {card}", f"3400 000000 00009 {card} 2024-02-29", f"{card} 12a", "4111 1111 1111 1112 123", iban, f"{iban} BIC", f"{iban} EUR"]
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(frame(list(enumerate(texts)))).collect()}
+    new, new_iban = got[0].text, got[7].text
+    assert new != card and new[0] == "4" and brute.luhn(new.replace(" ", "")) and new_iban != iban
+    assert [got[i].text for i in (1, 2, 3, 5, 6, 8, 9)] == [f"{new} 12/26", f"{new} 123", f"5 {new}", f"{new} 12a", texts[6], f"{new_iban} BIC", f"{new_iban} EUR"]
+    assert (got[4].n_card, got[4].n_date) == (2, 1) and new in got[4].text
+
+
+def test_every_card_stays_a_card_of_its_own(spark):
+    rng = random.Random(5)
+    cards = set()
+    while len(cards) < 30_000:
+        body = "4" + "".join(rng.choices("0123456789", k=14))
+        cards.add(next(body + c for c in "0123456789" if brute.luhn(body + c)))
+    docs = spark.createDataFrame(list(enumerate(sorted(cards))), "doc_id bigint, text string").repartition(8)
+    new = [r.text for r in pseudonyms.pseudonymise(docs).select("text").collect()]
+    assert len(set(new)) == len(cards) and all(n[0] == "4" and brute.luhn(n) for n in new)
+
+
 def test_feistel_is_a_permutation(spark):
     n = spark.range(10_000).select(F.call_function("lpad", F.col("id").cast("string"), F.lit(4), F.lit("0")).alias("d"))
     assert n.select(pseudonyms.permute_digits(F.col("d"), 10, "k", "t").alias("p")).where("length(p) = 4").distinct().count() == 10_000

@@ -12,15 +12,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: The key of the permutations; deployments pass their own.
 KEY = "public demonstration key"
 ROUNDS = 8
-#: Cycle walks; each ends with a probability of a half or more, and one that did not end would stay an invalid number.
+#: Cycle walks; each ends with a probability of a third or more, so one in 10^18 would not end.
 WALKS = 96
 #: Days from 1900-01-01 to 2099-12-31.
 FIRST_DAY, DAYS = "1900-01-01", 73049
 
+#: Lengths of IBANs and the countries that have them.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
 #: Country codes of phone numbers.
 COUNTRY_CODE = "^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
 
+def _iban_form() -> str:
+    """The length of the country first, so that a word behind the number is not taken; then any length."""
+    rest = lambda n: f"(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    own = "|".join(f"(?:{names.replace(' ', '|')})[0-9]{{2}}{rest(n)}" for n, names in IBAN_LENGTHS.items())
+    return rf"\b(?=[A-Z]{{2}}[0-9]{{2}})(?:(?:{own})\b|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?\b)"
+
 
 SSN = r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"
 DATE = (r"(?=[0-9])(?<![\w./-])(?:" + "|".join(f"[0-9]{{4}}{c}[0-9]{{1,2}}{c}[0-9]{{1,2}}|[0-9]{{1,2}}{c}[0-9]{{1,2}}{c}[0-9]{{4}}" for c in ("-", "/", r"\."))
@@ -34,12 +46,12 @@ PHONE = (r"(?=[+(0-9])(?:(?<![\w+])(?:\+?1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-
 FORMS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "secret": r"(?i:password|passwd|token|secret|api_?key)[ \t]*[=:][ \t]*[\"']?[A-Za-z0-9_-]{8,}|\bAKIA[A-Z0-9]{16}\b",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "iban": _iban_form(),
     "phone": PHONE,
     "ssn": SSN,
     "date": DATE,
     "ip": IP,
-    "card": r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
+    "card": rf"(?<![\w-])(?=(?:[ -]?[0-9]){{13}})[0-9]++(?!\w)(?:[ -](?!{BARE_PHONE}|{SSN}|{DATE}|{IP})[0-9]++(?!\w))*+",
 }
 KINDS = tuple(FORMS)
 
@@ -112,12 +124,37 @@ def only(text: Column, drawn: str) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
+    """text, n: a run of digit groups with the cards in it replaced, and how many they are.
+
+    A card is 13 to 19 digits from the start of the run to the end of a group or, further in, in the groups that cards
+    are printed in. Where several overlap, the forms in use go first, then the first and longest.
+    """
     def new(d: Column) -> Column:
-        body = F.substr(d, F.lit(1), F.length(d) - 1)
-        first = F.substr(d, F.lit(1), F.lit(1))
-        drawn = walk(body, lambda b: permute_digits(b, 10, key, "card"), lambda b: F.substr(b, F.lit(1), F.lit(1)) == first)
+        # The first digit stays, the check digit is computed.
+        drawn = F.concat(F.substr(d, F.lit(1), F.lit(1)), permute_digits(F.substr(d, F.lit(2), F.length(d) - 2), 10, key, "card"))
         return _let(drawn, lambda b: F.concat(b, F.pmod(F.lit(10) - luhn(F.concat(b, F.lit("0"))) % 10, F.lit(10)).cast("string")))
-    return _let(only(m, "0-9"), lambda d: F.when(luhn(d) % 10 == 0, refill(m, new(d), "0-9")).otherwise(m))
+
+    rank = lambda d: F.when(d.rlike("^(?:4.{15}|5[1-5].{14}|2[2-7].{14}|6.{15}|3[47].{13}|3[0689].{12})$"), 0).when(F.length(d) == 16, 1).otherwise(2)
+
+    def spans(g: Column) -> Column:
+        printed = lambda t: t.rlike("^(?:[0-9]+|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,4})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})[ -]?$")
+        one = lambda i, j: _let(F.array_join(F.slice(g, i, j - i + 1), ""), lambda t: _let(only(t, "0-9"), lambda d: F.when(
+            F.length(d).between(13, 19) & ((i == 1) | printed(t)) & (luhn(d) % 10 == 0), F.struct(rank(d).alias("rank"), i.alias("i"), (-j).alias("j")))))
+        each = F.flatten(F.transform(F.sequence(F.lit(1), F.size(g)), lambda i: F.transform(F.sequence(i, F.least(F.size(g), i + 18)), lambda j: one(i, j))))
+        return F.array_sort(F.filter(each, lambda s: s.isNotNull()))
+
+    def put(g: Column, taken: Column) -> Column:
+        def at(x: Column) -> Column:
+            own = F.filter(taken, lambda s: (s["i"] <= x) & (x <= -s["j"]))
+            return _let(own, lambda o: F.when(F.size(o) == 0, F.element_at(g, x)).when(o[0]["i"] < x, F.lit("")).otherwise(
+                _let(F.array_join(F.slice(g, x, -o[0]["j"] - x + 1), ""), lambda t: refill(t, new(only(t, "0-9")), "0-9"))))
+        return F.struct(F.array_join(F.transform(F.sequence(F.lit(1), F.size(g)), at), "").alias("text"), F.size(taken).alias("n"))
+
+    def chosen(s: Column) -> Column:
+        free = lambda acc, x: ~F.exists(acc, lambda t: (t["i"] <= -x["j"]) & (x["i"] <= -t["j"]))
+        return F.aggregate(s, F.array().cast("array<struct<rank:int,i:int,j:int>>"), lambda acc, x: F.when(free(acc, x), F.array_append(acc, x)).otherwise(acc))
+
+    return _let(F.regexp_extract_all(m, F.lit("([0-9]+[ -]?)"), 1), lambda g: _let(chosen(spans(g)), lambda t: put(g, t)))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -202,7 +239,7 @@ def _secret(m: Column, key: str) -> Column:
     return F.concat(head, _identifier(tail, key, "secret"))
 
 
-MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "phone": _phone, "ssn": _ssn, "date": _date, "ip": _ip, "card": _card}
+MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "phone": _phone, "ssn": _ssn, "date": _date, "ip": _ip}
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -220,17 +257,20 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     def one(m: Column) -> Column:
         out = F
         for kind in KINDS:
-            out = out.when(m.rlike(f"^(?:{FORMS[kind]})$"), F.struct(F.lit(kind).alias("kind"), MAKERS[kind](m, key).alias("new")))
-        return out.otherwise(F.struct(F.lit("").alias("kind"), m.alias("new")))
+            if kind == "card":
+                out = out.when(m.rlike("^[0-9](?:[ -]?[0-9])*+$"), _let(_card(m, key), lambda c: F.struct(F.lit(kind).alias("kind"), c["text"].alias("new"), c["n"].alias("n"))))
+            else:
+                out = out.when(m.rlike(f"^(?:{FORMS[kind]})$"), F.struct(F.lit(kind).alias("kind"), MAKERS[kind](m, key).alias("new"), F.lit(1).alias("n")))
+        return out.otherwise(F.struct(F.lit("").alias("kind"), m.alias("new"), F.lit(0).alias("n")))
 
     made = found.withColumn("_new", F.transform("_found", one))
     between = F.split("text", pattern, -1)
     joined = F.concat(F.array_join(F.zip_with(between, F.col("_new"), lambda a, n: F.concat(a, F.coalesce(n["new"], F.lit("")))), ""))
     changed = F.when(F.col("_found").isNull(), F.col("text")).otherwise(joined)
     replaced = F.filter(F.arrays_zip("_found", "_new"), lambda p: p["_found"] != p["_new"]["new"])
-    kinds = F.transform(replaced, lambda p: p["_new"]["kind"])
+    kinds = F.transform(replaced, lambda p: p["_new"])
 
     def count(kind: str) -> Column:
-        return F.coalesce(F.size(F.filter(F.when(F.col("_found").isNotNull(), kinds), lambda k: k == kind)).cast("bigint"), F.lit(0)).alias(f"n_{kind}")
+        return F.coalesce(F.aggregate(kinds, F.lit(0), lambda n, v: n + F.when(v["kind"] == kind, v["n"]).otherwise(0)).cast("bigint"), F.lit(0)).alias(f"n_{kind}")
 
     return made.select("doc_id", changed.alias("text"), *[count(kind) for kind in KINDS])
