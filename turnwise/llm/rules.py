@@ -22,9 +22,8 @@ STEPS = 4
 CUTOFF = 60.0
 #: Least standard deviation of each statistic, so that groups in which a statistic is constant have an estimate too.
 FLOORS = (0.08, 0.12, 0.12, 0.10)
-#: Groups with fewer rows, or with fewer than 1 / MAX_GROUPS of all, are estimated together with the other small groups of
-#: their language, then with all others. So there are at most 2 * MAX_GROUPS + 1 estimates, which are broadcast.
-MIN_GROUP, MAX_GROUPS = 64, 4096
+#: Groups with fewer rows are estimated together with the other small groups of their language, then with all others.
+MIN_GROUP = 64
 #: Distance bins per unit of ln(1 + d²).
 BINS = 64
 
@@ -103,7 +102,7 @@ def estimate(m: DataFrame, factor: float) -> DataFrame:
 
 def concentrate(rows: DataFrame, current: DataFrame) -> DataFrame:
     """One concentration step: the nearest `PART` of each group's rows under `current` give the next estimate."""
-    placed = squared_distance(rows.join(F.broadcast(current), "key")).withColumn("bin", F.expr(f"CAST(floor(ln(1 + d2) * {BINS}) AS INT)"))
+    placed = squared_distance(rows.join(current, "key")).withColumn("bin", F.expr(f"CAST(floor(ln(1 + d2) * {BINS}) AS INT)"))
     binned = moments(placed, ["key", "bin"], [f"m{i}" for i in range(DIMENSIONS)])
     by_bin = W.partitionBy("key").orderBy("bin")
     near = (binned.withColumn("before", F.sum("n").over(by_bin) - F.col("n")).withColumn("all", F.sum("n").over(W.partitionBy("key")))
@@ -113,33 +112,37 @@ def concentrate(rows: DataFrame, current: DataFrame) -> DataFrame:
     return estimate(sums, CONSISTENCY)
 
 
-def keyed(rows: DataFrame, least: int, of: DataFrame) -> DataFrame:
+def code(c: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
+
+
+def group_sizes(rows: DataFrame) -> DataFrame:
+    """Rows of each language (_l) and source (_ls), as a written table."""
+    return cut_lineage(rows.groupBy(code("lang").alias("_l"), F.concat_ws("\x1f", code("lang"), code("source")).alias("_ls")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def keyed(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """`rows` with key, the name of their group; null is a value of its own.
 
-    Groups of language and source with `least` rows of `of` are named by both, the others by their language where
-    together they have as many, else "*". As `least` is at least 1 / MAX_GROUPS of all rows, both lists are short and
-    broadcast.
+    Groups of language and source with `MIN_GROUP` rows in `sizes` are named by both, the others by their language where
+    together they have as many, else "*". The lists are broadcast while they are small; that is left to the planner.
     """
-    code = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    both = F.concat_ws("\x1f", code("lang"), code("source"))
-    sizes = of.groupBy(code("lang").alias("_l"), both.alias("_ls")).agg(F.count(F.lit(1)).alias("n"))
-    fine = sizes.where(F.col("n") >= least).select("_ls", F.col("_ls").alias("_fine"))
-    wide = sizes.where(F.col("n") < least).groupBy("_l").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("_l", F.col("_l").alias("_wide"))
-    return (rows.withColumn("_l", code("lang")).withColumn("_ls", both).join(F.broadcast(fine), "_ls", "left").join(F.broadcast(wide), "_l", "left")
+    fine = sizes.where(F.col("n") >= MIN_GROUP).select("_ls", F.col("_ls").alias("_fine"))
+    wide = sizes.where(F.col("n") < MIN_GROUP).groupBy("_l").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_GROUP).select("_l", F.col("_l").alias("_wide"))
+    return (rows.withColumn("_l", code("lang")).withColumn("_ls", F.concat_ws("\x1f", code("lang"), code("source"))).join(fine, "_ls", "left").join(wide, "_l", "left")
             .withColumn("key", F.coalesce("_fine", "_wide", F.lit("*"))).drop("_l", "_ls", "_fine", "_wide"))
 
 
 @dataclass
 class Estimates:
-    """What a corpus says of its groups: the rows that count, the least size of a group, mean and covariance factor by key."""
-    sound: DataFrame
-    least: int
+    """What a corpus says of its groups: the sizes of all, mean and covariance factor by key. Both are written tables."""
+    sizes: DataFrame
     by_key: DataFrame
 
     def verdicts(self, stats: DataFrame) -> DataFrame:
-        """`stats` with distance (null where base_failed) and kept. No row is shuffled."""
-        vectors = vectors_of(keyed(stats, self.least, self.sound))
-        far = squared_distance(vectors.join(F.broadcast(self.by_key), "key", "left")).withColumnRenamed("d2", "distance")
+        """`stats` with distance (null where base_failed) and kept."""
+        vectors = vectors_of(keyed(stats, self.sizes))
+        far = squared_distance(vectors.join(self.by_key, "key", "left")).withColumnRenamed("d2", "distance")
         return far.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF))
 
 
@@ -151,12 +154,13 @@ def vectors_of(stats: DataFrame) -> DataFrame:
 def fit(stats: DataFrame, steps: int = STEPS) -> Estimates:
     """Minimum-covariance-determinant estimates from a written table of statistics."""
     sound = stats.where("NOT base_failed")
-    least = max(MIN_GROUP, sound.count() // MAX_GROUPS)
-    rows = cut_lineage(vectors_of(keyed(sound, least, sound)).select("key", *[f"x{i}" for i in range(DIMENSIONS)]))
-    current = estimate(moments(rows, ["key"], ["0D"] * DIMENSIONS), 1.0)
+    sizes = group_sizes(sound)
+    rows = cut_lineage(vectors_of(keyed(sound, sizes)).select("key", *[f"x{i}" for i in range(DIMENSIONS)]))
+    # Written, so that the planner knows how large the estimates are when it joins them.
+    current = cut_lineage(estimate(moments(rows, ["key"], ["0D"] * DIMENSIONS), 1.0))
     for _ in range(steps):
-        current = concentrate(rows, current)
-    return Estimates(sound, least, cut_lineage(current))
+        current = cut_lineage(concentrate(rows, current))
+    return Estimates(sizes, current)
 
 
 def judge(docs: DataFrame) -> DataFrame:
