@@ -376,6 +376,15 @@ def test_every_group_has_its_own_rules(spark, frame, words, monkeypatch):
     assert {r.key for r in rules.fit(stats).by_key.select("key").collect()} == {f"=en\x1f=s{k}" for k in range(5)}
 
 
+@pytest.mark.parametrize("part", [0.15, 0.24])
+def test_rules_reject_many_equal_outliers(spark, frame, words, part):
+    rng = random.Random(10)
+    spam = " ".join(f"{w}$$$" for w in prose(rng, 80, words).split())
+    docs = [(i, prose(rng, rng.randint(25, 400), words), "en", "s") for i in range(304)]
+    docs += [(1000 + i, spam, "en", "s") for i in range(int(304 * part / (1 - part)))]
+    assert {r.doc_id for r in rules.judge(frame(docs)).where("kept").collect()} == set(range(304))
+
+
 # all
 
 OPERATORS = {

@@ -2,8 +2,9 @@
 
 Every text gives four statistics. Per language and source a minimum-covariance-determinant estimate is made by
 concentration steps: distances under the current estimate, the 75 % of rows nearest to it, mean and covariance of those.
-Each step is one aggregation over (group, distance bin), so no group is gathered or sorted. A row is rejected when its
-Mahalanobis distance under the last estimate is beyond the cutoff.
+The steps go from several starts until the determinant no longer falls; the least determinant of a group gives its
+estimate. Each step is one aggregation over (group, start, distance bin), so no group is gathered or sorted. A row is
+rejected when its Mahalanobis distance under that estimate is beyond the cutoff.
 """
 from __future__ import annotations
 
@@ -17,7 +18,8 @@ SPACE = "[\\x20\\x09-\\x0D]"
 DIMENSIONS = 4
 #: Part of a group's rows the estimate is made from, and the chi-square factor that makes its covariance consistent.
 PART, CONSISTENCY = 0.75, 1.49
-STEPS = 4
+#: Starts of a few rows each, and the fall of the logarithm of the determinant that calls for another step.
+FEW_STARTS, SETTLED = 4, 1e-4
 #: Squared distance beyond which a row is rejected (the 1 - 1e-8 quantile of chi-square with four degrees is 43).
 CUTOFF = 60.0
 #: Least standard deviation of each statistic, so that groups in which a statistic is constant have an estimate too.
@@ -92,23 +94,42 @@ def moments(rows: DataFrame, keys: list[str], centre: list[str]) -> DataFrame:
 
 
 def estimate(m: DataFrame, factor: float) -> DataFrame:
-    """key, mean m.., covariance s.. (rounded, so that the order of summation does not show) and its factor."""
-    cols = ["key", *[F.expr(f"round(c{i} + t{i} / n, 9)").alias(f"m{i}") for i in range(DIMENSIONS)]]
+    """key, start, was, mean m.., covariance s.. (rounded, so that the order of summation does not show) and its factor; ln_det."""
+    cols = ["key", "start", "was", *[F.expr(f"round(c{i} + t{i} / n, 9)").alias(f"m{i}") for i in range(DIMENSIONS)]]
     for i, j in PAIRS:
         cov = f"round({factor} * (q{i}{j} / n - t{i} / n * (t{j} / n)), 9)"
         cols.append(F.expr(f"greatest({cov}, {FLOORS[i] ** 2!r})" if i == j else cov).alias(f"s{i}{j}"))
-    return cholesky_columns(m.select(*cols))
+    return cholesky_columns(m.select(*cols)).withColumn("ln_det", F.expr("round(2 * (" + " + ".join(f"ln(l{i}{i})" for i in range(DIMENSIONS)) + "), 9)"))
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """First estimates per group: of all rows, of medians and median deviations, of a few rows drawn by fixed hashes.
+
+    Rows are drawn by the hash of their values, so equal ones count once.
+    """
+    x = [f"x{i}" for i in range(DIMENSIONS)]
+    plain = estimate(moments(rows, ["key"], ["0D"] * DIMENSIONS).select("*", F.lit(0).alias("start"), F.lit(None).cast("double").alias("was")), 1.0)
+    middle = cut_lineage(rows.groupBy("key").agg(*[F.percentile_approx(c, 0.5, 10_000).alias(f"c{i}") for i, c in enumerate(x)]))
+    spread = rows.join(middle, "key").groupBy("key").agg(F.lit(1).alias("start"), F.lit(None).cast("double").alias("was"), F.lit(1).alias("n"), *[F.first(f"c{i}").alias(f"c{i}") for i in range(DIMENSIONS)],
+                                                         *[F.percentile_approx(F.abs(F.col(c) - F.col(f"c{i}")), 0.5, 10_000).alias(f"d{i}") for i, c in enumerate(x)])
+    robust = estimate(spread.select("*", *[F.lit(0.0).alias(f"t{i}") for i in range(DIMENSIONS)],
+                                    *[F.expr(f"pow(1.4826 * d{i}, 2)" if i == j else "0D").alias(f"q{i}{j}") for i, j in PAIRS]), 1.0)
+    drawn = (rows.withColumn("start", F.explode(F.array(*[F.lit(2 + k) for k in range(FEW_STARTS)]))).withColumn("_h", F.xxhash64("start", *x))
+             .groupBy("key", "start", F.pmod("_h", F.lit(DIMENSIONS + 1)).alias("_part")).agg(F.min(F.struct("_h", *x)).alias("_r")).select("key", "start", "_r.*"))
+    few = estimate(moments(drawn, ["key", "start"], ["0D"] * DIMENSIONS).withColumn("was", F.lit(None).cast("double")), 1.0)
+    return plain.unionByName(robust).unionByName(few).withColumn("ln_det", F.lit(None).cast("double"))
 
 
 def concentrate(rows: DataFrame, current: DataFrame) -> DataFrame:
-    """One concentration step: the nearest `PART` of each group's rows under `current` give the next estimate."""
+    """One concentration step per start: the nearest `PART` of each group's rows under `current` give the next estimate; `was` is the ln_det before."""
     placed = squared_distance(rows.join(current, "key")).withColumn("bin", F.expr(f"CAST(floor(ln(1 + d2) * {BINS}) AS INT)"))
-    binned = moments(placed, ["key", "bin"], [f"m{i}" for i in range(DIMENSIONS)])
-    by_bin = W.partitionBy("key").orderBy("bin")
-    near = (binned.withColumn("before", F.sum("n").over(by_bin) - F.col("n")).withColumn("all", F.sum("n").over(W.partitionBy("key")))
+    binned = moments(placed, ["key", "start", "bin"], [f"m{i}" for i in range(DIMENSIONS)])
+    of = W.partitionBy("key", "start")
+    near = (binned.withColumn("before", F.sum("n").over(of.orderBy("bin")) - F.col("n")).withColumn("all", F.sum("n").over(of))
             .where(f"before < {PART} * all"))
-    sums = near.groupBy("key").agg(F.sum("n").alias("n"), *[F.sum(f"t{i}").alias(f"t{i}") for i in range(DIMENSIONS)], *[F.sum(f"q{i}{j}").alias(f"q{i}{j}") for i, j in PAIRS],
-                                   *[F.first(f"c{i}").alias(f"c{i}") for i in range(DIMENSIONS)])
+    sums = near.groupBy("key", "start").agg(F.sum("n").alias("n"), *[F.sum(f"t{i}").alias(f"t{i}") for i in range(DIMENSIONS)], *[F.sum(f"q{i}{j}").alias(f"q{i}{j}") for i, j in PAIRS],
+                                            *[F.first(f"c{i}").alias(f"c{i}") for i in range(DIMENSIONS)])
+    sums = sums.join(current.select("key", "start", F.col("ln_det").alias("was")), ["key", "start"])
     return estimate(sums, CONSISTENCY)
 
 
@@ -151,16 +172,21 @@ def vectors_of(stats: DataFrame) -> DataFrame:
     return stats.select("*", *[F.when(~F.col("base_failed"), F.expr(v)).alias(f"x{i}") for i, v in enumerate(VECTOR)])
 
 
-def fit(stats: DataFrame, steps: int = STEPS) -> Estimates:
+def fit(stats: DataFrame) -> Estimates:
     """Minimum-covariance-determinant estimates from a written table of statistics."""
     sound = stats.where("NOT base_failed")
     sizes = group_sizes(sound)
     rows = cut_lineage(vectors_of(keyed(sound, sizes)).select("key", *[f"x{i}" for i in range(DIMENSIONS)]))
     # Written, so that the planner knows how large the estimates are when it joins them.
-    current = cut_lineage(estimate(moments(rows, ["key"], ["0D"] * DIMENSIONS), 1.0))
-    for _ in range(steps):
-        current = cut_lineage(concentrate(rows, current))
-    return Estimates(sizes, current)
+    current, ends = cut_lineage(starts(rows)), None
+    falls = F.coalesce(F.col("ln_det") < F.col("was") - SETTLED, F.lit(True))
+    while not current.isEmpty():
+        # Each fall is SETTLED or more and the determinant has a floor, so this ends.
+        stepped = cut_lineage(concentrate(rows, current))
+        end = stepped.where(~falls)
+        ends, current = end if ends is None else ends.unionByName(end), stepped.where(falls)
+    least = (current if ends is None else ends).groupBy("key").agg(F.min_by(F.struct("*"), F.struct("ln_det", "start")).alias("_e"))
+    return Estimates(sizes, cut_lineage(least.select("_e.*").drop("start", "was", "ln_det")))
 
 
 def judge(docs: DataFrame) -> DataFrame:
