@@ -15,14 +15,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 from ..session import cut_lineage
+from .blocked import SCOPE, asked_terms, block_pairs, record_bags, top_records, weighted_queries
 from .matching import gram_pairs
+from .pivots import nearest
 from .scale import keyed_join, top_k
 
 DEPTH = 128
 ROUND = 6
 #: Rows of a record block and of a query block in the vector lanes.
 DOC_BLOCK, QUERY_BLOCK = 8192, 1024
-SCOPE = "conversation_id"
 
 
 # -- ranking helpers -------------------------------------------------------
@@ -111,8 +112,28 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float =
     return per_doc.groupBy("sample_id", "raw_id").agg(F.round(F.max("score"), ROUND).alias("score"))
 
 
+def bm25_top(queries: DataFrame, docs: DataFrame, depth: int = DEPTH, k1: float = 1.2, b: float = 0.75, profile: str = "lexical", floor: float = 1.0,
+             pieces: bool = False, tie: Sequence[str] = ("raw_id",), among: DataFrame | None = None) -> DataFrame:
+    """The rows of `bm25_scores` that can be among a query's `depth` best (sample_id, raw_id, doc_id, score), from blocks.
+
+    doc_id is the record's best text, ties in the order of `tie`. With `among` (raw_id) only those records are ranked;
+    frequencies and lengths are those of all.
+    """
+    q = asked_terms(queries, profile)
+    rec = record_bags(docs, q, profile, tie)
+    sizes = rec.groupBy(SCOPE, "doc_id").agg(F.sum("dl").alias("dl")) if pieces else rec
+    scope = sizes.groupBy(SCOPE).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_len"))
+    held = rec.select(SCOPE, "doc_id", F.explode("terms").alias("term"))
+    df = (held.distinct() if pieces else held).groupBy(SCOPE, "term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = q.join(df, [SCOPE, "term"]).join(scope, SCOPE).select("sample_id", SCOPE, "term", (F.col("qtf") * idf).alias("w"), F.greatest("avg_len", F.lit(floor)).alias("avg_len"))
+    ranked_ = rec if among is None else rec.join(among.select("raw_id").distinct(), "raw_id", "left_semi")
+    top = top_records(weighted_queries(weights), ranked_, depth, lambda tf, dl, avg: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avg)), tie=tie)
+    return top.withColumn("score", F.round("score", ROUND))
+
+
 def bm25(queries: DataFrame, docs: DataFrame, lane: str = "raw", depth: int = DEPTH, **kw) -> DataFrame:
-    return filled(bm25_scores(queries, docs, **kw), queries, docs, lane, depth)
+    return filled(bm25_top(queries, docs, depth, **kw), queries, docs, lane, depth)
 
 
 def lexical_lanes(queries: DataFrame, raws: DataFrame, facts: DataFrame, props: DataFrame) -> DataFrame:
@@ -135,51 +156,62 @@ def overlap_scores(queries: DataFrame, docs: DataFrame, profile: str = "word") -
 
 
 def set_overlap(queries: DataFrame, docs: DataFrame, lane: str = "overlap", profile: str = "word") -> DataFrame:
-    return filled(overlap_scores(queries, docs, profile), queries, docs, lane)
+    q = asked_terms(queries, profile)
+    top = top_records(weighted_queries(q.withColumn("w", F.lit(1.0)).withColumn("avg_len", F.lit(1.0))), record_bags(docs, q, profile), DEPTH,
+                      lambda tf, dl, avg: np.ones(len(tf)))
+    return filled(top, queries, docs, lane)
 
 
-def term_overlap_scores(queries: DataFrame, docs: DataFrame, profile: str = "plain") -> DataFrame:
-    """Σ min(tf) / Σ query tf."""
-    q = query_terms(queries, profile)
+def term_overlap_top(queries: DataFrame, docs: DataFrame, depth: int = DEPTH, order: str = "ord", profile: str = "plain") -> DataFrame:
+    """Σ min(tf) / Σ query tf, of the records that can be among a query's `depth` best."""
+    q = asked_terms(queries, profile)
     total = q.groupBy("sample_id").agg(F.sum("qtf").alias("_n"))
-    post = matched_terms(q, docs, profile, queries)
-    hit = keyed_join(post, q.join(total, "sample_id"), [SCOPE, "term"], "doc_id", size_of=queries)
-    return hit.groupBy("sample_id", "raw_id").agg(F.round(F.sum(F.least("tf", "qtf")) / F.max("_n"), ROUND).alias("score"))
+    top = top_records(weighted_queries(q.withColumn("w", F.col("qtf")).withColumn("avg_len", F.lit(1.0))), record_bags(docs, q, profile, [order]), depth,
+                      lambda tf, dl, avg: tf, least=True, tie=list(dict.fromkeys([order, "raw_id"])))
+    return top.join(total, "sample_id").select("sample_id", "raw_id", F.round(F.col("score") / F.col("_n"), ROUND).alias("score"))
 
 
 def term_overlap(queries: DataFrame, docs: DataFrame, lane: str = "term_overlap", depth: int = DEPTH, order: str = "ord") -> DataFrame:
     """Ties keep store order (`ord`)."""
-    return filled(term_overlap_scores(queries, docs), queries, docs, lane, depth, order)
+    return filled(term_overlap_top(queries, docs, depth, order), queries, docs, lane, depth, order)
 
 
 def page_lookup(queries: DataFrame, pages: DataFrame, k: int = 5) -> DataFrame:
     """Pages with any overlap; where a query has none, the first pages."""
-    s = term_overlap_scores(queries, pages)
+    s = cut_lineage(term_overlap_top(queries, pages, k))
     none = queries.join(s.select("sample_id").distinct(), "sample_id", "left_anti")
     head = none.join(first_ids(pages, k, "ord").select(SCOPE, "raw_id"), SCOPE).select("sample_id", "raw_id", F.lit(0.0).alias("score"))
     both = s.where("score > 0").unionByName(head).join(pages.select("raw_id", "ord"), "raw_id")
     return ranked(both, "page_lookup", k, [F.desc("score"), F.asc("ord")])
 
 
-def tfidf_scores(queries: DataFrame, docs: DataFrame, profile: str = "pairs") -> DataFrame:
-    """TF-IDF cosine; a query term no record holds has idf 1."""
-    df, scope = term_stats(docs, profile)
-    idf = df.join(scope, SCOPE).select(SCOPE, "term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    q = query_terms(queries, profile)
+def tfidf_top(queries: DataFrame, docs: DataFrame, depth: int = DEPTH, order: str = "ord", profile: str = "pairs") -> DataFrame:
+    """TF-IDF cosine of the records that can be among a query's `depth` best; a query term no record holds has idf 1.
+
+    Every term of a record counts in its norm, so the (record, term) counts are made once for frequencies and norms; the
+    norm takes the place of the length in the bags.
+    """
+    tf = cut_lineage(docs.select(SCOPE, "raw_id", F.explode(tx.tokens("text", profile)).alias("term")).groupBy(SCOPE, "raw_id", F.xxhash64("term").alias("term")).agg(F.count(F.lit(1)).alias("tf")))
+    scope = docs.groupBy(SCOPE).agg(F.count(F.lit(1)).alias("n_docs"))
+    df = tf.groupBy(SCOPE, "term").agg(F.count(F.lit(1)).alias("df"))
+    idf = cut_lineage(df.join(scope, SCOPE).select(SCOPE, "term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf")))
+    q = asked_terms(queries, profile)
     qi = q.join(idf, [SCOPE, "term"], "left").withColumn("idf", F.coalesce("idf", F.lit(1.0)))
     qn = qi.groupBy("sample_id").agg(F.sqrt(F.sum(F.pow(F.col("qtf") * F.col("idf"), 2))).alias("qn"))
-    d = docs.select(SCOPE, "raw_id", F.explode(tx.tokens("text", profile)).alias("term"))
-    tf = d.groupBy(SCOPE, "raw_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    norms = keyed_join(tf, idf, [SCOPE, "term"], "raw_id", size_of=docs).groupBy("raw_id").agg(
-        F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("dn"))
-    dot = keyed_join(tf, qi, [SCOPE, "term"], "raw_id", size_of=queries).groupBy("sample_id", "raw_id").agg(
-        F.sum(F.col("tf") * F.col("qtf") * F.pow("idf", F.lit(2))).alias("dot"))
-    return dot.join(norms, "raw_id").join(qn, "sample_id").select("sample_id", "raw_id", F.round(
-        F.col("dot") / (F.col("qn") * F.col("dn")), ROUND).alias("score"))
+    wanted = q.select(SCOPE, F.col("term").alias("_asked")).distinct()
+    each = keyed_join(tf, idf, [SCOPE, "term"], "raw_id")
+    each = keyed_join(each, wanted.withColumn("term", F.col("_asked")), [SCOPE, "term"], "raw_id", "left", size_of=queries)
+    held = each.groupBy(SCOPE, "raw_id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("dl"), F.collect_list(F.when(F.col("_asked").isNotNull(), F.struct("term", "tf"))).alias("t"))
+    bags = held.select(SCOPE, "raw_id", F.col("raw_id").alias("doc_id"), "dl", F.col("t.term").alias("terms"), F.col("t.tf").alias("tfs"))
+    if order != "raw_id":
+        bags = bags.join(docs.select("raw_id", order).distinct(), "raw_id")
+    weights = qi.join(qn, "sample_id").select("sample_id", SCOPE, "term", (F.col("qtf") * F.pow("idf", F.lit(2)) / F.col("qn")).alias("w"), F.lit(1.0).alias("avg_len"))
+    top = top_records(weighted_queries(weights), bags, depth, lambda tf, dl, avg: tf / dl, tie=list(dict.fromkeys([order, "raw_id"])))
+    return top.withColumn("score", F.round("score", ROUND))
 
 
 def tfidf_cosine(queries: DataFrame, docs: DataFrame, lane: str = "tfidf", depth: int = DEPTH) -> DataFrame:
-    return filled(tfidf_scores(queries, docs), queries, docs, lane, depth, "ord")
+    return filled(tfidf_top(queries, docs, depth), queries, docs, lane, depth, "ord")
 
 
 def observation_docs(turns: DataFrame, observations: DataFrame) -> DataFrame:
@@ -277,7 +309,7 @@ def episode_lane(queries: DataFrame, raws: DataFrame, profile: str = "structural
     matches and first 128 ids can reach the ranking.
     """
     sess = raws.select(SCOPE, F.col("session_no").alias("doc_id"), F.col("session_no").cast("string").alias("raw_id"), "text")
-    s = bm25_scores(queries, sess, profile=profile, pieces=True)
+    s = bm25_top(queries, sess.withColumn("ord", F.col("doc_id")), profile=profile, pieces=True, tie=["ord"])
     order = raws.select(SCOPE, F.col("session_no").cast("string").alias("raw_id"), F.col("session_no").alias("ord")).distinct()
     top = cut_lineage(filled(s, queries, order, "session", DEPTH, "ord")).select(
         "sample_id", F.col("raw_id").cast("int").alias("session_no"), F.col("rank").alias("_s"), F.col("score").alias("session_score"))
@@ -304,13 +336,13 @@ def role_fact_lane(queries: DataFrame, facts: DataFrame, raws: DataFrame) -> Dat
     is its first one. Records without facts follow by their own score. facts: …, ord.
     """
     role = role_texts(facts)
-    hit = bm25_scores(queries, role, profile="structural", keep_doc=True).join(role.select("doc_id", "ord"), "doc_id")
+    hit = bm25_top(queries, role, profile="structural", tie=["ord", "doc_id"]).join(role.select("doc_id", "ord"), "doc_id")
     place = lambda st, score, o: F.struct(F.lit(st).alias("st"), (-score).alias("s"), o.cast("double").alias("o"))
     zero = F.lit(0.0)
     own_facts = hit.groupBy("sample_id", "raw_id").agg(F.min(place(0, F.col("score"), F.col("ord"))).alias("p"))
     quiet = queries.select("sample_id", SCOPE).join(first_ids(role, DEPTH, "ord"), SCOPE).select("sample_id", "raw_id", place(1, zero, F.col("_o")).alias("p"))
     bare = raws.join(facts.select("raw_id").distinct(), "raw_id", "left_anti")
-    rest = filled(bm25_scores(queries, raws, profile="structural").join(bare.select("raw_id"), "raw_id", "left_semi"), queries, bare, "bare").select(
+    rest = filled(bm25_top(queries, raws, profile="structural", among=bare), queries, bare, "bare").select(
         "sample_id", "raw_id", place(2, zero, F.col("rank")).alias("p"))
     once = own_facts.unionByName(quiet).unionByName(rest).groupBy("sample_id", "raw_id").agg(F.min("p").alias("p"))
     return ranked(once.withColumn("score", F.when(F.col("p.st") == 0, -F.col("p.s")).otherwise(0.0)), "role_fact", DEPTH, [F.asc("p"), F.asc("raw_id")])
@@ -386,21 +418,7 @@ def occurrence_lanes(lanes: DataFrame, adj: DataFrame, raws: DataFrame, queries:
 # -- vector lanes ----------------------------------------------------------
 
 def _blocks(queries: DataFrame, docs: DataFrame):
-    """Cuts each scope into query blocks × record blocks of bounded size and pairs the blocks.
-
-    Records are assigned by id hash, so all rows of a record meet a query in one block.
-    """
-    nd = docs.groupBy(SCOPE).agg(F.ceil(F.count(F.lit(1)) / DOC_BLOCK).cast("int").alias("nd"))
-    nq = queries.groupBy(SCOPE).agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("nq"))
-    n = nd.join(nq, SCOPE)
-    cut = lambda key, k: F.pmod(F.xxhash64(key), F.col(k)).cast("int")
-    span = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    q = keyed_join(queries, n, [SCOPE], "sample_id", size_of=docs.select(SCOPE)).withColumn("qb", cut("sample_id", "nq")).withColumn("db", span("nd")).drop("nd", "nq")
-    d = keyed_join(docs, n, [SCOPE], "raw_id", size_of=docs.select(SCOPE)).withColumn("db", cut("raw_id", "nd")).withColumn("qb", span("nq")).drop("nd", "nq")
-    keys = [SCOPE, "qb", "db"]
-    own = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # both sides may come from one table
-    q, d = own(q), own(d)
-    return q.groupBy(*keys).cogroup(d.groupBy(*keys))
+    return block_pairs(queries, docs, QUERY_BLOCK, DOC_BLOCK)
 
 
 def _matrix(col: pd.Series, unit: bool) -> np.ndarray:
@@ -436,18 +454,9 @@ def _by_record(d: pd.DataFrame):
 def dense_lane(queries: DataFrame, docs: DataFrame, lane: str, depth: int = DEPTH) -> DataFrame:
     """Cosine of a query to the records of its scope, the best of a record's vectors counting.
 
-    queries: sample_id, scope, vec; docs: scope, raw_id, vec. One matrix product per block pair.
+    queries: sample_id, scope, vec; docs: scope, raw_id, vec. Through the pivot index (`pivots.nearest`).
     """
-    def score(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or d.empty:
-            return _frame(**_NO_ROWS)
-        d, ids, starts = _by_record(d)
-        s = np.maximum.reduceat(_matrix(q["vec"], True) @ _matrix(d["vec"], True).T, starts, axis=1)
-        return _best(s, q["sample_id"].tolist(), ids, depth)
-
-    cand = _blocks(queries.select("sample_id", SCOPE, "vec"), docs.select(SCOPE, "raw_id", "vec")).applyInPandas(
-        score, "sample_id string, raw_id string, score double")
-    return ranked(cand, lane, depth)
+    return ranked(nearest(queries.select("sample_id", SCOPE, "vec"), docs.select(SCOPE, "raw_id", "vec"), depth), lane, depth)
 
 
 def maxsim_lane(queries: DataFrame, docs: DataFrame, lane: str, depth: int = DEPTH) -> DataFrame:
@@ -539,11 +548,13 @@ def hybrid_lane(queries: DataFrame, docs: DataFrame, lane: str = "hybrid", depth
     return ranked(cand, lane, depth, [F.desc("score"), F.asc("ord")])
 
 
-def sparse_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Σ of weight products over shared terms. queries: sample_id, scope, term, weight; docs: raw_id, scope, term, weight"""
-    q = queries.withColumnRenamed("weight", "qw")
-    return keyed_join(docs, q, [SCOPE, "term"], "raw_id").groupBy("sample_id", "raw_id").agg(
-        F.round(F.sum(F.col("qw") * F.col("weight")), ROUND).alias("score"))
+def sparse_top(queries: DataFrame, docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Σ of weight products over shared terms. queries: sample_id, scope, term, weight; docs: raw_id, scope, term, weight (trimmed)"""
+    name = F.xxhash64("term").alias("term")
+    q = weighted_queries(queries.select("sample_id", SCOPE, name, F.col("weight").alias("w"), F.lit(1.0).alias("avg_len")))
+    d = docs.groupBy(SCOPE, "raw_id").agg(F.collect_list(F.struct(name, F.col("weight").cast("double").alias("weight"))).alias("t")).select(
+        SCOPE, "raw_id", F.col("raw_id").alias("doc_id"), F.lit(0).cast("bigint").alias("dl"), F.col("t.term").alias("terms"), F.col("t.weight").alias("tfs"))
+    return top_records(q, d, depth, lambda tf, dl, avg: tf).withColumn("score", F.round("score", ROUND))
 
 
 def trim_terms(rows: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
@@ -553,7 +564,7 @@ def trim_terms(rows: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
 
 def sparse_lane(queries: DataFrame, docs: DataFrame, lane: str = "splade") -> DataFrame:
     d, q = trim_terms(docs, ["raw_id"], 128), trim_terms(queries, ["sample_id"], 64)
-    return filled(sparse_scores(q, d), queries.select("sample_id", SCOPE).distinct(), docs, lane)
+    return filled(sparse_top(q, d), queries.select("sample_id", SCOPE).distinct(), docs, lane)
 
 
 # -- system lanes ----------------------------------------------------------
