@@ -230,10 +230,11 @@ def retrieval_metrics(units: DataFrame, retrieved: DataFrame, matches: DataFrame
     return out.join(c, "sample_id", "left").withColumn("CMR_R", F.coalesce("_c", F.lit(0))).drop("_c")
 
 
-def injection_metrics(units: DataFrame, prompts: DataFrame, retrieval: DataFrame | None = None) -> DataFrame:
-    """Where each unit stands in its prompt; PCR, TL and PS per sample.
+def injection_metrics(units: DataFrame, prompts: DataFrame, retrieval: DataFrame | None = None, contradictions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Where each unit stands in its prompt; PCR, TL, PS and CMR_P per sample.
 
-    units: sample_id, unit_id, unit; prompts: sample_id, system_prompt, user_prompt, memory_context, full_prompt
+    units: sample_id, unit_id, unit; prompts: sample_id, system_prompt, user_prompt, memory_context, full_prompt;
+    contradictions: the sample_id of prompts that a verdict says contradict the answer
     """
     parts = [("system_prompt", 0), ("user_prompt", 1), ("memory_context", 2), ("full_prompt", 3)]
     texts = prompts.select("sample_id", F.explode(F.array(*[F.struct(F.lit(str(i)).alias("text_id"), tx.text_of(c).alias("text")) for c, i in parts])).alias("x")).select("sample_id", "x.*")
@@ -245,6 +246,11 @@ def injection_metrics(units: DataFrame, prompts: DataFrame, retrieval: DataFrame
     j = j.withColumn("bucket", F.coalesce(F.try_element_at(names, F.col("part").cast("int") + 1), F.lit("not_injected"))).withColumn(
         "place", F.when((at >= 0) & (F.length("full_prompt") > 0), 1.0 - at / F.length("full_prompt")))
     per = j.groupBy("sample_id").agg((F.count_if(F.col("bucket") != "not_injected") / F.count(F.lit(1))).alias("PCR"), F.avg("place").alias("PS"))
+    if contradictions is None:
+        per = per.withColumn("CMR_P", F.lit(0))
+    else:
+        c = contradictions.select("sample_id").distinct().withColumn("_c", F.lit(1))
+        per = per.join(c, "sample_id", "left").withColumn("CMR_P", F.coalesce("_c", F.lit(0))).drop("_c")
     out = per if retrieval is None else per.join(retrieval.select("sample_id", "RFR"), "sample_id", "left").withColumn("TL", F.col("RFR") - F.col("PCR")).drop("RFR")
     return j.select("sample_id", "unit_id", "bucket", "place"), out
 

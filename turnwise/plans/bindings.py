@@ -29,15 +29,15 @@ def turns(t) -> DataFrame:
 
 
 QUESTIONS = f"""{TURNS}, questions as (select raw_id as sample_id, conversation_id, pos, text as query_text, speaker,
- regexp_extract_all(lower(text),'[a-z0-9'']+')[1:2] as targets from turns where speaker='user'),
+ regexp_extract_all(lower(text),'[a-z0-9'']+') as targets from turns where speaker='user'),
  gold as (select q.sample_id, t.raw_id, t.turn_id, q.conversation_id from questions q join turns t on t.conversation_id=q.conversation_id and t.pos=q.pos+1)"""
 
 
 def questions(t) -> DataFrame:
-    """Every user turn asks; its first two words are the target entities."""
+    """Every user turn asks; its words are the target entities."""
     u = turns(t).where("speaker = 'user'")
     return u.select(F.col("raw_id").alias("sample_id"), "conversation_id", "pos", F.col("text").alias("query_text"), "speaker",
-                    F.slice(tx.tokens("text", "plain"), 1, 2).alias("targets"))
+                    tx.tokens("text", "plain").alias("targets"))
 
 
 def gold(t) -> DataFrame:
@@ -108,8 +108,7 @@ def propositions(t) -> DataFrame:
 # -- documents as a larger corpus ------------------------------------------
 
 BENCH_QUESTIONS = """docs as (select doc_id::varchar as raw_id, 'all' as conversation_id, text, doc_id as ord from documents),
- bq as (select 'b'||item_id as sample_id, 'all' as conversation_id, text as passage,
-   array_to_string(regexp_extract_all(text,'\\S+')[1:12],' ') as query_text from benchmark),
+ bq as (select 'b'||item_id as sample_id, 'all' as conversation_id, text as passage, text as query_text from benchmark),
  bgold as (select b.sample_id, d.raw_id from bq b join docs d on contains(d.text, b.passage))"""
 
 
@@ -119,9 +118,8 @@ def docs(t) -> DataFrame:
 
 
 def bench_questions(t) -> DataFrame:
-    first = F.array_join(F.slice(tx.find_all(F.col("text"), r"\S+"), 1, 12), " ")
     return t.benchmark.select(F.concat(F.lit("b"), F.col("item_id")).alias("sample_id"), F.lit("all").alias("conversation_id"),
-                              F.col("text").alias("passage"), first.alias("query_text"))
+                              F.col("text").alias("passage"), F.col("text").alias("query_text"))
 
 
 # -- embeddings as vectors -------------------------------------------------

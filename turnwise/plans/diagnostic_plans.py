@@ -4,12 +4,15 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import diagnostics as dg
 from ..session import cut_lineage
+from ..operators import cosine_join, lanes as ln
 from . import bindings as b, sqlkit as k
+from .lane_plans import RAWDOC, filled, raws, scored_bm25
 from .registry import plan
 
-# units: the sentences of the gold turn; entries: the turns of the conversation near the question
-UNITS = """units as (select g.sample_id, 'u'||f.ord as unit_id, f.retrieval_text as unit from gold g join facts f on f.raw_id=g.raw_id),
- texts as (select q.sample_id, t.raw_id as text_id, t.text, t.pos-q.pos+1 as rank from questions q join turns t on t.conversation_id=q.conversation_id and t.pos between q.pos and q.pos+2)"""
+# units: the sentences of the gold turn; entries: the text lane over the question's whole conversation
+UNITS = f"""units as (select g.sample_id, 'u'||f.ord as unit_id, f.retrieval_text as unit from gold g join facts f on f.raw_id=g.raw_id), {RAWDOC},
+ {scored_bm25('xm', 'questions', 'rawdoc')}, {filled('xl', 'questions', 'rawdoc', 'xm_r', 'raw_id')},
+ texts as (select l.sample_id, t.raw_id as text_id, t.text, l.rank from xl l join turns t on t.raw_id=l.raw_id)"""
 
 
 def units(t):
@@ -18,9 +21,9 @@ def units(t):
 
 
 def texts(t):
-    q = b.questions(t).select("sample_id", "conversation_id", F.col("pos").alias("q"))
-    tt = b.turns(t).select("conversation_id", "raw_id", "pos", "text").withColumn("q", F.explode(F.array("pos", F.col("pos") - 1, F.col("pos") - 2)))
-    return q.join(tt, ["conversation_id", "q"]).select("sample_id", F.col("raw_id").alias("text_id"), "text", (F.col("pos") - F.col("q") + 1).alias("rank"))
+    """The ranking of each question's whole conversation, written once as it feeds several branches."""
+    lane = ln.bm25(b.questions(t), raws(t)).select("sample_id", F.col("raw_id").alias("text_id"), "rank")
+    return cut_lineage(lane.join(b.turns(t).select(F.col("raw_id").alias("text_id"), "text"), "text_id").select("sample_id", "text_id", "text", "rank"))
 
 
 _NU, _NT = k.norm_answer("u.unit"), k.norm_answer("t.text")
@@ -37,7 +40,7 @@ def _(t):
 
 @plan("ext_fuzzy_ratio")
 def _(t):
-    u = units(t).join(texts(t).where("rank = 2"), "sample_id").select(F.concat_ws("|", "sample_id", "unit_id", "text_id").alias("pair_id"), "unit", "text")
+    u = units(t).join(texts(t), "sample_id").select(F.concat_ws("|", "sample_id", "unit_id", "text_id").alias("pair_id"), "unit", "text")
     return dg.evidence_in_text(u)
 
 
@@ -101,16 +104,31 @@ _DUP = f"""dw as (select source as sample_id, doc_id::varchar as text_id, list_d
  dup as (select a.sample_id, a.text_id, b.text_id other_id from dw a join dw b on a.sample_id=b.sample_id and a.text_id<b.text_id where len(a.w)>0 and len(b.w)>0 and len(list_intersect(a.w,b.w))/(len(a.w)+len(b.w)-len(list_intersect(a.w,b.w))) > 0.85)"""
 
 
-@plan("dg_encoding", f"""{_BASE}, {_DUP}, cov as (select sample_id, count(distinct unit_id) c, count(distinct text_id) u from matches group by 1), nu as (select sample_id, count(*) n from units group by 1), ne as (select sample_id, count(*) n from texts group by 1)
+#: A record's later vectors lean towards its first one, so that some are alike.
+_VEC = """ve as (select a.label::varchar sample_id, a.vec_id, 'entry '||(a.vec_id%37) as text, list_transform(range(1, len(a.embedding)+1), lambda i: a.embedding[i]::double + 2*b.embedding[i]::double) v
+ from embeddings a join embeddings b on b.vec_id=a.vec_id-a.vec_id%3)"""
+
+
+def vector_entries(t):
+    first = t.embeddings.select((F.col("vec_id")).alias("_f"), F.col("embedding").alias("_e"))
+    e = t.embeddings.join(first, F.col("vec_id") - F.col("vec_id") % 3 == F.col("_f"))
+    return e.select(F.col("label").cast("string").alias("sample_id"), F.concat(F.lit("entry "), F.col("vec_id") % 37).alias("text"),
+                    F.zip_with("embedding", "_e", lambda x, y: x.cast("double") + 2 * y.cast("double")).alias("vec"))
+
+
+@plan("dg_encoding", f"""{_BASE}, {_DUP}, {_VEC}, cov as (select sample_id, count(distinct unit_id) c, count(distinct text_id) u from matches group by 1), nu as (select sample_id, count(*) n from units group by 1), ne as (select sample_id, count(*) n from texts group by 1)
 select 'evidence' as part, ne.sample_id, round(coalesce(c,0)/nu.n,6) as q_fcr, round(coalesce(u,0)/ne.n,6) as cmr, null::double as rdr from ne left join nu using (sample_id) left join cov using (sample_id)
-union all select 'redundancy', s.sample_id, null, null, round(coalesce(d.n,0)/(s.n*(s.n-1)/2),6) from (select sample_id, count(*) n from dw group by 1) s left join (select sample_id, count(*) n from dup group by 1) d using (sample_id)""")
+union all select 'redundancy', s.sample_id, null, null, round(coalesce(d.n,0)/(s.n*(s.n-1)/2),6) from (select sample_id, count(*) n from dw group by 1) s left join (select sample_id, count(*) n from dup group by 1) d using (sample_id)
+union all select 'redundancy by vector', s.sample_id, null, null, round(coalesce(d.n,0)/(s.n*(s.n-1)/2),6) from (select sample_id, count(*) n from ve group by 1) s left join (select a.sample_id, count(*) n from ve a join ve b on a.sample_id=b.sample_id and a.vec_id<b.vec_id
+ where a.text=b.text or list_cosine_similarity(a.v, b.v) > 0.85 group by 1) d using (sample_id)""")
 def _(t):
     e = dg.encoding_metrics(units(t), texts(t)).select(F.lit("evidence").alias("part"), "sample_id", F.round("Q_FCR", 6).alias("q_fcr"), F.round("CMR", 6).alias("cmr"))
     docs = t.documents.select(F.col("source").alias("sample_id"), F.col("doc_id").cast("string").alias("text_id"), "text")
     d = dg.duplicate_pairs(docs).groupBy("sample_id").agg(F.count(F.lit(1)).alias("d"))
     n = docs.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).join(d, "sample_id", "left")
     r = n.select(F.lit("redundancy").alias("part"), "sample_id", F.round(F.coalesce("d", F.lit(0)) / (F.col("n") * (F.col("n") - 1) / 2), 6).alias("rdr"))
-    return e.unionByName(r, allowMissingColumns=True)
+    v = cosine_join.redundancy(vector_entries(t)).select(F.lit("redundancy by vector").alias("part"), "sample_id", F.round("RDR", 6).alias("rdr"))
+    return e.unionByName(r, allowMissingColumns=True).unionByName(v, allowMissingColumns=True)
 
 
 @plan("dg_minmax", """with e as (select o_custkey, min(o_totalprice) lo, max(o_totalprice) hi from orders group by 1) select o_custkey as sample_id, o_orderkey, round(case when hi-lo<=1e-8 then 0 else (o_totalprice-lo)/(hi-lo) end,6) as score from orders join e using (o_custkey)""")
@@ -138,61 +156,101 @@ def _(t):
 
 # -- probe and organization ------------------------------------------------
 
-def _probe_inputs(t):
-    """Queries over the three turns of their memory; similarity is the share of common words."""
-    x = texts(t)
+def _probe_inputs(t, x):
+    """Queries over the entries of their memory; similarity is the share of common words."""
     q = b.questions(t).select("sample_id", F.col("sample_id").alias("conversation_id"), "query_text")
     e = x.select(F.col("sample_id").alias("conversation_id"), F.col("text_id").alias("raw_id"), "text")
     w = lambda c: tx.token_set(c, "plain")
     s = x.join(q.select("sample_id", "query_text"), "sample_id").select("sample_id", F.col("text_id").alias("raw_id"), F.round(
         F.size(F.array_intersect(w("text"), w("query_text"))) / F.greatest(F.size(F.array_union(w("text"), w("query_text"))), F.lit(1)), 9).alias("score"))
-    vis = x.select("sample_id", F.col("text_id").alias("entry_id"), (F.col("rank") / 3.0).alias("visibility"))
+    vis = x.select("sample_id", F.col("text_id").alias("entry_id"), (F.col("rank") % 5 / 4).alias("visibility"))
     return q, e, s, vis
 
 
-@plan("dg_probe")
+_PROBE = f"""pq as (select sample_id, sample_id as conversation_id, query_text from questions), pe as (select sample_id as conversation_id, text_id as doc_id, text_id as raw_id, text from texts),
+ {scored_bm25('pb', 'pq', 'pe', 'space', 1.5, 0.75, '0.000001')},
+ psim as (select x.sample_id, x.text_id raw_id, round(len(list_intersect({k.tokset('x.text', 'plain')}, {k.tokset('q.query_text', 'plain')}))/greatest(len(list_distinct(list_concat({k.tokset('x.text', 'plain')}, {k.tokset('q.query_text', 'plain')}))),1),9) score,
+   (x.rank%5)/4.0 visibility from texts x join questions q using (sample_id)),
+ pj as (select p.sample_id, p.raw_id, p.visibility, p.score sem, coalesce(r.score,0.0) lex from psim p left join pb_r r on r.sample_id=p.sample_id and r.raw_id=p.raw_id),
+ px as (select sample_id, min(sem) a, max(sem) b, min(lex) c, max(lex) d from pj group by 1),
+ pc as (select sample_id, raw_id, visibility, round(0.5*(case when d-c<=1e-8 then 0.0 else (lex-c)/(d-c) end)+0.5*(case when b-a<=1e-8 then 0.0 else (sem-a)/(b-a) end),9) combined from pj join px using (sample_id)),
+ probe as (select sample_id, raw_id, round(combined,4) bucket, row_number() over (partition by sample_id order by round(combined,4) desc, visibility desc, combined desc, raw_id desc)::bigint rank from pc),
+ flat as (select sample_id, raw_id, row_number() over (partition by sample_id order by round(combined,4) desc, combined desc, raw_id desc)::bigint rank from pc),
+ nun as (select sample_id, count(*) n from units group by 1),
+ rs as (select n.sample_id, coalesce(c,0)/n r from nun n left join (select m.sample_id, count(distinct unit_id) c from matches m join probe p on p.sample_id=m.sample_id and p.raw_id=m.text_id and p.rank<=5 group by 1) x using (sample_id)),
+ rf as (select n.sample_id, coalesce(c,0)/n r from nun n left join (select m.sample_id, count(distinct unit_id) c from matches m join flat p on p.sample_id=m.sample_id and p.raw_id=m.text_id and p.rank<=5 group by 1) x using (sample_id)),
+ vg as (select sample_id, max((t.rank%5)/4.0) v from (select distinct sample_id, text_id from matches) m join texts t using (sample_id, text_id) group by 1), vb as (select sample_id, max((rank%5)/4.0) v from texts where rank%3=0 group by 1),
+ org as (select rs.sample_id, rs.r sigma, rf.r flat, rs.r-rf.r oqg, case when vg.v is not null and vb.v is not null then (vg.v>vb.v)::int end cp from rs join rf using (sample_id) left join vg using (sample_id) left join vb using (sample_id))"""
+
+
+@plan("dg_probe", f"{_BASE}, {_PROBE} select sample_id, raw_id, rank, bucket from probe where rank<=2")
 def _(t):
-    q, e, s, vis = _probe_inputs(t)
+    q, e, s, vis = _probe_inputs(t, texts(t))
     return dg.standard_probe(q, e, s, vis, 2)
 
 
-@plan("dg_organization")
+def _organization(t, x, m):
+    q, e, s, vis = _probe_inputs(t, x)
+    return dg.organization_metrics(units(t), dg.standard_probe(q, e, s, vis), dg.standard_probe(q, e, s, None), m, _opposed(x), vis)
+
+
+def _opposed(x):
+    """Every third entry of a ranking stands for those that a verdict table says contradict the answer."""
+    return x.where("rank % 3 = 0").select("sample_id", "text_id")
+
+
+@plan("dg_organization", f"""{_BASE}, {_PROBE} select sample_id, round(sigma,6) as "RFR_std_sigma", round(flat,6) as "RFR_std_flat", round(oqg,6) as "OQG", cp as "CP_ratio" from org""")
 def _(t):
-    q, e, s, vis = _probe_inputs(t)
-    m = cut_lineage(dg.evidence_pairs(units(t), texts(t)))
-    bad = texts(t).where("rank = 3").select("sample_id", "text_id")
-    return dg.organization_metrics(units(t), dg.standard_probe(q, e, s, vis, 1), dg.standard_probe(q, e, s, None, 1), m, bad, vis)
+    x = texts(t)
+    o = _organization(t, x, cut_lineage(dg.evidence_pairs(units(t), x)))
+    return o.select("sample_id", *[F.round(c, 6).alias(c) for c in ("RFR_std_sigma", "RFR_std_flat", "OQG")], "CP_ratio")
+
 
+_RETRIEVED = """fr as (select sample_id, unit_id, min(rank) r from matches where rank<=5 group by 1,2), fp as (select sample_id, count(*) c, min(r) r from fr group by 1),
+ ret as (select n.sample_id, coalesce(c,0)/n rfr, coalesce(c,0)/n-o.sigma rag, coalesce(1/fp.r,0) mrr, case when exists(select 1 from texts t where t.sample_id=n.sample_id and t.rank<=5 and t.rank%3=0) then 1 else 0 end cmr_r
+  from nun n left join fp using (sample_id) left join org o using (sample_id))"""
 
-@plan("dg_retrieval", f"""{_BASE}, nu as (select sample_id, count(*) n from units group by 1), fr as (select sample_id, unit_id, min(rank) r from matches where rank<=2 group by 1,2), p as (select sample_id, count(*) c, min(r) r from fr group by 1)
-select nu.sample_id, round(coalesce(c,0)/n,6) as rfr, round(coalesce(c,0)/n-0.5,6) as rag, round(coalesce(1/r,0),6) as mrr, case when exists(select 1 from texts t where t.sample_id=nu.sample_id and t.rank=2) then 1 else 0 end as cmr_r from nu left join p using (sample_id)""")
+
+@plan("dg_retrieval", f"{_BASE}, {_PROBE}, {_RETRIEVED} select sample_id, round(rfr,6) as rfr, round(rag,6) as rag, round(mrr,6) as mrr, cmr_r from ret")
 def _(t):
-    std = b.questions(t).select("sample_id", F.lit(0.5).alias("RFR_std_sigma"))
     x = texts(t)
-    r = dg.retrieval_metrics(units(t), x.select("sample_id", F.col("text_id").alias("raw_id"), "rank"), dg.evidence_pairs(units(t), x), std, 2, x.where("rank >= 2").select("sample_id", "text_id"))
+    m = cut_lineage(dg.evidence_pairs(units(t), x))
+    r = dg.retrieval_metrics(units(t), x.select("sample_id", F.col("text_id").alias("raw_id"), "rank"), m, _organization(t, x, m), 5, _opposed(x))
     return r.select("sample_id", F.round("RFR", 6).alias("rfr"), F.round("RAG", 6).alias("rag"), F.round("MRR", 6).alias("mrr"), F.col("CMR_R").alias("cmr_r"))
 
 
-_PROMPT = """pm as (select q.sample_id, case when q.pos%4=0 then 'Rules. '||coalesce(n.text,'') else 'Rules.' end sp, 'Question: '||q.query_text up, coalesce(n.text,'') mc from questions q left join turns n on n.conversation_id=q.conversation_id and n.pos=q.pos+1 and n.pos%4<>1),
- pf as (select *, sp||chr(10)||mc||chr(10)||up fp from pm), parts as (select sample_id, sp t, 0 i from pf union all select sample_id, up, 1 from pf union all select sample_id, mc, 2 from pf union all select sample_id, fp, 3 from pf)"""
+_PROMPT = """pn0 as (select sample_id, string_agg(text, chr(10) order by rank) mc from texts where rank<=5 group by 1),
+ pm as (select q.sample_id, case when q.pos%4=0 then 'Rules. '||coalesce(n.mc,'') else 'Rules.' end sp, 'Question: '||q.query_text up, case when q.pos%8=2 then '' else coalesce(n.mc,'') end mc from questions q left join pn0 n using (sample_id)),
+ pf as (select *, sp||chr(10)||mc||chr(10)||up fp from pm), parts as (select sample_id, sp t, 0 i from pf union all select sample_id, up, 1 from pf union all select sample_id, mc, 2 from pf union all select sample_id, fp, 3 from pf),
+ opp as (select distinct t.sample_id from texts t join pf using (sample_id) where t.rank%3=0 and t.rank<=9 and trim(t.text)<>'' and contains(pf.fp, t.text))"""
 
 
-def prompt_rows(t):
-    n = b.turns(t).where("pos % 4 <> 1").select("conversation_id", (F.col("pos") - 1).alias("pos"), F.col("text").alias("nt"))
-    q = b.questions(t).join(n, ["conversation_id", "pos"], "left").withColumn("nt", F.coalesce("nt", F.lit("")))
-    p = q.select("sample_id", F.when(F.col("pos") % 4 == 0, F.concat(F.lit("Rules. "), "nt")).otherwise("Rules.").alias("system_prompt"), F.concat(F.lit("Question: "), "query_text").alias("user_prompt"), F.col("nt").alias("memory_context"))
+def prompt_rows(t, x):
+    """Prompts over the first five entries of the ranking, in its order."""
+    best = x.where("rank <= 5").groupBy("sample_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda r: r["text"]), "\n").alias("nt"))
+    q = b.questions(t).join(best, "sample_id", "left").withColumn("nt", F.coalesce("nt", F.lit("")))
+    p = q.select("sample_id", F.when(F.col("pos") % 4 == 0, F.concat(F.lit("Rules. "), "nt")).otherwise("Rules.").alias("system_prompt"), F.concat(F.lit("Question: "), "query_text").alias("user_prompt"),
+                 F.when(F.col("pos") % 8 == 2, "").otherwise(F.col("nt")).alias("memory_context"))
     return p.withColumn("full_prompt", F.concat_ws("\n", "system_prompt", "memory_context", "user_prompt"))
 
 
+def _opposed_prompts(prompts, x):
+    """Prompts that hold the text of an opposed entry, as a verdict table."""
+    o = x.where("rank % 3 = 0 AND rank <= 9 AND trim(text) <> ''").select("sample_id", "text")
+    return o.join(prompts.select("sample_id", "full_prompt"), "sample_id").where(F.contains("full_prompt", F.col("text"))).select("sample_id").distinct()
+
+
 @plan("dg_injection", f"""{_BASE}, {_PROMPT}, pn as (select sample_id, i, {k.norm_answer('t')} nt from parts),
  h as (select u.sample_id, u.unit_id, min(i) i from un u join pn p using (sample_id) where nu<>'' and nt<>'' and (contains(nt,nu) or len(list_intersect(list_distinct(string_split(nu,' ')), list_distinct(string_split(nt,' '))))/len(list_distinct(string_split(nu,' '))) >= 0.8) group by 1,2),
  j as (select u.sample_id, u.unit_id, case h.i when 0 then 'system_prompt' when 1 then 'front_user_prompt' when 2 then 'middle_context' when 3 then 'end_context' else 'not_injected' end bucket,
    case when instr(lower(fp), lower({k.strip('unit')}))>0 then 1-(instr(lower(fp), lower({k.strip('unit')}))-1)/length(fp) end place from units u join pf using (sample_id) left join h on h.sample_id=u.sample_id and h.unit_id=u.unit_id)
-select sample_id, round(count(*) filter (bucket<>'not_injected')/count(*),6) as pcr, round(avg(place),6) as ps, string_agg(unit_id||'='||bucket, ',' order by unit_id) as buckets from j group by 1""")
+select sample_id, round(count(*) filter (bucket<>'not_injected')/count(*),6) as pcr, round(avg(place),6) as ps, string_agg(unit_id||'='||bucket, ',' order by unit_id) as buckets, (sample_id in (select sample_id from opp))::int as cmr_p from j group by 1""")
 def _(t):
-    each, per = dg.injection_metrics(units(t), prompt_rows(t))
+    x = texts(t)
+    p = cut_lineage(prompt_rows(t, x))
+    each, per = dg.injection_metrics(units(t), p, contradictions=_opposed_prompts(p, x))
     lab = each.groupBy("sample_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_id", "bucket"))), lambda x: F.concat(x["unit_id"], F.lit("="), x["bucket"])), ",").alias("buckets"))
-    return per.join(lab, "sample_id").select("sample_id", F.round("PCR", 6).alias("pcr"), F.round("PS", 6).alias("ps"), "buckets")
+    return per.join(lab, "sample_id").select("sample_id", F.round("PCR", 6).alias("pcr"), F.round("PS", 6).alias("ps"), "buckets", F.col("CMR_P").alias("cmr_p"))
 
 
 @plan("dg_counterfactual", f"""with a as (select o_orderkey::varchar base_id, o_orderpriority p, case when o_orderkey%3=0 then o_orderpriority when o_orderkey%3=1 then upper(o_orderstatus) else 'z' end q, case when o_orderkey%5=0 then '' else lower(o_orderstatus) end want, o_orderkey from orders)
@@ -261,13 +319,22 @@ def _(t):
     return g.select("system", "dataset", "task_type", "question_type", "num_samples", F.col("T_star_size").alias("t_star"), r("Acc_all", "acc_all"), r("Acc_T_star", "acc_t_star"), r("FullContext_T_star", "full_t_star"), r("UG", "ug"))
 
 
-@plan("dg_e2e", f"""{_BASE}, {_PRED}, cov as (select sample_id, count(distinct unit_id) c from matches group by 1), nu as (select sample_id, count(*) n from units group by 1), n as (select sample_id, {k.norm_answer('pred_answer')} p, {k.norm_answer('gold')} g from pr),
- fr as (select sample_id, count(distinct unit_id) c from matches where rank<=2 group by 1)
-select q.sample_id, round(coalesce(cov.c,0)/nu.n,6) as q_fcr, round(coalesce(fr.c,0)/nu.n,6) as rfr, case when g<>'' and contains(p,g) then 1 else 0 end as acc from questions q left join nu using (sample_id) left join cov using (sample_id) left join fr using (sample_id) left join n using (sample_id)""")
+@plan("dg_e2e", f"""{_BASE}, {_PROBE}, {_RETRIEVED}, {_PRED}, {_PROMPT}, pn as (select sample_id, i, {k.norm_answer('t')} nt from parts),
+ h as (select distinct u.sample_id, u.unit_id from un u join pn p using (sample_id) where nu<>'' and nt<>'' and (contains(nt,nu) or len(list_intersect(list_distinct(string_split(nu,' ')), list_distinct(string_split(nt,' '))))/len(list_distinct(string_split(nu,' '))) >= 0.8)),
+ inj as (select u.sample_id, count(h.unit_id)/count(*) pcr, avg(case when instr(lower(fp), lower({k.strip('unit')}))>0 then 1-(instr(lower(fp), lower({k.strip('unit')}))-1)/length(fp) end) ps from units u join pf using (sample_id) left join h on h.sample_id=u.sample_id and h.unit_id=u.unit_id group by 1),
+ dw2 as (select sample_id, text_id, list_distinct(list_filter(string_split(nt,' '), lambda x: x<>'')) w from tn),
+ rd as (select a.sample_id, count(*) d from dw2 a join dw2 b on a.sample_id=b.sample_id and a.text_id<b.text_id where len(a.w)>0 and len(b.w)>0 and len(list_intersect(a.w,b.w))/(len(a.w)+len(b.w)-len(list_intersect(a.w,b.w))) > 0.85 group by 1),
+ cov as (select sample_id, count(distinct unit_id) c, count(distinct text_id) u from matches group by 1), ne as (select sample_id, count(*) n from texts group by 1), n as (select sample_id, {k.norm_answer('pred_answer')} p, {k.norm_answer('gold')} g from pr)
+select q.sample_id, case when g<>'' and contains(p,g) then 1 else 0 end as "Acc", round(coalesce(cov.c,0)/nun.n,6) as "Q_FCR", round(case when ne.n>1 then coalesce(rd.d,0)/(ne.n*(ne.n-1)/2) else 0 end,6) as "RDR", round(coalesce(cov.u,0)/ne.n,6) as "CMR",
+ case when exists(select 1 from texts t where t.sample_id=q.sample_id and t.rank%3=0) then 1 else 0 end as "CMR_M", round(oqg,6) as "OQG", cp as "CP_ratio", round(rfr,6) as "RFR", round(rag,6) as "RAG", round(mrr,6) as "MRR", cmr_r as "CMR_R",
+ round(pcr,6) as "PCR", round(rfr-pcr,6) as "TL", round(ps,6) as "PS", case when inj.sample_id is not null then (q.sample_id in (select sample_id from opp))::int end as "CMR_P"
+from questions q left join nun using (sample_id) left join cov using (sample_id) left join ne using (sample_id) left join rd using (sample_id) left join org using (sample_id) left join ret using (sample_id) left join inj using (sample_id) left join n using (sample_id)""")
 def _(t):
     u, x = units(t), texts(t)
     m = cut_lineage(dg.evidence_pairs(u, x))
-    std = b.questions(t).select("sample_id", F.lit(0.0).alias("RFR_std_sigma"))
-    _, inj = dg.injection_metrics(u, prompt_rows(t))
-    row = dg.e2e_row(dg.encoding_metrics(u, x), std, dg.retrieval_metrics(u, x.select("sample_id", F.col("text_id").alias("raw_id"), "rank"), m, std, 2), inj, dg.answer_correct(preds(t), fuzzy=False).select("sample_id", "Acc"))
-    return row.select("sample_id", F.round("Q_FCR", 6).alias("q_fcr"), F.round("RFR", 6).alias("rfr"), F.col("Acc").alias("acc"))
+    org = cut_lineage(_organization(t, x, m))
+    ret = cut_lineage(dg.retrieval_metrics(u, x.select("sample_id", F.col("text_id").alias("raw_id"), "rank"), m, org, 5, _opposed(x)))
+    p = cut_lineage(prompt_rows(t, x))
+    _, inj = dg.injection_metrics(u, p, ret, _opposed_prompts(p, x))
+    row = dg.e2e_row(dg.encoding_metrics(u, x, _opposed(x)), org.drop("RFR_std_sigma", "RFR_std_flat"), ret, inj, dg.answer_correct(preds(t), fuzzy=False).select("sample_id", "Acc"))
+    return row.select("sample_id", *[F.round(c, 6).alias(c) if c in ("Q_FCR", "RDR", "CMR", "OQG", "RFR", "RAG", "MRR", "PCR", "TL", "PS") else F.col(c) for c in dg.METRICS])

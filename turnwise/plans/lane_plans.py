@@ -65,7 +65,7 @@ def _out(df):
 select g.sample_id, g.n::bigint as n_gold, count(l.raw_id)::bigint as n_found, round(count(l.raw_id)/g.n,6) as recall, min(l.rank) as first_rank
 from g left join bgold b on b.sample_id=g.sample_id left join l on l.sample_id=b.sample_id and l.raw_id=b.raw_id group by g.sample_id, g.n""")
 def _(t):
-    """BM25 top 10 over all documents for each benchmark passage opening, with recall of the documents holding the passage."""
+    """BM25 top 10 over all documents for each benchmark passage, with recall of the documents holding the passage."""
     from ..operators.matching import contains_pairs
     q, d = b.bench_questions(t), b.docs(t)
     top = ln.bm25(q, d, "raw", 10)
@@ -437,12 +437,12 @@ def _(t):
     return _out(ln.term_overlap(b.bench_questions(t), b.docs(t)))
 
 
-@plan("ln_page_lookup", f"""with {b.QUESTIONS}, pg as (select conversation_id, raw_id, text, pos ord from turns where pos%2=1), {_TOV.format(q='questions', d='pg')},
+@plan("ln_page_lookup", f"""with {b.QUESTIONS}, pg as (select conversation_id, raw_id, text, pos ord from turns), {_TOV.format(q='questions', d='pg')},
  z as (select q.sample_id, p.raw_id, p.ord, coalesce(o.score,0.0) score from questions q join pg p using (conversation_id) left join ot o on o.sample_id=q.sample_id and o.raw_id=p.raw_id),
  m as (select *, max(score) over (partition by sample_id) best from z)
 select * from (select sample_id, raw_id, score, row_number() over (partition by sample_id order by score desc, ord)::bigint rank from m where score>0 or best=0) where rank<=5""")
 def _(t):
-    return _out(ln.page_lookup(b.questions(t), raws(t).where("pos % 2 = 1")))
+    return _out(ln.page_lookup(b.questions(t), raws(t)))
 
 
 @plan("ln_hybrid", f"""with v as (select e.vec_id, label::varchar conversation_id, list_transform(embedding, lambda x: x::double) v, regexp_extract_all(lower(d.text),'[a-z0-9'']+') w from embeddings e join documents d on d.doc_id=e.vec_id),
