@@ -27,14 +27,19 @@ def slow_quota(lanes, amounts, order, limit):
     return out
 
 
-def test_fill_quota():
-    rng = random.Random(1)
-    for _ in range(200):
+def test_quota_fold_equals_steps(spark):
+    rng, rows, want = random.Random(1), [], {}
+    spec = {arm: [(n, rng.randint(1, 6)) for n in fusion.LANE_ORDER] for arm in ("A", "B")}
+    for q in range(60):
         ids = [f"r{i}" for i in range(rng.randint(1, 30))]
         lanes = {n: rng.sample(ids, rng.randint(0, len(ids))) for n in fusion.LANE_ORDER}
-        amounts = [(n, rng.randint(1, 6)) for n in fusion.LANE_ORDER]
-        limit = rng.randint(1, 30)
-        assert fusion.fill_quota(lanes, amounts, fusion.LANE_ORDER, limit) == slow_quota(lanes, amounts, fusion.LANE_ORDER, limit)
+        rows += [(f"q{q}", n, r, i + 1) for n, rs in lanes.items() for i, r in enumerate(rs)]
+        for arm, amounts in spec.items():
+            want[f"q{q}", arm] = slow_quota(lanes, amounts, fusion.LANE_ORDER, 13)
+    got = {}
+    for r in fusion.quota_fill(spark.createDataFrame(rows, "sample_id string, lane string, raw_id string, rank int"), spec, limit=13).orderBy("rank").collect():
+        got.setdefault((r.sample_id, r.arm), []).append(r.raw_id)
+    assert got == {k: v for k, v in want.items() if v}
 
 
 def test_route_keeps_core_quota_closure_and_fills():

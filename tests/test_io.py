@@ -2,6 +2,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from turnwise import systems
 from turnwise.session import cut_lineage, shared_dir
@@ -53,9 +54,33 @@ def test_latest_over_several_batches(spark, tmp_path):
         spark.createDataFrame(rows, "k string, position long, v string").coalesce(1).write.mode("append").parquet(src_dir)
     src = jn.read_stream(spark, src_dir, "k string, position long, v string", files_per_batch=1)
     jn.drain(jn.upsert_latest(src, ["k"], "position", str(tmp_path / "out")))
-    last = max(int(p.name[2:]) for p in (tmp_path / "out").iterdir() if p.name.startswith("v="))
-    assert last == 2
-    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / f"v={last}")).select("k", "v").collect()) == [("a", "y"), ("b", "x"), ("c", "z")]
+    table = jn.LatestTable(spark, str(tmp_path / "out"), src.schema, ["k"], "position")
+    assert sorted(tuple(r) for r in table.read().select("k", "v").collect()) == [("a", "y"), ("b", "x"), ("c", "z")]
+
+
+def _bytes(path):
+    return {str(f): f.stat().st_size for f in path.rglob("*.parquet")}
+
+
+def test_a_batch_writes_what_it_brings(spark, tmp_path):
+    """Bytes written follow the batch, not the table; every bucket is compacted in time and old files go."""
+    table = jn.LatestTable(spark, str(tmp_path), spark.createDataFrame([], "k long, position long, v string").schema, ["k"], "position", 8)
+    batch = lambda low, n, at: spark.range(low, low + n).select(F.col("id").alias("k"), F.lit(at).cast("long").alias("position"), F.concat(F.lit(f"{at}-"), F.sha2(F.col("id").cast("string"), 256)).alias("v"))
+    table.merge(batch(0, 20_000, 1), 0)
+    seen, whole = _bytes(tmp_path), sum(_bytes(tmp_path).values())
+    want = {k: 1 for k in range(20_000)}
+    for n in range(1, 14):
+        table.merge(batch(n, 1, n + 1), n)
+        want[n] = n + 1
+        now = _bytes(tmp_path)
+        if n < jn.DELTAS:
+            assert sum(size for f, size in now.items() if f not in seen) < whole / 20
+        seen = now
+    table.merge(batch(5, 1, 3), 13)                        # a retried batch, and a late row: neither changes what is later
+    want[14 - 1] = want.pop(13)
+    got = {r.k: r.position for r in table.read().collect()}
+    assert {k: v for k, v in got.items() if v > 1 and k != 13} == {k: v for k, v in want.items() if v > 1 and k != 13} and len(got) == 20_000
+    assert sum(_bytes(tmp_path).values()) < 3 * whole and len(table._numbers("manifest")) == 2
 
 
 def test_streams_go_on_after_a_stop(spark, tmp_path):
@@ -66,7 +91,7 @@ def test_streams_go_on_after_a_stop(spark, tmp_path):
         src = jn.read_stream(spark, src_dir, schema)
         jn.drain(jn.upsert_latest(src, ["k"], "position", out))
         jn.drain(jn.start(jn.accept_once(src.select("k"), ["k"]), done, lambda b, n: b.write.mode("overwrite").parquet(f"{done}/batch={n}")))
-    got = jn.versioned(spark, out, src.schema, "v").select("k", "w").collect()
+    got = jn.LatestTable(spark, out, src.schema, ["k"], "position").read().select("k", "w").collect()
     assert sorted(map(tuple, got)) == [("a", "new"), ("b", "x"), ("c", "z"), ("d", "w")]
     assert sorted(r.k for r in spark.read.parquet(done).collect()) == ["a", "b", "c", "d"]
 
@@ -80,10 +105,15 @@ def _facts(spark, path):
     return jn.read_stream(spark, path, FACTS, files_per_batch=1)
 
 
-def test_state_tables_over_batches(spark, tmp_path):
-    jn.drain(jn.supersede_foreach(_facts(spark, str(tmp_path / "in")), str(tmp_path / "out")))
-    got = sorted((r.assertion_id, r.superseded_by) for r in spark.read.parquet(str(tmp_path / "out" / "gone")).collect())
-    assert got == [("a2", "a3"), ("a3", "a5")]
+def test_state_is_kept_in_the_state_store(spark, tmp_path):
+    out = str(tmp_path / "out")
+    src = _facts(spark, str(tmp_path / "in"))
+    jn.drain(jn.supersede_table(src, out))
+    spark.createDataFrame([("c", "t", "r", 9, "a9", "new")], FACTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    jn.drain(jn.supersede_table(src, out))                 # goes on from the state of the first run
+    rows = spark.read.parquet(out).where("status = 'SUPERSEDED'").collect()
+    assert sorted((r.assertion_id, r.superseded_by) for r in rows) == [("a2", "a3"), ("a3", "a5"), ("a4", "a9")]
+    assert sorted((r.subject, r.position, r.assertion_id) for r in jn.current_facts(spark, out).collect()) == [("s", 5, "a5"), ("t", 9, "a9")]
 
 
 def test_state_processor_over_batches(spark, tmp_path):

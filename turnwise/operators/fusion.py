@@ -49,41 +49,24 @@ QUOTAS = {
 LANE_ORDER = ("raw", "assertion", "proposition", "entity", "graph")
 
 
-def fill_quota(rankings: dict[str, list[str]], amounts: Sequence[tuple[str, int]], order: Sequence[str], limit: int) -> list[str]:
-    """n unseen ids per lane in turn, then one more from each lane round and round up to the limit."""
-    out: dict[str, None] = {}
-    for lane, n in amounts:
-        fresh = [r for r in rankings.get(lane, ()) if r not in out][:n]
-        out.update(dict.fromkeys(fresh[:max(limit - len(out), 0)]))
-    queues = [iter(rankings.get(lane, ())) for lane in order]
-    while queues and len(out) < limit:
-        live = []
-        for queue in queues:
-            pick = next((r for r in queue if r not in out), None)
-            if pick is not None and len(out) < limit:
-                out[pick] = None
-                live.append(queue)
-        queues = live
-    return list(out)
-
-
 def quota_fill(lanes: DataFrame, spec: dict = QUOTAS, order: Sequence[str] = LANE_ORDER, limit: int = DEPTH) -> DataFrame:
-    """The quota arms. A group is one query's lanes: at most lanes × 128 rows.
+    """The quota arms: n unseen ids per lane in turn, then one more from each lane round and round up to the limit.
 
-    lanes: sample_id, lane, raw_id, rank
+    lanes: sample_id, lane, raw_id, rank. A query's lanes are lists of at most 128 ids; both steps are folds over them.
     """
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        ranks: dict[str, list[str]] = {}
-        for _, lane, rid in sorted(zip(pdf["rank"].tolist(), pdf["lane"].tolist(), pdf["raw_id"].tolist())):
-            ranks.setdefault(lane, []).append(rid)
-        size = min(limit, len({r for ids in ranks.values() for r in ids}))
-        sample = pdf["sample_id"].iat[0]
-        rows = [(sample, arm, rid, i) for arm, amounts in spec.items()
-                for i, rid in enumerate(fill_quota(ranks, amounts, order, size), 1)]
-        return pd.DataFrame(rows, columns=["sample_id", "arm", "raw_id", "rank"])
-
-    head = lanes.where(F.col("rank") <= DEPTH).select("sample_id", "lane", "raw_id", "rank")
-    return head.groupBy("sample_id").applyInPandas(fill, "sample_id string, arm string, raw_id string, rank long")
+    head = lanes.where(F.col("rank") <= DEPTH).groupBy("sample_id", "lane").agg(F.array_sort(F.collect_list(F.struct("rank", "raw_id"))).alias("r"))
+    per = head.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("lane", F.col("r.raw_id").alias("ids")))).alias("ids"))
+    per = per.withColumn("size", F.least(F.lit(limit), F.size(F.array_distinct(F.flatten(F.map_values("ids"))))))
+    quota = lambda lane, n: F.struct(F.lit(lane).alias("lane"), F.lit(n).alias("n"))
+    arms = F.explode(F.array(*[F.struct(F.lit(arm).alias("arm"), F.array(*[quota(*q) for q in amounts]).alias("quotas")) for arm, amounts in spec.items()]))
+    fresh = lambda out, lane: F.array_except(F.coalesce(F.try_element_at("ids", lane), F.array().cast("array<string>")), out)
+    take = lambda out, lane, n: F.concat(out, F.slice(fresh(out, lane), F.lit(1), F.greatest(F.least(n, F.col("size") - F.size(out)), F.lit(0))))
+    rows = per.select("*", arms.alias("a")).withColumn("out", F.aggregate("a.quotas", F.array().cast("array<string>"), lambda out, q: take(out, q["lane"], q["n"])))
+    turns = F.sequence(F.lit(0), F.col("size") * len(order) - 1)
+    lane_of = lambda i: F.element_at(F.array(*map(F.lit, order)), i % len(order) + 1)
+    full = F.when((F.col("size") == 0) | (F.size("out") >= F.col("size")), F.col("out")).otherwise(
+        F.aggregate(turns, F.col("out"), lambda out, i: F.when(F.size(out) >= F.col("size"), out).otherwise(take(out, lane_of(i), F.lit(1)))))
+    return rows.select("sample_id", F.col("a.arm").alias("arm"), F.posexplode(full).alias("p", "raw_id")).select("sample_id", "arm", "raw_id", (F.col("p") + 1).cast("bigint").alias("rank"))
 
 
 def layer_collapse(streams: DataFrame, keys: Sequence[str] = ("sample_id", "layer"), worse_first: bool = True) -> DataFrame:

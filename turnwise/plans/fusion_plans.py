@@ -46,7 +46,17 @@ def _lex_lanes(t):
     return b.lanes(t).select("sample_id", table[F.col("lane")].alias("lane"), "raw_id", "rank")
 
 
-@plan("fus_quota")
+_SPEC = ", ".join(f"('{arm}', {i}, '{lane}', {n})" for arm, amounts in fu.QUOTAS.items() for i, (lane, n) in enumerate([*amounts, *[(x, 1) for x in fu.LANE_ORDER]]))
+_NAMED = " ".join(f"when '{a}' then '{z}'" for a, z in _FAKE.items())
+
+
+@plan("fus_quota", f"""with recursive {b.LANES}, spec(arm, i, lane, n) as (values {_SPEC}), ls as (select sample_id, case lane {_NAMED} end lane, list(raw_id order by rank) ids from lanes where rank<=128 group by 1,2),
+ sz as (select sample_id, least(12, count(distinct raw_id)) size from lanes where rank<=128 group by 1),
+ st as (select sample_id, arm, size, 0 step, []::varchar[] got from sz, (select distinct arm from spec)
+  union all select st.sample_id, st.arm, size, step+1, list_concat(got, list_filter(coalesce(ids, []::varchar[]), lambda x: not list_contains(got, x))[1:least(n, size-len(got))])
+  from st join spec on spec.arm=st.arm and spec.i=case when step<5 then step else 5+(step-5)%5 end left join ls on ls.sample_id=st.sample_id and ls.lane=spec.lane where step<65 and len(got)<size),
+ fin as (select sample_id, arm, arg_max(got, step) got from st group by 1,2)
+select sample_id, arm, unnest(got) as raw_id, generate_subscripts(got, 1)::bigint as rank from fin""")
 def _(t):
     return fu.quota_fill(_lex_lanes(t), limit=12)
 

@@ -41,7 +41,7 @@ def _run(t, rows, first, schema, build, mode, name):
 def _(t):
     out, cols = _folder(t, "latest"), ["sample_id", "system", "position", "latency"]
     _in_two_runs(t, b.run_log(t), F.col("position") % 2 == 0, jn.JOURNAL, lambda src: jn.upsert_latest(src.select(*cols), ["sample_id", "system"], "position", out))
-    return jn.versioned(t.spark, out, b.run_log(t).select(*cols).schema, "v")
+    return jn.LatestTable(t.spark, out, b.run_log(t).select(*cols).schema, ["sample_id", "system"], "position").read()
 
 
 @plan("st_progress", f"with {b.RUN_LOG} select case when error is not null then 'failed' when trim(pred_answer)='' then 'blank' else 'done' end as status, count(*)::bigint as n from run_log group by 1")
@@ -58,15 +58,16 @@ def _(t):
 
 
 @plan("st_state_update", """with e as (select event_id, user_id, event_type, floor(value/10) v, lead(floor(value/10)) over w nv, lead(event_id) over w ni from events window w as (partition by user_id, event_type order by event_id))
-select event_id::varchar as assertion_id, ni::varchar as superseded_by from e where ni is not null and nv<>v""")
+select event_id::varchar as assertion_id, case when ni is null then 'CURRENT' else 'SUPERSEDED' end as status, case when nv<>v then ni::varchar end as superseded_by from e where ni is null or nv<>v""")
 def _(t):
     out = _folder(t, "state")
     e = t.events.select((F.col("user_id") % 7).cast("string").alias("conversation_id"), F.col("user_id").cast("string").alias("subject"), F.col("event_type").alias("relation"), F.col("event_id").alias("position"),
                         F.col("event_id").cast("string").alias("assertion_id"), F.floor(F.col("value") / 10).cast("string").alias("value"))
     half = e.agg(F.avg("position")).first()[0] or 0.0
     facts = "conversation_id string, subject string, relation string, position bigint, assertion_id string, value string"
-    _in_two_runs(t, e, F.col("position") <= half, facts, lambda src: jn.supersede_foreach(src, out))
-    return t.spark.read.schema("conversation_id string, subject string, relation string, assertion_id string, superseded_by string, v int").parquet(f"{out}/gone").select("assertion_id", "superseded_by")
+    _in_two_runs(t, e, F.col("position") <= half, facts, lambda src: jn.supersede_table(src, out))
+    gone = t.spark.read.schema(jn.STATE_OUT + ", batch int").parquet(out).where("status = 'SUPERSEDED'").select("assertion_id", "status", "superseded_by")
+    return gone.unionByName(jn.current_facts(t.spark, out).select("assertion_id", F.lit("CURRENT").alias("status"), F.lit(None).cast("string").alias("superseded_by")))
 
 
 @plan("st_windowed_rates", """select date_trunc('hour', ts)::varchar as start, event_type as system, count(*)::bigint as n, round(avg((event_id%11=0)::int),6) as error_rate, round(avg(value),6) as avg_latency from events group by 1,2""")

@@ -54,21 +54,107 @@ def latest(src: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
     return src.groupBy(*keys).agg(F.max_by(body, position).alias("r")).select(*keys, "r.*")
 
 
-def upsert_latest(src: DataFrame, keys: Sequence[str], position: str, path: str) -> StreamingQuery:
-    """Latest row per key as versioned snapshots: batch n is merged with snapshot n-1 into folder n.
+#: Buckets of a latest-row table, and batches that may have added to a bucket before it is compacted.
+BUCKETS, DELTAS = 64, 4
+_MANIFEST = "bucket int, base int, since int, deltas int"
+
 
-    A batch that is retried rewrites its own folder only, so the result is exactly-once. Batch numbers go on over
-    restarts, as progress is kept under `path`; `versioned` reads the last snapshot.
+class LatestTable:
+    """Latest row per key as a log: each batch appends its own latest rows, cut into buckets by key.
+
+    `delta/lt_batch=n/lt_bucket=b` holds batch n's rows, `base/lt_base=n/lt_bucket=b` a bucket as compacted after batch n, and
+    `manifest/lt=n` says per bucket which base counts and from which batch on its deltas do. A bucket is compacted once
+    `DELTAS` batches have touched it, so a batch writes its own rows and, over time, each bucket once per `DELTAS` batches
+    that touch it. A batch that is retried writes the same folders again. Files that the manifest before the last does
+    not name are deleted.
     """
-    from ..operators.rowset import latest_wins
 
-    def merge(batch: DataFrame, n: int) -> None:
-        rows = batch.select(*src.columns)
-        if n > 0:
-            rows = batch.sparkSession.read.schema(src.schema).parquet(f"{path}/v={n - 1}").select(*src.columns).unionByName(rows)
-        latest_wins(rows, keys, position).select(*src.columns).write.mode("overwrite").parquet(f"{path}/v={n}")
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], position: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.schema, self.keys, self.position, self.buckets = spark, path.rstrip("/"), schema, list(keys), position, buckets
+
+    def _fs(self, name: str):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        at = hadoop.Path(f"{self.path}/{name}")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _numbers(self, name: str) -> list[int]:
+        """The n of the folders `…=n` under `name`."""
+        fs, at = self._fs(name)
+        return sorted(int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(at) if "=" in f.getPath().getName()) if fs.exists(at) else []
+
+    def manifest(self, before: int | None = None) -> DataFrame:
+        """One row per bucket ever touched, of the last version (below `before`); at most `buckets` rows."""
+        found = [n for n in self._numbers("manifest") if before is None or n < before]
+        if not found:
+            return self.spark.createDataFrame([], _MANIFEST)
+        return self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest/lt={found[-1]}")
+
+    def rows(self, manifest: DataFrame, last: int | None = None) -> DataFrame:
+        """Base rows and later deltas of the buckets in `manifest` (bucket, base, since), with their bucket."""
+        from pyspark.sql.types import StructType as S
+        part = lambda name: S([*self.schema.fields, StructField(name, IntegerType()), StructField("lt_bucket", IntegerType())])
+        cols = [*self.schema.names, "lt_bucket"]
+        m = F.broadcast(manifest.select(F.col("bucket").alias("lt_bucket"), F.col("base").alias("lt_base"), F.col("since").alias("lt_since")))
+        out = self.spark.createDataFrame([], S([*self.schema.fields, StructField("lt_bucket", IntegerType())]))
+        if self._numbers("delta"):
+            d = self.spark.read.schema(part("lt_batch")).parquet(f"{self.path}/delta")
+            d = d if last is None else d.where(F.col("lt_batch") <= last)
+            out = out.unionByName(d.join(m.drop("lt_base"), "lt_bucket").where("lt_batch >= lt_since").select(*cols))
+        if self._numbers("base"):
+            b = self.spark.read.schema(part("lt_base")).parquet(f"{self.path}/base")
+            out = out.unionByName(b.join(m.drop("lt_since"), ["lt_bucket", "lt_base"]).select(*cols))
+        return out
+
+    def merge(self, batch: DataFrame, n: int) -> None:
+        from ..operators.rowset import latest_wins
+        own = latest_wins(batch.select(*self.schema.names), self.keys, self.position).select(*self.schema.names)
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias("lt_bucket")
+        own.select("*", bucket).write.mode("overwrite").partitionBy("lt_bucket").parquet(f"{self.path}/delta/lt_batch={n}")
+        before = self.manifest(n).collect()
+        fs, at = self._fs(f"delta/lt_batch={n}")
+        touched = {int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(at) if f.getPath().getName().startswith("lt_bucket=")}
+        state = {r["bucket"]: (r["base"], r["since"], r["deltas"]) for r in before}
+        for b in touched:
+            base, since, deltas = state.get(b, (-1, n, 0))
+            state[b] = (base, since, deltas + 1)
+        full = {b: v for b, v in state.items() if v[2] > DELTAS}
+        if full:
+            old = self.spark.createDataFrame([(b, v[0], v[1]) for b, v in full.items()], "bucket int, base int, since int")
+            whole = self.rows(old, n)
+            latest_wins(whole, self.keys, self.position).select(*self.schema.names, bucket).write.mode("overwrite").partitionBy("lt_bucket").parquet(f"{self.path}/base/lt_base={n}")
+            state |= {b: (n, n + 1, 0) for b in full}
+        self.spark.createDataFrame([(b, *v) for b, v in state.items()], _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/lt={n}")
+        self._sweep(before, n)
+
+    def _sweep(self, kept: list, n: int) -> None:
+        """Delete what neither the manifest of batch n nor the one before it names."""
+        live = {(r["bucket"], r["base"]) for r in [*kept, *self.manifest().collect()]}
+        since = {}
+        for r in [*kept, *self.manifest().collect()]:
+            since[r["bucket"]] = min(since.get(r["bucket"], n), r["since"])
+        for name, dead in (("base", lambda v, b: (b, v) not in live), ("delta", lambda v, b: v < since.get(b, 0))):
+            for v in self._numbers(name):
+                fs, at = self._fs(f"{name}/{'lt_base' if name == 'base' else 'lt_batch'}={v}")
+                if v == n:
+                    continue
+                for f in fs.listStatus(at):
+                    b = f.getPath().getName()
+                    if b.startswith("lt_bucket=") and dead(v, int(b.split("=")[1])):
+                        fs.delete(f.getPath(), True)
+        for v in self._numbers("manifest")[:-2]:
+            fs, at = self._fs(f"manifest/lt={v}")
+            fs.delete(at, True)
+
+    def read(self) -> DataFrame:
+        """The latest row per key."""
+        from ..operators.rowset import latest_wins
+        return latest_wins(self.rows(self.manifest()).drop("lt_bucket"), self.keys, self.position).select(*self.schema.names)
 
-    return start(src, path, merge)
+
+def upsert_latest(src: DataFrame, keys: Sequence[str], position: str, path: str) -> StreamingQuery:
+    """Latest row per key kept in a `LatestTable` under `path`; batch numbers go on over restarts."""
+    table = LatestTable(src.sparkSession, path, src.schema, keys, position)
+    return start(src, path, table.merge)
 
 
 def progress(src: DataFrame) -> DataFrame:
@@ -124,29 +210,23 @@ def supersede_stream(src: DataFrame) -> DataFrame:
     return keyed.transformWithStateInPandas(CurrentFacts(), STATE_OUT, "Append", "None")
 
 
-def supersede_foreach(src: DataFrame, path: str) -> StreamingQuery:
-    """The same state kept as versioned tables: the last fact per key, and the supersessions of each batch.
+def supersede_table(src: DataFrame, path: str) -> StreamingQuery:
+    """`supersede_stream` into batch folders under `path`; a retried batch rewrites its own folder."""
+    spark = src.sparkSession
+    name = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return start(supersede_stream(src), path, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}"))
+    finally:
+        spark.conf.set(name, was)
 
-    Needs no state store beyond the written folders; a retried batch rewrites its own folders.
-    """
-    from ..operators.scale import ordinal
-    keys = ["conversation_id", "subject", "relation"]
-    cols = [*keys, "position", "assertion_id", "value"]
-
-    def step(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(*cols)
-        if n > 0:
-            rows = spark.read.schema(rows.schema).parquet(f"{path}/last/v={n - 1}").select(*cols).unionByName(rows)
-        # the successor in a key is found by its number, so a key with very many facts is spread out
-        num = ordinal(rows, keys, ["position"], F.floor(F.col("position") / 4096), "rn")
-        nxt = num.select(*keys, (F.col("rn") - 1).alias("rn"), F.col("assertion_id").alias("by"), F.col("value").alias("nv"))
-        gone = num.join(nxt, [*keys, "rn"]).where(~F.col("nv").eqNullSafe(F.col("value"))).select(*keys, "assertion_id", F.col("by").alias("superseded_by"))
-        gone.write.mode("overwrite").parquet(f"{path}/gone/v={n}")
-        body = F.struct("position", "assertion_id", "value")
-        rows.groupBy(*keys).agg(F.max_by(body, "position").alias("r")).select(*keys, "r.*").select(*cols).write.mode("overwrite").parquet(f"{path}/last/v={n}")
-
-    return start(src, path, step)
+
+def current_facts(spark: SparkSession, path: str) -> DataFrame:
+    """The value state of `supersede_table` as the state store holds it: conversation_id, subject, relation, position, assertion_id, value."""
+    state = spark.read.format("statestore").option("stateVarName", "last").load(progress_folder(path))
+    key = [F.col(f"key.{c}").alias(c) for c in ("conversation_id", "subject", "relation")]
+    return state.select(*key, *[F.col(f"value.{c}").alias(c) for c in ("position", "assertion_id", "value")])
 
 
 def windowed_rates(src: DataFrame, width: str = "1 hour", delay: str | None = None) -> DataFrame:
