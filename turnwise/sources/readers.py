@@ -35,7 +35,10 @@ def decode_records(rows: DataFrame) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, schema: str | None = None, whole_file: bool = False) -> DataFrame:
-    """JSONL, JSON array or wrapped array; typed when a schema is given."""
+    """JSONL, JSON array or wrapped array; typed when a schema is given.
+
+    `whole_file` reads each file as one value, which is for small files; `json_array.read_array` splits large arrays.
+    """
     rows = decode_records(read_text_records(spark, path, whole_file))
     return rows if schema is None else rows.select(F.from_json("value", schema).alias("r")).select("r.*")
 
