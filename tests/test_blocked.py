@@ -161,3 +161,20 @@ def test_redundancy_equals_brute_force(spark, small_cells):
                 if t and u and (t == u or x is not None and y is not None and x @ y / np.linalg.norm(x) / np.linalg.norm(y) > 0.85):
                     same += 1
         assert got[sample][:2] == (len(own), same), sample
+
+
+def test_scoped_cross_takes_any_scorer_and_lists_no_pairs(spark, small_blocks):
+    from turnwise.operators import joins
+    docs = [("hot" if i % 10 else "cold", f"d{i:03}", float(i * 37 % 101)) for i in range(300)]
+    asked = [(f"q{i}", ["hot", "cold", "bare"][i % 3], float(i * 11)) for i in range(9)]
+    d = spark.createDataFrame(docs, "conversation_id string, raw_id string, x double")
+    q = spark.createDataFrame(asked, "sample_id string, conversation_id string, y double")
+    near = lambda a, b: -np.abs(a["y"].to_numpy()[:, None] - b["x"].to_numpy()[None])
+    got = {}
+    for r in joins.scoped_cross(q, d, near, 4).orderBy("rank").collect():
+        got.setdefault(r.sample_id, []).append((r.raw_id, r.score, r.n_candidates))
+    for name, scope, y in asked:
+        own = sorted(((r, -abs(y - x)) for s, r, x in docs if s == scope), key=lambda t: (-t[1], t[0]))
+        assert got.get(name, []) == [(r, x, len(own)) for r, x in own[:4]]
+    with pytest.raises(Exception, match="scorer gave"):
+        joins.scoped_cross(q, d, lambda a, b: [0.0], 4).collect()

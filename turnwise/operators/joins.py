@@ -3,10 +3,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
 from ..session import cut_lineage
+from .blocked import block_pairs
 from .matching import contains_pairs, overlap_pairs
 from .scale import top_k
 
@@ -320,3 +323,51 @@ def check_candidates(cands: DataFrame, queries: DataFrame, raws: DataFrame, size
     out = j.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("_q").eqNullSafe(F.col("_r"))).alias("foreign"),
                                      (F.count(F.lit(1)) - F.countDistinct("raw_id")).alias("repeats"))
     return out.withColumn("ok", (F.col("foreign") == 0) & (F.col("repeats") == 0) & (F.lit(True) if size is None else F.col("n") == size))
+
+
+# -- scoped pairs with a scorer of one's own -------------------------------
+
+def scoped_cross(queries: DataFrame, docs: DataFrame, scorer, depth: int, rounded: int = 6) -> DataFrame:
+    """(sample_id, raw_id, rank, score, n_candidates): the `depth` best records of each query's scope under any scorer.
+
+    queries: sample_id, scope, …; docs: scope, raw_id, … with one row a record. scorer(q, d) takes the rows of a query block
+    and of a record block as pandas frames and returns a matrix of scores. Blocks have a bounded size and give at most
+    `depth` rows a query, so pairs are scored and never listed. Ties go by raw_id.
+    """
+    def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        out = {"sample_id": [], "raw_id": [], "score": [], "n": []}
+        if len(q) and len(d):
+            d = d.iloc[np.argsort(d["raw_id"].to_numpy(dtype=object).astype(str), kind="stable")]
+            s = np.asarray(scorer(q, d), dtype=np.float64)
+            if s.shape != (len(q), len(d)):
+                raise ValueError(f"scorer gave {s.shape} for {len(q)} queries and {len(d)} records")
+            s = np.round(s, rounded) + 0.0
+            top = np.argsort(-s, axis=1, kind="stable")[:, :depth]
+            row = np.repeat(np.arange(len(q)), top.shape[1])
+            first = np.zeros(top.shape, np.int64)
+            first[:, 0] = len(d)
+            out = {"sample_id": q["sample_id"].to_numpy(dtype=object)[row], "raw_id": d["raw_id"].to_numpy(dtype=object)[top.ravel()], "score": s[row, top.ravel()], "n": first.ravel()}
+        return pd.DataFrame({k: pd.Series(v, dtype={"score": "float64", "n": "int64"}.get(k, object)) for k, v in out.items()})
+
+    best = block_pairs(queries, docs).applyInPandas(run, "sample_id string, raw_id string, score double, n bigint")
+    # A block says how many records it scored on the first row of each query.
+    every = W.partitionBy("sample_id")
+    counted = best.withColumn("n_candidates", F.sum("n").over(every)).drop("n")
+    return top_k(counted, ["sample_id"], [F.desc("score"), F.asc("raw_id")], depth).select("sample_id", "raw_id", F.col("rank").cast("bigint").alias("rank"), "score", "n_candidates")
+
+
+def word_share(words: str, of: str):
+    """Scorer: share of a query's distinct words (column `of`) that a record holds (column `words`); both are lists."""
+    def score(q: pd.DataFrame, d: pd.DataFrame) -> np.ndarray:
+        held: dict[str, list[int]] = {}
+        for at, ws in enumerate(d[words]):
+            for w in set(ws):
+                held.setdefault(w, []).append(at)
+        s = np.zeros((len(q), len(d)))
+        for i, ws in enumerate(q[of]):
+            own = set(ws)
+            for w in own:
+                s[i, held.get(w, [])] += 1
+            s[i] /= max(len(own), 1)
+        return s
+    return score

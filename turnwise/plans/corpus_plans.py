@@ -299,7 +299,25 @@ def _(t):
     return cp.recover_links(facts, units).select("raw_id", "assertion_id", "unit_id")
 
 
-@plan("txt_split_oversize")
+_TRIM = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
+_SPLIT = f"""with recursive c as (select doc_id::varchar raw_id, coalesce(text,'') as text, greatest(1000, 1500-2-64) room from documents),
+ paras as (select raw_id, room, generate_subscripts(p,1) po, unnest(p) para from (select raw_id, room, list_filter(list_transform(string_split(text, chr(10)||chr(10)), lambda x: trim(x, {_TRIM})), lambda x: x<>'') p from c where length(text)>room)),
+ sents as (select raw_id, room, po, generate_subscripts(s,1) so, unnest(s) s from (select raw_id, room, po, list_filter(list_transform(string_split(regexp_replace(para, '([.!?。！？])(\\s+[A-Z0-9"“(])', '\\1'||chr(1)||'\\2', 'g'), chr(1)), lambda x: trim(x, {_TRIM})), lambda x: x<>'') s from paras)),
+ num as materialized (select *, row_number() over (partition by raw_id order by po, so) i from sents),
+ -- a step takes the next sentence, or cuts the pending one; what a step gives out stands in done
+ st as (select raw_id, room, 0 i, 0 step, 0 po, null::varchar held, null::varchar pend, []::varchar[] done from (select distinct raw_id, room from num)
+  union all (select raw_id, room, i, step+1, po, case when cut>0 or pend is null then null else pend end, case when cut>0 then ltrim(pend[cut+1:], {_TRIM}) end, case when cut>0 then [rtrim(pend[1:cut], {_TRIM})] else [] end
+   from (select *, case when length(pend)>room then case when sp>=greatest(200, room//2) then sp else room end else 0 end cut from (select *, length(regexp_extract(pend[1:room], '(?s)^(.*) ', 1)) sp from st where pend is not null))
+  union all select st.raw_id, st.room, n.i, step+1, n.po, case when held is not null and n.po=st.po and length(held)+1+length(n.s)<=st.room then held||' '||n.s end,
+   case when held is not null and n.po=st.po and length(held)+1+length(n.s)<=st.room then null else n.s end, case when held is not null and not (n.po=st.po and length(held)+1+length(n.s)<=st.room) then [held] else [] end
+   from st join num n on n.raw_id=st.raw_id and n.i=st.i+1 where pend is null)),
+ ends as (select raw_id, max(step) step from st group by 1),
+ parts as (select raw_id, step, 0 k, unnest(done) as text from st union all select st.raw_id, st.step, 1, held from st join ends using (raw_id, step) where held is not null)
+select raw_id, 'c1' as clause_id, text, null::varchar as parent_clause_id from c where length(text)<=room
+union all select raw_id, 'c1::part'||row_number() over (partition by raw_id order by step, k), text, 'c1' from parts"""
+
+
+@plan("txt_split_oversize", _SPLIT)
 def _(t):
     c = t.documents.select(F.col("doc_id").cast("string").alias("raw_id"), F.lit("c1").alias("clause_id"), "text")
     return pk.split_oversize(c, 1500)
@@ -319,7 +337,10 @@ def _(t):
     return pk.line_chunks(b.turns(t), 60).select("conversation_id", "pos", "chunk")
 
 
-@plan("cmp_clause_chunks")
+@plan("cmp_clause_chunks", f"""with recursive {b.TURNS}, {b.FACTS}, r as materialized (select conversation_id, session_id, pos*1000+ord pos, length(retrieval_text)+length(assertion_id)+32 c, row_number() over (partition by conversation_id, session_id order by pos, ord) n from facts),
+ g as (select conversation_id, session_id, n, pos, 0 chunk, c load from r where n=1
+  union all select r.conversation_id, r.session_id, r.n, r.pos, case when load>0 and load+c>400 then chunk+1 else chunk end, case when load>0 and load+c>400 then c else load+c end from g join r on r.conversation_id=g.conversation_id and r.session_id=g.session_id and r.n=g.n+1)
+select conversation_id, session_id, pos, chunk::bigint as chunk from g""")
 def _(t):
     c = b.facts(t).withColumn("pos", F.col("pos") * 1000 + F.col("ord")).select("conversation_id", "session_id", "pos", F.col("assertion_id").alias("clause_id"), F.col("retrieval_text").alias("text"))
     return pk.clause_chunks(c, 400).select("conversation_id", "session_id", "pos", "chunk")

@@ -392,11 +392,22 @@ def _(t):
     return h.groupBy("sample_id", "raw_id").agg((F.round(F.sum("score"), 9) + 0.0).alias("score")).where("score <> 0")
 
 
-@plan("jn_scoped_cross", f"""with {b.QUESTIONS} select q.sample_id, count(*)::bigint as n_candidates, min(t.raw_id) as first_raw from questions q join turns t using (conversation_id) group by 1""")
+def word_share_sql(depth):
+    """Best records of each question's conversation by the share of its words that they hold."""
+    tq, tt = k.tokset("q.query_text", "plain"), k.tokset("t.text", "plain")
+    return f"""with {b.QUESTIONS}, s as (select q.sample_id, t.raw_id, round(len(list_intersect({tq}, {tt}))/greatest(len({tq}),1),6) score, count(*) over (partition by q.sample_id) n from questions q join turns t using (conversation_id))
+select sample_id, raw_id, rank, score, n::bigint as n_candidates from (select *, row_number() over (partition by sample_id order by score desc, raw_id)::bigint rank from s) where rank<={depth}"""
+
+
+def word_share(t, depth):
+    from ..operators.joins import scoped_cross, word_share as share
+    q = b.questions(t).select("sample_id", "conversation_id", tx.token_set("query_text", "plain").alias("asked"))
+    return scoped_cross(q, b.turns(t).select("conversation_id", "raw_id", tx.token_set("text", "plain").alias("words")), share("words", "asked"), depth)
+
+
+@plan("jn_scoped_cross", word_share_sql(3))
 def _(t):
-    """Candidate counts per question: record counts per conversation are made first, so pairs are never listed."""
-    per = b.turns(t).groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n_candidates"), F.min("raw_id").alias("first_raw"))
-    return b.questions(t).join(per, "conversation_id").select("sample_id", "n_candidates", "first_raw")
+    return word_share(t, 3)
 
 
 # -- system lanes ----------------------------------------------------------

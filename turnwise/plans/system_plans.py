@@ -6,7 +6,7 @@ from .. import systems
 from ..functions import text as tx
 from ..functions.python_udfs import score_pairs
 from . import bindings as b, sqlkit as k
-from .lane_plans import _TFIDF, _TOV, filled
+from .lane_plans import _TFIDF, _TOV, filled, word_share, word_share_sql
 from .registry import plan
 
 _DOCS = f"ent as (select conversation_id, raw_id, 'turn:'||raw_id entry_id, speaker||': '||{k.strip('text')} as text, pos as ord from turns)"
@@ -28,15 +28,15 @@ def _(t):
     return systems.build("full_context").run(b.turns(t), b.questions(t), 5).retrieved
 
 
-@plan("ext_scorer", f"""with {b.QUESTIONS} select q.sample_id, t.raw_id, round(len(list_intersect({k.tokset('q.query_text', 'plain')}, {k.tokset('t.text', 'plain')}))/greatest(len({k.tokset('q.query_text', 'plain')}),1),6) as score from questions q join turns t on t.conversation_id=q.conversation_id and t.pos=q.pos+1""")
+@plan("ext_scorer", f"""with p as ({word_share_sql(5)}), {b.QUESTIONS} select p.sample_id, p.raw_id, p.score, round(p.score*1000/(1000+length(t.text)),6) as adjusted from p join turns t on t.raw_id=p.raw_id""")
 def _(t):
-    n = b.turns(t).select("conversation_id", (F.col("pos") - 1).alias("pos"), "raw_id", "text")
-    pairs = b.questions(t).join(n, ["conversation_id", "pos"]).select("sample_id", "raw_id", tx.token_set("query_text", "plain").alias("a"), tx.token_set("text", "plain").alias("b"), F.length("text").alias("n"))
+    """A scorer of one's own twice: over scoped pairs in blocks, then over the rows it left."""
+    top = word_share(t, 5).join(b.turns(t).select("raw_id", F.length("text").alias("n")), "raw_id").select("sample_id", "raw_id", "score", "n")
 
-    def share(pdf: pd.DataFrame):
-        return [len(set(a) & set(b)) / max(len(set(a)), 1) for a, b in zip(pdf["a"], pdf["b"])]
+    def by_length(pdf: pd.DataFrame):
+        return pdf["score"] * 1000 / (1000 + pdf["n"])
 
-    return score_pairs(pairs, share, length="n").select("sample_id", "raw_id", F.round("score", 6).alias("score"))
+    return score_pairs(top, by_length, out="adjusted", length="n").select("sample_id", "raw_id", "score", F.round("adjusted", 6).alias("adjusted"))
 
 
 @plan("ext_explode_items", """select conv_id||':'||turn as response_id, conv_id||':'||turn||'#'||n as entry_id, case n when 1 then text else role end as content from conversations, (values (1),(2)) v(n)""")
