@@ -424,19 +424,35 @@ def collection_view(facts: DataFrame) -> DataFrame:
         F.countDistinct(F.when(F.coalesce("occurrence_id", F.lit("")) != "", F.concat_ws("::", "raw_id", "occurrence_id"))).alias("n_occurrences"))
 
 
+def collection_members(facts: DataFrame) -> DataFrame:
+    """The assertions behind each member of `collection_view`, as rows; a collection is open for more (frontier OPEN)."""
+    return facts.select(key_text("subject", "relation", "value_type").alias("collection_key"), key_text("value", "occurrence_id").alias("member"), "assertion_id", "raw_id",
+                        _occurrence_of(), F.lit("OPEN").alias("frontier_status"))
+
+
+def _occurrence_of() -> Column:
+    return F.when(F.coalesce("occurrence_id", F.lit("")) != "", F.concat_ws("::", "raw_id", "occurrence_id")).alias("occurrence")
+
+
 def competition_view(facts: DataFrame) -> DataFrame:
-    """subject|relation|occurrence keys with more than one alternative value."""
+    """subject|relation|occurrence keys with more than one alternative value, with its modalities and polarities."""
+    told = lambda c: F.array_sort(F.collect_set(c))        # a closed vocabulary
     alt = facts.groupBy(key_text("subject", "relation", "occurrence_id").alias("competition_key"), key_text("value").alias("alternative")).agg(
-        F.count(F.lit(1)).alias("n_assertions"), F.countDistinct("raw_id").alias("n_raws"))
+        F.count(F.lit(1)).alias("n_assertions"), F.countDistinct("raw_id").alias("n_raws"), told("modality").alias("modalities"), told("polarity").alias("polarities"))
     many = alt.groupBy("competition_key").agg(F.count(F.lit(1)).alias("n_alternatives")).where("n_alternatives > 1")
     return alt.join(many, "competition_key")
 
 
+def competition_members(facts: DataFrame) -> DataFrame:
+    """The assertions behind each alternative of `competition_view`, as rows."""
+    m = facts.select(key_text("subject", "relation", "occurrence_id").alias("competition_key"), key_text("value").alias("alternative"), "assertion_id", "raw_id")
+    return m.join(competition_view(facts).select("competition_key").distinct(), "competition_key", "left_semi")
+
+
 def timeline_view(facts: DataFrame) -> DataFrame:
     return facts.where(F.coalesce("time", F.lit("")) != "").select(
-        key_text("subject", "relation").alias("timeline_key"), "assertion_id", "raw_id",
-        F.when(F.coalesce("occurrence_id", F.lit("")) != "", F.concat_ws("::", "raw_id", "occurrence_id")).alias("occurrence"),
-        F.col("time").alias("time_expression"), F.lit("UNORDERED").alias("ordering_status"))
+        key_text("subject", "relation").alias("timeline_key"), "assertion_id", "raw_id", _occurrence_of(),
+        F.col("time").alias("time_expression"), "time_owner", F.lit("UNORDERED").alias("ordering_status"))
 
 
 def supersede(facts: DataFrame, order: Sequence[str] = ("timestamp", "session_id", "raw_id", "ord"),

@@ -203,7 +203,7 @@ def _(t):
 # -- layered views ---------------------------------------------------------
 
 FO = """fo as (select o_orderkey::varchar assertion_id, 'c'||o_custkey raw_id, c_name subject, o_orderpriority relation, case when o_orderkey%10=0 then '0' else o_orderstatus end value, c_mktsegment value_type, case when o_orderkey%3=0 then 'occ'||(o_orderkey%5) else '' end occ,
-  case when o_orderkey%2=0 then strftime(o_orderdate,'%Y-%m') else '' end tm, o_orderdate, o_orderkey, c_nationkey from orders join customer on o_custkey=c_custkey)"""
+  case when o_orderkey%2=0 then strftime(o_orderdate,'%Y-%m') else '' end tm, case when o_orderkey%7=0 then 'PLANNED' else 'ACTUAL' end modality, case when o_orderkey%4=1 then 'NEGATIVE' else 'POSITIVE' end polarity, case when o_orderkey%3<>1 then c_name end time_owner, o_orderdate, o_orderkey, c_nationkey from orders join customer on o_custkey=c_custkey)"""
 
 
 def facts_o(t):
@@ -212,7 +212,8 @@ def facts_o(t):
     return j.select(o.cast("string").alias("assertion_id"), F.concat(F.lit("c"), "o_custkey").alias("raw_id"), F.col("c_name").alias("subject"), F.col("o_orderpriority").alias("relation"),
                     F.when(o % 10 == 0, "0").otherwise(F.col("o_orderstatus")).alias("value"), F.col("c_mktsegment").alias("value_type"), F.when(o % 3 == 0, F.concat(F.lit("occ"), o % 5)).otherwise("").alias("occurrence_id"),
                     F.when(o % 2 == 0, F.date_format("o_orderdate", "yyyy-MM")).otherwise("").alias("time"), F.create_map(F.lit("agent"), F.col("c_mktsegment"), F.lit("participant"), F.when(o % 4 == 0, F.col("c_name")).otherwise("")).alias("roles"),
-                    F.lit("home").alias("location"), F.lit("ACTUAL").alias("modality"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("timestamp"), o.alias("ord"), F.col("c_nationkey").cast("string").alias("conversation_id"), F.lit("s").alias("session_id"))
+                    F.lit("home").alias("location"), F.when(o % 7 == 0, "PLANNED").otherwise("ACTUAL").alias("modality"), F.when(o % 4 == 1, "NEGATIVE").otherwise("POSITIVE").alias("polarity"),
+                    F.when(o % 3 != 1, F.col("c_name")).alias("time_owner"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("timestamp"), o.alias("ord"), F.col("c_nationkey").cast("string").alias("conversation_id"), F.lit("s").alias("session_id"))
 
 
 _KV = "case when value in ('','0') then 'unknown' else lower(trim(value)) end"
@@ -225,7 +226,7 @@ def _(t):
 
 
 @plan("cmp_occurrence_view", f"""with {FO}, x as (select *, raw_id||'::'||occ oc from fo where occ<>'') select oc as occurrence, facet, member, count(*)::bigint as n from (select oc, 'participant' facet, value_type member from x union all select oc, 'participant', subject from x where o_orderkey%4=0
- union all select oc, 'time', tm from x where tm<>'' union all select oc, 'location', 'home' from x union all select oc, 'modality', 'ACTUAL' from x) group by 1,2,3""")
+ union all select oc, 'time', tm from x where tm<>'' union all select oc, 'location', 'home' from x union all select oc, 'modality', modality from x) group by 1,2,3""")
 def _(t):
     return cp.occurrence_view(facts_o(t))
 
@@ -235,13 +236,25 @@ def _(t):
     return cp.collection_view(facts_o(t))
 
 
-@plan("cmp_competition_view", f"""with {FO}, a as (select lower(subject)||'|'||lower(relation)||'|'||{_KO} competition_key, {_KV} alternative, count(*)::bigint n_assertions, count(distinct raw_id)::bigint n_raws from fo group by 1,2), m as (select competition_key, count(*)::bigint n_alternatives from a group by 1 having count(*)>1)
-select competition_key, alternative, n_assertions, n_raws, n_alternatives from a join m using (competition_key)""")
+@plan("cmp_competition_view", f"""with {FO}, a as (select lower(subject)||'|'||lower(relation)||'|'||{_KO} competition_key, {_KV} alternative, count(*)::bigint n_assertions, count(distinct raw_id)::bigint n_raws, string_agg(distinct modality, ',' order by modality) modalities, string_agg(distinct polarity, ',' order by polarity) polarities from fo group by 1,2), m as (select competition_key, count(*)::bigint n_alternatives from a group by 1 having count(*)>1)
+select competition_key, alternative, n_assertions, n_raws, n_alternatives, modalities, polarities from a join m using (competition_key)""")
 def _(t):
-    return cp.competition_view(facts_o(t))
+    c = cp.competition_view(facts_o(t))
+    return c.withColumn("modalities", F.array_join("modalities", ",")).withColumn("polarities", F.array_join("polarities", ","))
 
 
-@plan("cmp_timeline_view", f"with {FO} select lower(subject)||'|'||lower(relation) as timeline_key, assertion_id, raw_id, case when occ<>'' then raw_id||'::'||occ end as occurrence, tm as time_expression, 'UNORDERED' as ordering_status from fo where tm<>''")
+@plan("cmp_competition_members", f"""with {FO}, a as (select *, lower(subject)||'|'||lower(relation)||'|'||{_KO} competition_key, {_KV} alternative from fo) select competition_key, alternative, assertion_id, raw_id from a
+where competition_key in (select competition_key from a group by 1 having count(distinct alternative)>1)""")
+def _(t):
+    return cp.competition_members(facts_o(t))
+
+
+@plan("cmp_collection_members", f"with {FO} select lower(subject)||'|'||lower(relation)||'|'||lower(value_type) as collection_key, {_KV}||'|'||{_KO} as member, assertion_id, raw_id, case when occ<>'' then raw_id||'::'||occ end as occurrence, 'OPEN' as frontier_status from fo")
+def _(t):
+    return cp.collection_members(facts_o(t))
+
+
+@plan("cmp_timeline_view", f"with {FO} select lower(subject)||'|'||lower(relation) as timeline_key, assertion_id, raw_id, case when occ<>'' then raw_id||'::'||occ end as occurrence, tm as time_expression, time_owner, 'UNORDERED' as ordering_status from fo where tm<>''")
 def _(t):
     return cp.timeline_view(facts_o(t))
 

@@ -29,13 +29,13 @@ def _(t):
 with a as (select l_orderkey, count(*) n, count(*) filter (l_returnflag='R') r from lineitem group by 1),
 h as (select l_orderkey, l_linenumber n, 'part '||l_partkey x, row_number() over (partition by l_orderkey order by l_linenumber, 'part '||l_partkey) i from lineitem)
 select o_orderkey::varchar as sample_id, o_orderstatus as query, coalesce(a.n,0)::bigint as n_history, coalesce(a.n,0)::bigint as n_facts, coalesce(r,0)::bigint as n_relations,
- case when h.n%2=1 then 'L'||h.n else 'turn_'||i end as turn_id, case when h.n is null then null when h.n%5=0 then '' else 's1' end as session_id, case when h.n%3=0 then 'unknown' when h.n is not null then 'user' end as speaker, x as text, h.n as turn_index
+ case when h.n%2=1 then 'L'||h.n else 'turn_'||i end as turn_id, case when h.n is null then null when h.n%5=0 then '' else 's1' end as session_id, case when h.n%3=0 then 'unknown' when h.n is not null then 'user' end as speaker, x as text, h.n as turn_index, case when h.n%4=2 then 't'||h.n end as timestamp, case when h.n is not null then '{"n":'||h.n||'}' end as turn_metadata
 from orders left join a on a.l_orderkey=o_orderkey left join h on h.l_orderkey=o_orderkey""")
 def _(t):
     n = F.col("l_linenumber")
     li = t.lineitem.select(F.col("l_orderkey").cast("string").alias("parent_id"), "l_linenumber", "l_partkey", "l_returnflag")
     turn = F.struct(n.alias("turn_index"), F.when(n % 2 == 1, F.concat(F.lit("L"), n)).alias("id"), F.when(n % 5 != 0, "s1").alias("session_id"), F.when(n % 3 != 0, "user").alias("role"),
-                    F.concat(F.lit("part "), "l_partkey").alias("content"))
+                    F.concat(F.lit("part "), "l_partkey").alias("content"), F.when(n % 4 == 2, F.concat(F.lit("t"), n)).alias("timestamp"), F.struct(n.alias("n")).alias("metadata"))
     documents = li.groupBy(F.col("parent_id").alias("doc_id")).agg(F.array_sort(F.collect_list(turn)).alias("history"))
     facts = li.select("parent_id", F.col("l_partkey").alias("value"))
     rel = li.where("l_returnflag = 'R'").select("parent_id", "l_partkey")
@@ -116,16 +116,11 @@ def _(t):
     return rd.gold_ids(d, ["answer_session_ids", "meta_ids"]).select("o_orderkey", F.array_join("gold_ids", ",").alias("gold_ids"))
 
 
-@plan("src_generic", f"""with g as (select *, turn%4 m, 'x'||conv_id||'-'||turn sid from conversations)
-select sid as sample_id, case m when 0 then 'temporal' when 1 then 'single_hop' when 2 then 'generic' else 'x' end as task_type, 'q'||turn as question, case m when 0 then 'a0' when 1 then 'a1' when 2 then 'a2' else '' end as answer,
- session_id, turn_id, turn_index::int as turn_index, speaker, said as text
-from g, lateral (select * from (values (0, '', 'T'||turn, 0, role, text), (0, '', 'turn_2', 1, 'S', 'second'), (1, '', 'turn_1', 0, 'unknown', text), (1, '', 'turn_2', 1, 'unknown', 'x'),
- (2, 'sX', 'turn_1', 0, role, text), (2, 'sX', 'turn_2', 1, 'unknown', 'str'), (2, 'own', 'turn_3', 7, 'unknown', 'z'), (3, 'sQ', 'Q', 0, 'unknown', text)) v(k, session_id, turn_id, turn_index, speaker, said) where k=m)""")
-def _(t):
+def _generic_records(t):
     c, m = t.conversations, F.col("turn") % 4
     text = F.substring(F.to_json(F.array("text")), F.lit(2), F.length(F.to_json(F.array("text"))) - 2)
     sid = F.concat(F.lit("x"), F.concat_ws("-", "conv_id", "turn"))
-    said = F.to_json(F.struct(F.when(m == 0, F.concat(F.lit("T"), "turn")).alias("id"), F.when(m != 3, F.col("role")).alias("role"), F.col("text").alias("content"), F.when(m == 3, "Q").alias("turn_id")))
+    said = F.to_json(F.struct(F.when(m == 0, F.concat(F.lit("T"), "turn")).alias("id"), F.when(m != 3, F.col("role")).alias("role"), F.col("text").alias("content"), F.when(m == 3, "Q").alias("turn_id"), F.concat(F.lit("2024-0"), m + 1).alias("timestamp")))
     history = (F.when(m == 0, F.concat(F.lit('"history":['), said, F.lit(',{"text":"second","speaker":"S"}]'))).when(m == 1, F.concat(F.lit('"conversation_history":['), text, F.lit(',"x"]')))
                .when(m == 2, F.concat(F.lit('"history":[],"conversation":{"sX":['), said, F.lit(',"str"],"sY":[{"text":"z","session_id":"own","turn_index":7}]}')))
                .otherwise(F.concat(F.lit('"conversation":{"sZ":"no list","sQ":['), said, F.lit("]}"))))
@@ -133,9 +128,35 @@ def _(t):
                                F.when(m % 2 == 0, F.concat(F.lit("q"), "turn")).alias("question"), F.when(m % 2 == 1, F.concat(F.lit("q"), "turn")).alias("query"), F.when(m == 0, "a0").alias("answer"),
                                F.when(m == 1, "a1").alias("gold_answer"), F.when(m == 2, "a2").alias("reference_answer"), F.when(m == 0, " temporal ").when(m == 3, "x").alias("task_type"),
                                F.when(m == 1, "single_hop").alias("question_type"), F.lit("ignored").alias("category")))
-    rec = F.concat(F.substring(names, F.lit(1), F.length(names) - 1), F.lit(","), history, F.lit("}"))
-    samples, turns = rd.load_generic(c.select(rec.alias("value")))
-    return samples.join(turns, "sample_id")
+    extra = (F.when(m == 0, '"key_evidence_units":["e0"," ","e \\"two\\""],"evidence":["no"],"metadata":{"question_id":"mine","k":1},"conversation_id":"C"')
+             .when(m == 1, '"key_evidence_units":[],"evidence":"single","required_fact_ids":[1,"f2"],"success_criterion":{"gold_answer":"g"},"gold_memory_ids":["m"]')
+             .when(m == 2, '"forbidden_fact_ids":["f9"],"counterfactual":{"answer":"no"},"memory_worthy_facts":[{"fact_id":"f1","value":"v"},"skip",{"subject":"s","attribute":"a","fact_type":"t","timestamp":"T","source":{"x":1}}],'
+                           '"supersede_relations":[{"old_fact_id":"f1","new_fact_id":"f2","reason":"r"}]')
+             .otherwise('"metadata":"none","memory_worthy_facts":null,"counterfactual":null'))
+    return c.select(F.concat(F.substring(names, F.lit(1), F.length(names) - 1), F.lit(","), history, F.lit(","), extra, F.lit("}")).alias("value"))
+
+
+@plan("src_generic", """with g as (select *, turn%4 m, 'x'||conv_id||'-'||turn sid from conversations)
+select sid as sample_id, case m when 0 then 'temporal' when 1 then 'single_hop' when 2 then 'generic' else 'x' end as task_type, 'q'||turn as question, case m when 0 then 'a0' when 1 then 'a1' when 2 then 'a2' else '' end as answer,
+ session_id, turn_id, turn_index::int as turn_index, speaker, said as text,
+ case m when 0 then ' temporal ' when 1 then 'single_hop' when 2 then 'generic' else 'x' end as question_type, case m when 0 then 'e0|e "two"' when 1 then 'single' else '' end as evidence, case m when 1 then '1,f2' else '' end as required, case m when 2 then 'f9' else '' end as forbidden,
+ case m when 1 then '{"gold_answer":"g"}' when 0 then '{"gold_answer":"a0"}' when 2 then '{"gold_answer":"a2"}' else '{"gold_answer":""}' end as success_criterion, case m when 2 then '{"answer":"no"}' end as counterfactual,
+ case m when 0 then 'conversation_id="C";k=1;question_id="mine"' when 1 then 'gold_memory_ids=["m"];question_id="'||sid||'"' else 'question_id="'||sid||'"' end as metadata, case when said=text and m<>1 then '2024-0'||(1+m) end as timestamp
+from g, lateral (select * from (values (0, '', 'T'||turn, 0, role, text), (0, '', 'turn_2', 1, 'S', 'second'), (1, '', 'turn_1', 0, 'unknown', text), (1, '', 'turn_2', 1, 'unknown', 'x'),
+ (2, 'sX', 'turn_1', 0, role, text), (2, 'sX', 'turn_2', 1, 'unknown', 'str'), (2, 'own', 'turn_3', 7, 'unknown', 'z'), (3, 'sQ', 'Q', 0, 'unknown', text)) v(k, session_id, turn_id, turn_index, speaker, said) where k=m)""")
+def _(t):
+    samples, turns = rd.load_generic(_generic_records(t))
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return samples.join(turns, "sample_id").select("sample_id", "task_type", "question", "answer", "session_id", "turn_id", "turn_index", "speaker", "text", "question_type", F.array_join("key_evidence_units", "|").alias("evidence"),
+                                                   F.array_join("required_fact_ids", ",").alias("required"), F.array_join("forbidden_fact_ids", ",").alias("forbidden"), "success_criterion", "counterfactual",
+                                                   told.alias("metadata"), "timestamp")
+
+
+@plan("src_generic_facts", """select 'x'||conv_id||'-'||turn as sample_id, kind, v.a, v.b, v.c, v.d, v.e from conversations, (values ('fact', 'f1', 'unknown', 'unknown_attribute', 'v', 'semantic'), ('fact', '', 's', 'a', '', 't'), ('relation', 'f1', 'f2', 'unknown_attribute', 'r', null)) v(kind, a, b, c, d, e) where turn%4=2""")
+def _(t):
+    rows = _generic_records(t)
+    name = lambda df, kind, *cols: df.select("sample_id", F.lit(kind).alias("kind"), *[(F.col(x) if x else F.lit(None).cast("string")).alias(y) for x, y in zip(cols, "abcde")])
+    return name(rd.generic_facts(rows), "fact", "fact_id", "subject", "attribute", "value", "fact_type").unionByName(name(rd.generic_relations(rows), "relation", "old_fact_id", "new_fact_id", "attribute", "reason", None))
 
 
 @plan("src_prepare", f"""with {b.TURNS}, x as (select * from turns where {k.strip('text')}<>'')

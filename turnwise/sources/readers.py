@@ -163,15 +163,55 @@ def gold_turns(turns: DataFrame) -> DataFrame:
     return turns.where((tx.normalize_role("speaker") == "user") & F.col("has_answer")).select("sample_id", F.col("official_turn_id").alias("gold_turn_id"))
 
 
+# Members of a record that are also kept as metadata.
+METADATA_KEYS = ("conversation_id", "dialog_id", "session_group_id", "source_sample_id", "question_date", "answer_session_ids", "answer_turn_ids", "gold_memory_ids", "haystack_session_ids")
+
+
+def _members(j):
+    """map<key, JSON text> of a JSON object."""
+    return F.transform_values(F.from_json(j, "map<string,variant>"), lambda _, v: F.coalesce(F.to_json(v), F.lit("null")))
+
+
+def _truthy(j):
+    """The JSON text, or null where it is an empty or false value."""
+    return F.when(~F.regexp_replace(j, r"\s", "").isin("[]", "{}", '""', "null", "false", "0"), j)
+
+
+def _texts(j):
+    """Members of a JSON array as texts, strings without their quotes."""
+    return F.transform(_items(j), lambda x: F.when(_is(x, '"'), _unquoted(x)).otherwise(x))
+
+
 def load_generic(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Samples and turns of loosely named records: aliases coalesced, history as list of objects, of strings, or a map.
 
-    Turns are numbered through a record's whole history; a map names their sessions, which a turn may override.
+    Turns are numbered through a record's whole history; a map names their sessions, which a turn may override. Samples
+    also carry question_type, evidence units, required and forbidden fact ids, and as JSON the success criterion (by default
+    the gold answer), the counterfactual, evidence quality and support, and the metadata by key. Turns carry timestamp and
+    metadata. Facts and relations are tables of their own (`generic_facts`, `generic_relations`).
     """
     g = lambda *ks: F.coalesce(*[F.nullif(F.get_json_object("value", f"$.{k}"), F.lit("")) for k in ks])
     sid = F.coalesce(g("sample_id", "question_id", "id"), F.lit("")).alias("sample_id")
     answer = F.coalesce(F.get_json_object("value", "$.answer"), g("gold_answer", "reference_answer"), F.lit(""))
-    samples = rows.select(sid, F.coalesce(g("question", "query"), F.lit("")).alias("question"), answer.alias("answer"), tx.task_type(g("task_type", "question_type"), "generic").alias("task_type"))
+    m = _members(F.col("value"))
+    evidence = F.coalesce(_truthy(m["key_evidence_units"]), _truthy(m["evidence"]))
+    units = F.when(_is(evidence, '"'), F.array(_unquoted(evidence))).otherwise(_texts(evidence))
+    ids = lambda k: F.coalesce(_texts(_truthy(m[k])), F.array().cast("array<string>"))
+    obj_or = lambda k, other: F.when(_is(m[k], "{"), m[k]).otherwise(other)
+    base = F.coalesce(_members(obj_or("metadata", F.lit(None).cast("string"))), F.create_map().cast("map<string,string>"))
+    more = F.map_filter(m, lambda k, _: k.isin(*METADATA_KEYS))
+    named_ = F.create_map(F.lit("question_id"), F.to_json(F.array(F.coalesce(g("question_id"), g("sample_id", "question_id", "id"), F.lit("")))))
+    default = F.transform_values(named_, lambda _, v: F.substring(v, F.lit(2), F.length(v) - 2))
+    add = lambda have, new: F.map_concat(have, F.map_filter(new, lambda k, _: ~F.map_contains_key(have, k)))
+    with_id = F.element_at(F.transform(F.array(base), lambda h: add(h, default)), 1)
+    metadata = F.element_at(F.transform(F.array(with_id), lambda h: add(h, more)), 1)
+    gold = F.to_json(F.struct(answer.alias("gold_answer")))
+    samples = rows.select(sid, F.coalesce(g("question", "query"), F.lit("")).alias("question"), answer.alias("answer"), tx.task_type(g("task_type", "question_type"), "generic").alias("task_type"),
+                          F.coalesce(g("question_type", "task_type"), F.lit("generic")).alias("question_type"),
+                          F.coalesce(F.filter(units, lambda u: tx.strip(u) != ""), F.array().cast("array<string>")).alias("key_evidence_units"),
+                          g("key_evidence_quality").alias("key_evidence_quality"), g("key_evidence_support").alias("key_evidence_support"),
+                          ids("required_fact_ids").alias("required_fact_ids"), ids("forbidden_fact_ids").alias("forbidden_fact_ids"),
+                          obj_or("success_criterion", gold).alias("success_criterion"), F.nullif(m["counterfactual"], F.lit("null")).alias("counterfactual"), metadata.alias("metadata"))
     full = lambda k: F.when(~F.regexp_replace(F.get_json_object("value", f"$.{k}"), r"\s", "").isin("[]", "{}", '""', ""), F.get_json_object("value", f"$.{k}"))
     h = rows.select(sid, F.coalesce(*[full(k) for k in ("history", "conversation_history", "conversation")]).alias("h"))
     is_map = F.startswith(F.ltrim("h"), F.lit("{"))
@@ -185,22 +225,46 @@ def load_generic(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     f = lambda *ks: F.when(obj, F.coalesce(*[F.nullif(F.get_json_object("j", f"$.{k}"), F.lit("")) for k in ks]))
     turns = t.select("sample_id", F.coalesce(f("session_id"), "s", F.lit("")).alias("session_id"), F.coalesce(f("turn_index").cast("int"), "n", "i").alias("turn_index"),
                      F.coalesce(f("turn_id", "id"), F.concat(F.lit("turn_"), F.col("i") + 1)).alias("turn_id"), F.coalesce(f("speaker", "role"), F.lit("unknown")).alias("speaker"),
-                     F.coalesce(f("text", "content"), F.when(~obj, _unquoted(F.col("j"))), F.lit("")).alias("text"))
+                     F.coalesce(f("text", "content"), F.when(~obj, _unquoted(F.col("j"))), F.lit("")).alias("text"),
+                     F.when(obj, F.get_json_object("j", "$.timestamp")).alias("timestamp"), F.when(obj & _is(F.get_json_object("j", "$.metadata"), "{"), F.get_json_object("j", "$.metadata")).otherwise("{}").alias("turn_metadata"))
     return samples, turns
 
 
+def _children(rows: DataFrame, key: str) -> DataFrame:
+    """The objects in a record's list `key`: sample_id, n (place from 0), j."""
+    g = lambda *ks: F.coalesce(*[F.nullif(F.get_json_object("value", f"$.{k}"), F.lit("")) for k in ks])
+    listed = rows.select(F.coalesce(g("sample_id", "question_id", "id"), F.lit("")).alias("sample_id"), F.posexplode(_items(F.get_json_object("value", f"$.{key}"))).alias("n", "j"))
+    return listed.where(_is(F.col("j"), "{"))
+
+
+def generic_facts(rows: DataFrame) -> DataFrame:
+    """Facts worth remembering, with the defaults of a fact that leaves fields out; its source as JSON."""
+    f = lambda k, d: F.coalesce(F.nullif(F.get_json_object("j", f"$.{k}"), F.lit("")), F.lit(d)).alias(k)
+    return _children(rows, "memory_worthy_facts").select(
+        "sample_id", "n", f("fact_id", ""), f("subject", "unknown"), f("attribute", "unknown_attribute"), f("value", ""), F.get_json_object("j", "$.timestamp").alias("timestamp"),
+        F.coalesce(F.get_json_object("j", "$.source"), F.lit("{}")).alias("source"), f("fact_type", "semantic"))
+
+
+def generic_relations(rows: DataFrame) -> DataFrame:
+    """Which fact supersedes which."""
+    f = lambda k, d: F.coalesce(F.nullif(F.get_json_object("j", f"$.{k}"), F.lit("")), F.lit(d)).alias(k)
+    return _children(rows, "supersede_relations").select(
+        "sample_id", "n", f("old_fact_id", ""), f("new_fact_id", ""), f("attribute", "unknown_attribute"), F.get_json_object("j", "$.reason").alias("reason"))
+
+
 def load_assets(documents: DataFrame, qa: DataFrame, facts: DataFrame, relations: DataFrame):
     """Samples and turns of the four-table layout; facts and relations stay child tables by parent.
 
     documents.history: array of structs that name some of turn_id or id, session_id, speaker or role, text or content,
-    turn_index; a turn without an id is named by its place from 1.
+    turn_index, timestamp, metadata (a struct or map, given as JSON); a turn without an id is named by its place from 1.
     """
     d = documents.select(F.col("doc_id").alias("parent_id"), F.posexplode("history").alias("i", "h"))
     fields = d.schema["h"].dataType.names
     f = lambda *ks: F.coalesce(*[F.nullif(tx.text_of(F.col(f"h.{k}")), F.lit("")) for k in ks if k in fields], F.lit(None).cast("string"))
     index = [F.col("h.turn_index")] if "turn_index" in fields else []
     turns = d.select("parent_id", F.coalesce(f("turn_id", "id"), F.concat(F.lit("turn_"), F.col("i") + 1)).alias("turn_id"), F.coalesce(f("session_id"), F.lit("")).alias("session_id"),
-                     F.coalesce(f("speaker", "role"), F.lit("unknown")).alias("speaker"), F.coalesce(f("text", "content"), F.lit("")).alias("text"), F.coalesce(*index, F.col("i")).alias("turn_index"))
+                     F.coalesce(f("speaker", "role"), F.lit("unknown")).alias("speaker"), F.coalesce(f("text", "content"), F.lit("")).alias("text"), F.coalesce(*index, F.col("i")).alias("turn_index"), f("timestamp").alias("timestamp"),
+                     F.coalesce(F.to_json("h.metadata") if "metadata" in fields else F.lit(None).cast("string"), F.lit("{}")).alias("turn_metadata"))
     known = documents.select(F.col("doc_id").alias("parent_id"), F.size("history").alias("n_history"))
     nf = facts.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n_facts"))
     nr = relations.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n_relations"))
