@@ -42,9 +42,12 @@ IP = r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])"
 BARE_PHONE = r"(?<![\w+./-])(?:1[ .-])?(?:" + "|".join(f"[0-9]{{3}}{c}[0-9]{{3}}{c}[0-9]{{4}}" for c in ("-", " ", r"\.")) + r")(?!\w|-[0-9])"
 PHONE = (r"(?=[+(0-9])(?:(?<![\w+])(?:\+?1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![\w+])\+1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|" + BARE_PHONE
          + rf"|(?<![\w+])\+[1-9](?:(?! (?:{SSN}|{DATE}|{IP}))[ ./-]?\(?[0-9]\)?){{6,14}}(?![0-9]))")
+#: From the start of a run of its characters (marks before the name stay as they are), so that a run without @ is read once;
+#: possessive, so that Java loops over the domain instead of recursing.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))(?=[._%+-]*+[A-Za-z0-9])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 #: Kind, pattern. The first that matches at a place wins.
 FORMS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": EMAIL,
     "secret": r"(?i:password|passwd|token|secret|api_?key)[ \t]*[=:][ \t]*[\"']?[A-Za-z0-9_-]{8,}|\bAKIA[A-Z0-9]{16}\b",
     "iban": _iban_form(),
     "phone": PHONE,
@@ -114,9 +117,8 @@ def mod97(iban: Column) -> Column:
 
 def refill(shape: Column, chars: Column, drawn: str) -> Column:
     """`shape` with its characters of class `drawn` replaced, in order, by those of `chars`."""
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(shape)), lambda i: F.when(
-        F.substr(shape, i, F.lit(1)).rlike(f"[{drawn}]"), F.substr(chars, F.length(F.regexp_replace(F.substr(shape, F.lit(1), i), f"[^{drawn}]", "")), F.lit(1))
-    ).otherwise(F.substr(shape, i, F.lit(1)))), "")
+    return F.array_join(F.zip_with(F.split(shape, f"[{drawn}]", -1), F.split(chars, ""), lambda p, c: F.when(
+        p.isNotNull(), F.concat(p, F.coalesce(c, F.lit("")))).otherwise(F.lit(""))), "")
 
 
 def only(text: Column, drawn: str) -> Column:
@@ -219,8 +221,7 @@ def _iban(m: Column, key: str) -> Column:
 
 def permute_long(text: Column, radix: int, key: str, kind: str) -> Column:
     """`permute_digits` in parts of 24, each under its place."""
-    part = lambda i: F.substr(text, i * 24 + 1, F.lit(24))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / 24).cast("int")), lambda i: permute_digits(part(i), radix, key, kind)), "")
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(.{1,24})"), 1), lambda part: permute_digits(part, radix, key, kind)), "")
 
 
 def _identifier(value: Column, key: str, kind: str) -> Column:
