@@ -327,5 +327,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
 
 
 def digests(removed: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of what is kept, from `remove_repeats`."""
-    return removed.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of what is kept, and whether anything was removed, from `remove_repeats`."""
+    return removed.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+                          (F.col("n_removed") > 0).alias("repeated"))
