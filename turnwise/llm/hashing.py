@@ -1,7 +1,11 @@
-"""Prefix polynomial hashes over byte buffers, vectorised. Arithmetic is modulo 2^64, where an odd base has an inverse."""
+"""Prefix polynomial hashes over byte buffers, vectorised; helpers for batches. Arithmetic is modulo 2^64, where an odd base has an inverse."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -49,3 +53,14 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     owner = np.repeat(np.arange(len(counts)), counts)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     return starts[owner] + within, owner
+
+
+def parts_of(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Slices of at most 512 rows whose texts hold about `most` bytes, or one row."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < batch.num_rows:
+        end = int(np.searchsorted(size, (size[low - 1] if low else 0) + most, side="right"))
+        end = min(max(end, low + 1), low + 512)
+        yield batch.slice(low, end - low)
+        low = end

@@ -20,15 +20,18 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import cut_lineage
 from .components import components
-from .hashing import Powers, Prefix, U64, mix, ragged
+from .hashing import Powers, Prefix, U64, mix, parts_of, ragged
 
 WORDS = 5
 #: Two sets link when PERCENT of the union's size is shared.
 PERCENT = 75
 #: Coordinates of a count vector.
 GROUPS = 128
-#: Shingles in more than one of this many texts come last in the common order.
-FREQUENT = 1000
+#: Shingles in more than one of this many texts come last in the common order, at most ORDERED of them: an order that all
+#: rows share is all the search needs, so what is left out changes no result.
+FREQUENT, ORDERED = 1000, 1 << 17
+#: Counters of a task's summary of frequent shingles, and shingles counted before they are merged into it.
+COUNTERS, PENDING = 1 << 16, 1 << 19
 #: Rows of a candidate list that meet in one task; a longer list is dealt out in pairs of blocks.
 CELL = 4096
 #: Rows of the candidate lists of one family of components that meet in one task.
@@ -106,23 +109,42 @@ def node_of(shingles: np.ndarray) -> int:
     return int(mix(np.array([mix(shingles ^ U64(_FOLD)).sum(dtype=U64) + U64(len(shingles))], U64)).view(np.int64)[0])
 
 
+class Summary:
+    """Frequent values of a stream in a fixed number of counters: merge, then lower all by the largest that must go."""
+
+    def __init__(self) -> None:
+        self.values, self.counts, self.lowered = np.zeros(0, U64), np.zeros(0, np.int64), 0
+        self.pending, self.held = [], 0
+
+    def add(self, values: np.ndarray) -> None:
+        for low in range(0, len(values), PENDING):
+            self.pending.append(values[low:low + PENDING])
+            self.held += len(self.pending[-1])
+            if self.held >= PENDING:
+                self.merge()
+
+    def merge(self) -> None:
+        self.values, self.counts = _tally(self.values, self.counts, self.pending)
+        self.pending, self.held = [], 0
+        if len(self.values) > COUNTERS:
+            less = int(np.partition(self.counts, len(self.counts) - COUNTERS - 1)[len(self.counts) - COUNTERS - 1])
+            stays = self.counts > less
+            self.values, self.counts = self.values[stays], self.counts[stays] - less
+            self.lowered += less
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, n, node) per row, and the shingles that are frequent in this task with their counts."""
-    powers, docs, pending, held = Powers(), 0, [], 0
-    values, counts = np.zeros(0, U64), np.zeros(0, np.int64)
+    powers, docs, summary = Powers(), 0, Summary()
     for batch in batches:
-        for low in range(0, batch.num_rows, 512):
-            part = batch.slice(low, 512)
+        for part in parts_of(batch, 1):
             sets = shingle_sets(part.column(1).to_pylist(), powers)
             docs += part.num_rows
-            pending.append(np.concatenate(sets))
-            held += len(pending[-1])
+            summary.add(np.concatenate(sets))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([node_of(s) for s in sets], pa.int64()),
                                               pa.nulls(part.num_rows, pa.int64())], ["doc_id", "n", "node", "seen"])
-            if held > 1 << 21:
-                values, counts = _tally(values, counts, pending)
-                pending, held = [], 0
-    values, counts = _tally(values, counts, pending)
+    summary.merge()
+    values, counts = summary.values, summary.counts + summary.lowered
     # A shingle in one of FREQUENT texts overall is in as many of some task's texts.
     often = counts >= max(2, docs // FREQUENT)
     for low in range(0, int(often.sum()), 10_000):
@@ -158,12 +180,14 @@ def _first_shingles(frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, done = Powers(), set()
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
+            for part in parts_of(batch, 0):
                 tokens, nodes, sizes = [], [], []
-                for s in shingle_sets(batch.column(0).slice(low, 512).to_pylist(), powers):
+                for s in shingle_sets(part.column(0).to_pylist(), powers):
                     node = node_of(s)
                     if not len(s) or node in done:
                         continue
+                    if len(done) >= 1_000_000:      # a node named again is named twice, which changes nothing
+                        done.clear()
                     done.add(node)
                     if len(frequent):
                         late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
@@ -190,8 +214,8 @@ def unpacked(vector: bytes) -> np.ndarray:
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = Powers()
     for batch in batches:
-        for low in range(0, batch.num_rows, 512):
-            sets = shingle_sets(batch.column(0).slice(low, 512).to_pylist(), powers)
+        for part in parts_of(batch, 0):
+            sets = shingle_sets(part.column(0).to_pylist(), powers)
             vectors = [packed(np.bincount((s >> U64(40)) % U64(GROUPS), minlength=GROUPS)) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()),
                                               pa.array(vectors, pa.binary())], ["node", "n", "shingles", "vector"])
@@ -319,9 +343,8 @@ def join(docs: DataFrame) -> DataFrame:
     passed = cut_lineage(rows.mapInArrow(_signatures, "doc_id bigint, n int, node bigint, seen bigint"))
     signed = passed.where("seen IS NULL").select("doc_id", "n", "node")
     total = signed.count()
-    # At most 2 * FREQUENT * (mean set size) shingles can be this frequent.
     often = (passed.where("seen IS NOT NULL").groupBy("node").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= max(8, total // (2 * FREQUENT)))
-             .select("node").collect())
+             .orderBy(F.desc("seen"), "node").limit(ORDERED).select("node").collect())
     frequent = np.sort(np.array([r["node"] for r in often], np.int64).view(U64))
     nodes = signed.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"))
     first = rows.select("text").mapInArrow(_first_shingles(frequent), "token bigint, node bigint")

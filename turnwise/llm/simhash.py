@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
 from .components import components
-from .hashing import U64, mix, ragged
+from .hashing import U64, mix, parts_of, ragged
 
 WORDS = 4
 SEED = 42
@@ -96,8 +96,7 @@ def fingerprints_of(texts: list[str | None]) -> np.ndarray:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low in range(0, batch.num_rows, 2048):
-            part = batch.slice(low, 2048)
+        for part in parts_of(batch, 1):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints_of(part.column(1).to_pylist()).view(np.int64))], ["doc_id", "fp"])
 
 
