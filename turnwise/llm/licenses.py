@@ -81,11 +81,18 @@ class Scanner:
         found = []
         for n, own in windows.items():
             notice, verify = self.notices[n], self.verify[n]
-            for low, high in own:
-                at = max(0, low)
-                while m := verify.search(text, at, min(len(text), high), concurrent=False):
-                    found.append((m.start() - 1, m.end() - 1, sum(m.fuzzy_counts), n, m.group()))
-                    at = m.start() + 1 if notice.edits == 0 else max(m.end(), m.start() + 1)
+            shortest = len(notice.words) - notice.edits
+            # The search gives the best match of a stretch; what stands before and behind it is searched again.
+            stretches = [(max(0, low), min(len(text), high)) for low, high in own]
+            while stretches:
+                low, high = stretches.pop()
+                if high - low < shortest or not (m := verify.search(text, low, high, concurrent=False)):
+                    continue
+                found.append((m.start() - 1, m.end() - 1, sum(m.fuzzy_counts), n, m.group()))
+                if notice.edits:
+                    stretches += [(low, m.start()), (max(m.end(), m.start() + 1), high)]
+                else:
+                    stretches.append((m.start() + 1, high))
         found.sort()
         out, word, seen = [], 0, 0
         for start, end, edits, n, matched in found:
