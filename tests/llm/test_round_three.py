@@ -225,3 +225,94 @@ def test_few_strata_are_visited_where_one_is_best():
     shard = lexical.Shard(m, np.ones(4000, int), np.zeros(4000, np.int64), tf, np.zeros(1, np.int64))
     place, score, visited = shard.best(np.zeros(1, int), np.ones(1, int), 50)
     assert visited < 40 and len(place) >= 50
+
+
+# 1 neighbouring notices, 3 planted passages, 4 long texts, 6 summaries and loads
+
+def test_scan_finds_a_notice_before_a_better_one():
+    from turnwise.llm import licenses
+    scanner = licenses.Scanner(licenses.BASE + licenses.NOTICES)
+    for words in (["all", "rights", "reservd"] + ["all", "rights", "reserved"], ["all", "rights", "reservd"] * 9 + ["all", "rights", "reserved"]):
+        spans = [s for s in scanner.spans([w.encode() for w in words]) if s["label"] == "reserved"]
+        assert {s["first_word"] for s in spans} == set(range(0, len(words), 3))
+
+
+def test_planted_passages_are_removed_and_flagged(spark, frame):
+    from turnwise.llm import repeats
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(5, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passages = [prose(rng.randint(75, 90)) for _ in range(5)]
+    assert all(len(p) >= 400 for p in passages)
+    docs = [(i, prose(60) + " " + passages[i % 5] + " " + prose(60)) for i in range(20)] + [(100 + i, prose(150)) for i in range(20)]
+    got = {r.doc_id: r for r in repeats.digests(repeats.remove_repeats(frame(docs))).collect()}
+    assert all(got[i].repeated and got[i].n_removed >= 400 for i in range(20)) and not any(got[100 + i].repeated for i in range(20))
+
+
+def test_pseudonyms_of_very_long_texts(frame):
+    from odd_rows import LONG
+    from turnwise.llm import pseudonyms
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(frame(LONG)).collect()}
+    assert all(len(got[i].text) == len(t) for i, t in LONG) and got[20].n_email == 1 and got[24].n_email == 1 and got[24].text != LONG[4][1] and got[21].text == LONG[1][1]
+
+
+def test_summary_keeps_frequent_values_in_bounded_room(monkeypatch):
+    from turnwise.llm import jaccard
+    monkeypatch.setattr(jaccard, "COUNTERS", 100)
+    monkeypatch.setattr(jaccard, "PENDING", 500)
+    rng, summary = np.random.default_rng(1), jaccard.Summary()
+    often = np.arange(20, dtype=np.uint64)
+    for _ in range(60):
+        summary.add(np.concatenate([often, rng.integers(1000, 2 ** 60, 300).astype(np.uint64)]))
+        assert len(summary.values) <= 100 and summary.held < 500
+    summary.merge()
+    assert set(often.tolist()) <= set(summary.values.tolist())
+
+
+def test_parts_are_cut_by_bytes():
+    import pyarrow as pa
+    from turnwise.llm import hashing
+    batch = pa.RecordBatch.from_arrays([pa.array([None, "x" * 50, "", "y" * 10, "z" * 10, "a"])], ["text"])
+    parts = [p.column(0).to_pylist() for p in hashing.parts_of(batch, 0, 20)]
+    assert sum(parts, []) == batch.column(0).to_pylist() and max(sum(len(x or "") for x in p) for p in parts if len(p) > 1) <= 20
+    assert [p.num_rows for p in hashing.parts_of(pa.RecordBatch.from_arrays([pa.array(["b"] * 1000)], ["text"]), 0)] == [512, 488]
+
+
+# the pipeline
+
+def test_stages_of_odd_rows_and_of_no_rows(spark, tmp_path, odd, empty):
+    import corpus_pipeline
+    from turnwise.session import cut_lineage
+    for docs in (odd, empty):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = cut_lineage(stage(spark, docs, str(tmp_path)))
+            assert docs.columns == columns, name
+        assert "ids_sha256" in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).columns
+
+
+def test_one_of_each_group_stays(frame):
+    from turnwise.llm import jaccard
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = [(3, text), (2, text + " end"), (2, text + " end"), (7, text.upper()), (9, "other words stand here today"), (10, None), (11, ""), (None, None)]
+    assert key(r.doc_id for r in jaccard.one_of_each(frame(docs)).collect()) == key([2, 9, 10, 11, None])
+
+
+def test_the_pipeline_keeps_what_its_stages_keep(spark):
+    """Exact and near-duplicate stages against brute force over what the quality rules kept, and no text twice in the end."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+    from turnwise.session import cut_lineage
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    ruled = cut_lineage(corpus_pipeline.quality_rules(spark, docs, SF))
+    exact = cut_lineage(corpus_pipeline.exact_duplicates(spark, ruled, SF))
+    best = {}
+    for r in ruled.collect():
+        best[brute.lower(r.text)] = max(best.get(brute.lower(r.text), -1), r.doc_id)
+    assert {r.doc_id for r in exact.collect()} == set(best.values())
+    near = cut_lineage(corpus_pipeline.near_duplicates(spark, exact, SF))
+    part = brute.components([(r.doc_id, r.text) for r in exact.collect()])
+    assert {r.doc_id for r in near.collect()} == {i for i, (_, c) in part.items() if i == c}
+    out = corpus_pipeline.run(spark, SF)
+    mixed = corpus_pipeline.mixed_sources(spark, near, SF)
+    assert key((r.doc_id, r.n) for r in out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()) == key((r.doc_id, r.n) for r in mixed.groupBy("doc_id").agg(F.count("*").alias("n")).collect())
