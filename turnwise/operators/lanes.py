@@ -483,26 +483,30 @@ def typed_lanes(queries: DataFrame, docs: DataFrame) -> DataFrame:
     The first fact wins ties; without owner terms every record is the owner's.
     """
     def score(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        parts = {k: [] for k in ("sample_id", "raw_id", "semantic", "value", "owner")}
-        if not (q.empty or d.empty):
-            d = d.sort_values(["raw_id", "ord"], kind="stable")
-            ids, starts = np.unique(d["raw_id"].to_numpy(dtype=object).astype(str), return_index=True)
-            sem = np.round(_matrix(q["vec"], True) @ _matrix(d["vec"], True).T, ROUND) + 0.0
-            val = np.round(_matrix(q["value_vec"], True) @ _matrix(d["value_vec"], True).T, ROUND) + 0.0
-            both = np.maximum(sem, val)
-            ends = [*starts[1:], len(d)]
-            subj = [frozenset(x) for x in d["subject_terms"]]
-            for i, (qid, terms) in enumerate(zip(q["sample_id"], q["owner_terms"])):
-                pick = np.array([a + int(np.argmax(both[i, a:b])) for a, b in zip(starts, ends)])
-                want = frozenset(terms)
-                own = np.array([not want or bool(want & subj[p]) for p in pick])
-                s, v = sem[i, pick], val[i, pick]
-                keep = set(np.argsort(-s, kind="stable")[:DEPTH]) | set(np.argsort(-v, kind="stable")[:DEPTH])
-                keep |= set(np.flatnonzero(own)[np.argsort(-s[own], kind="stable")[:DEPTH]])
-                at = np.array(sorted(keep))
-                for k, x in zip(parts, ([qid] * len(at), ids[at], s[at], v[at], own[at])):
-                    parts[k].extend(x)
-        return _frame({k: parts[k] for k in ("sample_id", "raw_id")}, {"semantic": np.array(parts["semantic"], dtype=float), "value": np.array(parts["value"], dtype=float), "owner": np.array(parts["owner"], dtype=bool)})
+        if q.empty or d.empty:
+            return _frame({"sample_id": [], "raw_id": []}, {"semantic": np.zeros(0), "value": np.zeros(0), "owner": np.zeros(0, bool)})
+        d = d.sort_values(["raw_id", "ord"], kind="stable")
+        ids, starts = np.unique(d["raw_id"].to_numpy(dtype=object).astype(str), return_index=True)
+        sem = np.round(_matrix(q["vec"], True) @ _matrix(d["vec"], True).T, ROUND) + 0.0
+        val = np.round(_matrix(q["value_vec"], True) @ _matrix(d["value_vec"], True).T, ROUND) + 0.0
+        both = np.maximum(sem, val)
+        best = np.repeat(np.maximum.reduceat(both, starts, axis=1), np.diff([*starts, len(d)]), axis=1)
+        pick = np.minimum.reduceat(np.where(both == best, np.arange(len(d)), len(d)), starts, axis=1)       # a record's first best fact
+        held: dict[str, list[int]] = {}
+        for at, terms in enumerate(d["subject_terms"]):
+            for w in terms:
+                held.setdefault(w, []).append(at)
+        named = np.zeros(both.shape, bool)
+        for i, terms in enumerate(q["owner_terms"]):
+            named[i] |= len(terms) == 0
+            for w in terms:
+                named[i, held.get(w, [])] = True
+        s, v, own = (np.take_along_axis(m, pick, 1) for m in (sem, val, named))
+        keep = np.zeros(s.shape, bool)
+        for order in (-s, -v, np.where(own, -s, np.inf)):
+            np.put_along_axis(keep, np.argsort(order, axis=1, kind="stable")[:, :DEPTH], True, 1)
+        i, j = np.nonzero(keep)
+        return _frame({"sample_id": q["sample_id"].to_numpy(dtype=object)[i], "raw_id": ids[j]}, {"semantic": s[i, j], "value": v[i, j], "owner": own[i, j]})
 
     picks = _blocks(queries, docs).applyInPandas(score, "sample_id string, raw_id string, semantic double, value double, owner boolean")
     sem = ranked(picks.withColumn("score", F.col("semantic")), "typed_semantic")
