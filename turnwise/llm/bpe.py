@@ -11,8 +11,11 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .hashing import parts_of
+
 # Letters and numbers assigned after Unicode 16, which the tokenizer's pattern engine does not know as such
 # and the regex library may; found by splitting every code point with both.
 NEWER = ("\u0558 \u058B-\u058C \u088F \u0C5C \u0CDC \u208F \u209D-\u209F \uA7CE-\uA7CF \uA7D2 \uA7D4 \uA7DD \uA7E2 \uA7F1 \uAB6C-\uAB6D "
@@ -72,6 +75,11 @@ def serialise(vocabulary: list[bytes]) -> bytes:
     return b"".join(pieces) + _field(2, trainer) + _field(3, normalizer)
 
 
+def decoded(vocabulary: list[bytes], packed: bytes) -> bytes:
+    """The bytes of packed ids."""
+    return b"".join([vocabulary[i] for i in memoryview(packed).cast("I")])
+
+
 class Codec:
     """Encoder and decoder of one task."""
 
@@ -112,8 +120,7 @@ class Codec:
         return packed
 
     def decode(self, packed: bytes) -> bytes:
-        vocabulary = self.vocabulary
-        return b"".join([vocabulary[i] for i in memoryview(packed).cast("I")])
+        return decoded(self.vocabulary, packed)
 
 
 class ByteBPE:
@@ -131,9 +138,9 @@ class ByteBPE:
 
         @F.pandas_udf("binary")
         def decode(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            codec = Codec(*shared.value)
+            vocabulary = shared.value[0]
             for batch in ids:
-                yield pd.Series([codec.decode(b) for b in batch], dtype=object)
+                yield pd.Series([decoded(vocabulary, b) for b in batch], dtype=object)
 
         self._encode, self._decode = encode, decode
 
@@ -151,9 +158,20 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     Null and empty texts have no tokens; repeated rows are encoded each; no rows give no rows; other columns are ignored.
     """
-    bpe = ByteBPE(docs.sparkSession, path, pattern)
-    ids = docs.select("doc_id", bpe.encode(F.col("text")).alias("token_ids"))
-    return ids.select("doc_id", "token_ids", F.expr("octet_length(token_ids) div 4").cast("bigint").alias("n_tokens"), bpe.decode(F.col("token_ids")).alias("decoded"))
+    vocabulary = read_ranks(path)
+    # The size of the vocabulary is fixed by the file.
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, serialise(vocabulary), pattern))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(*shared.value)
+        for batch in batches:
+            for part in parts_of(batch, 1):
+                ids = [codec.encode(text or "") for text in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()),
+                                                  pa.array([codec.decode(x) for x in ids], pa.binary())], ["doc_id", "token_ids", "n_tokens", "decoded"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, token_ids binary, n_tokens bigint, decoded binary")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
