@@ -175,7 +175,11 @@ class Block:
 
 def _ranks(table: pa.Table, columns: Sequence[str]) -> np.ndarray:
     """Place of each row in the order of the columns, nulls first; equal rows in their own order."""
-    order = pc.sort_indices(table.select(columns), sort_keys=[(c, "ascending") for c in columns], null_placement="at_start").to_numpy()
+    flat = table.select(columns)
+    while any(pa.types.is_struct(f.type) for f in flat.schema):
+        flat = flat.flatten()
+    columns = flat.schema.names
+    order = pc.sort_indices(flat, sort_keys=[(c, "ascending") for c in columns], null_placement="at_start").to_numpy()
     out = np.empty(len(order), np.int64)
     out[order] = np.arange(len(order))
     return out

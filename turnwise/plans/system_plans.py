@@ -18,6 +18,18 @@ def _(t):
     return systems.run_all(["simple_vector_tfidf", "lexical_fallback"], b.turns(t), b.questions(t), 5)
 
 
+_CURRENT = f"""cm as (select raw_id||'#'||ord as raw_id, conversation_id, clause as text, pos*1000+ord as ord, 'D'||(pos//4+1)||':'||(pos%4+1)||':memory:'||ord as entry_id from clauses where pos%2=1
+ union all select raw_id, conversation_id, speaker||': '||{k.strip('text')}, pos*1000, turn_id from turns t where {k.strip('text')}<>'' and (pos%2=0 or not exists (select 1 from clauses c where c.raw_id=t.raw_id)))"""
+
+
+@plan("ext_current_memory", f"""with {b.QUESTIONS}, {b.FACTS}, {_CURRENT}, {_TFIDF.format(docs='cm', queries='questions')}, {filled('lt', 'questions', 'cm', 'tr', 'ord', 5)}
+select lt.sample_id, lt.rank, cm.entry_id, lt.score from lt join cm using (raw_id)""")
+def _(t):
+    """The current-memory system where every other turn is remembered by its sentences."""
+    told = b.facts(t).where("pos % 2 = 1").groupBy("raw_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "retrieval_text"))), lambda x: x["retrieval_text"]).alias("current_memory_texts"))
+    return systems.build("current_memory").run(b.turns(t).join(told, "raw_id", "left"), b.questions(t), 5).retrieved.select("sample_id", "rank", "entry_id", "score")
+
+
 @plan("ext_system_lower_bound", f"with {b.QUESTIONS} select sample_id, '' as memory_context, '' as injected_entry_ids, len(regexp_extract_all('Question: '||query_text,'\\S+'))::bigint as token_count from questions")
 def _(t):
     return systems.build("no_memory").run(b.turns(t), b.questions(t), 5).prompts.drop("full_prompt")

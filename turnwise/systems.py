@@ -24,21 +24,24 @@ class Run:
 class System:
     name: str
     run: Callable[[DataFrame, DataFrame, int], Run]
-    lifecycle: str = "supported"
+    lifecycle: str = "analysis_only"
 
 
 REGISTRY: dict[str, System] = {}
+# Lifecycles that a run leaves out unless it asks for them.
+PAST = ("historical", "historical_reference")
 
 
-def system(name: str, lifecycle: str = "supported"):
+def system(name: str, lifecycle: str = "analysis_only"):
     def keep(fn):
         REGISTRY[name] = System(name, fn, lifecycle)
         return fn
     return keep
 
 
-def available(lifecycle: str = "supported") -> list[str]:
-    return sorted(n for n, s in REGISTRY.items() if s.lifecycle == lifecycle)
+def available(lifecycle: str | None = None) -> list[str]:
+    """Names of the systems of a lifecycle; without one, of all that are not past."""
+    return sorted(n for n, s in REGISTRY.items() if (s.lifecycle == lifecycle if lifecycle else s.lifecycle not in PAST))
 
 
 def build(name: str) -> System:
@@ -57,7 +60,7 @@ def _entries(turns: DataFrame) -> DataFrame:
     return corpus.turn_entries(turns).join(turns.select("conversation_id", "pos", "raw_id"), ["conversation_id", "pos"])
 
 
-@system("no_memory")
+@system("no_memory", "active_control")
 def no_memory(turns: DataFrame, queries: DataFrame, k: int) -> Run:
     """The lower bound: nothing is stored, retrieved or injected."""
     e = _entries(turns).limit(0)
@@ -65,7 +68,7 @@ def no_memory(turns: DataFrame, queries: DataFrame, k: int) -> Run:
     return Run(e, r, _prompts(r, queries))
 
 
-@system("full_context")
+@system("full_context", "active_control")
 def full_context(turns: DataFrame, queries: DataFrame, k: int) -> Run:
     """The upper bound: every turn in order with score 1.
 
@@ -90,6 +93,30 @@ def simple_vector_tfidf(turns: DataFrame, queries: DataFrame, k: int) -> Run:
     return Run(e, r, _prompts(r, queries))
 
 
+def current_entries(turns: DataFrame) -> DataFrame:
+    """A turn's memory texts, each an entry of its own; the turn itself where it has none.
+
+    turns: …, current_memory_texts (array<string>, may be null or missing)
+    """
+    texts = F.col("current_memory_texts") if "current_memory_texts" in turns.columns else F.lit(None).cast("array<string>")
+    t = turns.withColumn("_m", F.coalesce(texts, F.array().cast("array<string>")))
+    own = t.select("conversation_id", "pos", "raw_id", "turn_id", F.posexplode("_m").alias("n", "m")).where(tx.strip(tx.text_of("m")) != "")
+    own = own.select("conversation_id", "pos", (F.col("n") + 1).alias("n"), F.concat("raw_id", F.lit("#"), F.col("n") + 1).alias("raw_id"),
+                     F.concat("turn_id", F.lit(":memory:"), F.col("n") + 1).alias("entry_id"), tx.strip(F.col("m")).alias("content"))
+    bare = t.where((F.size("_m") == 0) & (tx.strip(tx.text_of("text")) != "")).select(
+        "conversation_id", "pos", F.lit(0).alias("n"), "raw_id", F.col("turn_id").alias("entry_id"), F.concat(F.coalesce("speaker", F.lit("unknown")), F.lit(": "), tx.strip(F.col("text"))).alias("content"))
+    return own.unionByName(bare)
+
+
+@system("current_memory")
+def current_memory(turns: DataFrame, queries: DataFrame, k: int) -> Run:
+    """TF-IDF cosine over what a turn is remembered by, or over the turn."""
+    e = current_entries(turns)
+    docs = e.select("conversation_id", "raw_id", F.col("content").alias("text"), F.struct("pos", "n").alias("ord"))
+    r = _ranked(lanes.tfidf_cosine(queries, docs, depth=k), e)
+    return Run(e, r, _prompts(r, queries))
+
+
 @system("lexical_fallback")
 def lexical_fallback(turns: DataFrame, queries: DataFrame, k: int) -> Run:
     """Term overlap over turn entries, store order on ties."""
@@ -99,7 +126,7 @@ def lexical_fallback(turns: DataFrame, queries: DataFrame, k: int) -> Run:
     return Run(e, r, _prompts(r, queries))
 
 
-@system("passages")
+@system("passages", "supplementary")
 def passage_system(turns: DataFrame, queries: DataFrame, k: int) -> Run:
     """Archive passages of eight turns by shared terms with a phrase bonus."""
     p = corpus.passages(turns, 8).withColumn("raw_id", F.concat_ws("::p", "conversation_id", "passage"))
