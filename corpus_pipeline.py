@@ -13,27 +13,45 @@ from turnwise.session import cut_lineage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Rejected documents go: too short, too repetitive, or far from their language and source (rules: `rules.judge`).
+
+    A null or empty text has no words and goes; a very long text is judged whole; rows that are repeated are judged alike;
+    null languages and sources are groups of their own; no rows give no rows; all columns stay as they were.
+    """
     return rules.accepted(docs)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts (A-Z as a-z) the row with the largest doc_id stays, a null id last.
+
+    Null and empty texts are one text; of rows that share even the id one stays; no rows give no rows; all columns stay.
+    """
     return exact.deduplicate(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the row with the least doc_id stays."""
+    """Of each near-duplicate group the row with the least doc_id stays.
+
+    Texts without words are linked with none and stay; very long texts are compared whole; of rows that share id and text one
+    stays; a row with a null id stays where no other row is reached; no rows give no rows; all columns stay.
+    """
     return jaccard.one_of_each(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it: whole copies, up to three and rounded to hit its source's target.
+
+    Texts without words have no size and are not taken; a null source is a source; repeated rows are taken each; no rows give
+    no rows; all columns stay.
+    """
     return mixing.mixed(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and digests of every document of the mix."""
+    """Token ids and digests of every document of the mix, repeated ones each.
+
+    Null and empty texts have no tokens; very long texts are encoded whole; no rows give no rows.
+    """
     return bpe.digests(bpe.encode_documents(docs, *tokenizer()))
 
 
