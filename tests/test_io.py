@@ -129,6 +129,30 @@ def test_state_processor_over_batches(spark, tmp_path):
     assert got == [("a2", "a3"), ("a3", "a5")]
 
 
+def test_windows_close_and_late_rows_correct_them(spark, tmp_path):
+    import datetime
+    at = lambda minute: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minute)
+    batches = [[(at(5), "a", 1.0, None), (at(70), "a", 2.0, "x"), (at(80), "b", None, "")], [(at(400), "a", 3.0, None), (at(390), "b", 1.0, "x")],
+               [(at(6), "a", 5.0, "x"), (at(20), "c", 7.0, None), (at(410), "a", 1.0, None)], [(at(900), "b", 2.0, None)]]
+    table, schema = jn.RatesTable(spark, str(tmp_path / "out")), "ts timestamp, system string, latency double, error string"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        jn.drain(table.run(jn.read_stream(spark, str(tmp_path / "in"), schema)))
+        assert table.open_windows().count() <= 3                       # only windows inside the delay are kept
+    got = {(r.start, r.system): (r.n, r.error_rate, r.avg_latency, r.closed) for r in table.rates().collect()}
+    want = {}
+    for ts, system, latency, error in sum(batches, []):
+        want.setdefault((ts.replace(minute=0), system), []).append((latency, bool(error)))
+    assert got.keys() == want.keys()
+    for key, rows in want.items():
+        given = [x for x, _ in rows if x is not None]
+        assert got[key][:3] == (len(rows), sum(e for _, e in rows) / len(rows), sum(given) / len(given) if given else None), key
+        assert got[key][3] == (key[0] < at(900 - 120).replace(minute=0)), key
+    assert spark.read.schema("n bigint").parquet(str(tmp_path / "out" / "late")).agg(F.sum("n")).first()[0] == 2
+    kept = sorted(p.name for p in (tmp_path / "out" / "open").iterdir() if p.name.startswith("lt="))
+    assert kept == ["lt=2", "lt=3"]
+
+
 def test_cut_lineage_uses_the_named_folder(spark):
     df = cut_lineage(spark.range(5))
     assert shared_dir(spark) in df.inputFiles()[0] and df.count() == 5

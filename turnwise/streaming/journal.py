@@ -238,3 +238,63 @@ def windowed_rates(src: DataFrame, width: str = "1 hour", delay: str | None = No
     return rows.groupBy(F.window("ts", width).alias("w"), "system").agg(
         F.count(F.lit(1)).alias("n"), F.avg((tx.strip(tx.text_of("error")) != "").cast("double")).alias("error_rate"), F.avg("latency").alias("avg_latency")).select(
         F.col("w.start").alias("start"), "system", "n", "error_rate", "avg_latency")
+
+
+#: What adds up over batches: rows, errors, latencies that are given and their sum.
+_SUMS = "start timestamp, end timestamp, system string, n bigint, errors bigint, n_latency bigint, latency double"
+
+
+def _added(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("start", "end", "system").agg(*[F.sum(c).alias(c) for c in ("n", "errors", "n_latency", "latency")]).select("start", "end", "system", "n", "errors", "n_latency", "latency")
+
+
+class RatesTable:
+    """Rates by event-time window as tables under `path`: windows close `delay` behind the latest row, late rows correct them.
+
+    `closed/lt=n` has the windows that batch n closed, `late/lt=n` the sums of its rows whose window was closed before, and
+    `open/lt=n` what is still open: all state there is, bounded by the windows inside the delay. Sums of both tables and the
+    open rows together are exact whatever came late. A batch that is retried writes its own folders again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, width: str = "1 hour", delay: str = "2 hours"):
+        self.spark, self.path, self.width, self.delay = spark, path.rstrip("/"), width, delay
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.schema(_SUMS).parquet(f"{self.path}/{name}").select("start", "end", "system", "n", "errors", "n_latency", "latency")
+
+    def step(self, batch: DataFrame, n: int) -> None:
+        told = batch.select(F.window("ts", self.width).alias("w"), "ts", "system", "latency", (tx.strip(tx.text_of("error")) != "").cast("bigint").alias("e")).groupBy("w", "system").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("e").alias("errors"), F.count("latency").alias("n_latency"), F.coalesce(F.sum("latency"), F.lit(0.0)).alias("latency"), F.max("ts").alias("ts"))
+        told.select("w.start", "w.end", "system", "n", "errors", "n_latency", "latency", "ts").write.mode("overwrite").parquet(f"{self.path}/sums/lt={n}")
+        sums = self.spark.read.schema(_SUMS + ", ts timestamp").parquet(f"{self.path}/sums/lt={n}")
+        before = self.spark.read.schema("ts timestamp").parquet(f"{self.path}/mark/lt={n - 1}") if n else self.spark.createDataFrame([], "ts timestamp")
+        mark = before.unionByName(sums.select("ts")).agg(F.max("ts").alias("ts"))
+        mark.write.mode("overwrite").parquet(f"{self.path}/mark/lt={n}")
+        # One row each.
+        limit = lambda df: df.agg((F.max("ts") - F.expr(f"INTERVAL {self.delay}")).alias("x")).first()["x"]
+        was, now = limit(before), limit(self.spark.read.schema("ts timestamp").parquet(f"{self.path}/mark/lt={n}"))
+        gone = F.col("end") <= F.lit(was) if was is not None else F.lit(False)
+        own = sums.drop("ts")
+        own.where(gone).write.mode("overwrite").parquet(f"{self.path}/late/lt={n}")
+        live = own.where(~gone)
+        live = _added(live.unionByName(self._read(f"open/lt={n - 1}")) if n else live)
+        shut = F.col("end") <= F.lit(now) if now is not None else F.lit(False)
+        live.where(shut).write.mode("overwrite").parquet(f"{self.path}/closed/lt={n}")
+        live.where(~shut).write.mode("overwrite").parquet(f"{self.path}/open/lt={n}")
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        for name in ("sums", "mark", "open"):
+            at = hadoop.Path(f"{self.path}/{name}/lt={n - 2}")
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def run(self, src: DataFrame) -> StreamingQuery:
+        """src: ts, system, latency, error"""
+        return start(src, self.path, self.step)
+
+    def open_windows(self) -> DataFrame:
+        return versioned(self.spark, f"{self.path}/open", self.spark.createDataFrame([], _SUMS).schema, "lt")
+
+    def rates(self) -> DataFrame:
+        """start, system, n, error_rate, avg_latency and whether the window is closed."""
+        rows = self._read("closed").withColumn("shut", F.lit(True)).unionByName(self._read("late").withColumn("shut", F.lit(True))).unionByName(self.open_windows().withColumn("shut", F.lit(False)))
+        each = rows.groupBy("start", "system").agg(*[F.sum(c).alias(c) for c in ("n", "errors", "n_latency", "latency")], F.min("shut").alias("closed"))
+        return each.select("start", "system", "n", (F.col("errors") / F.col("n")).alias("error_rate"), F.try_divide("latency", "n_latency").alias("avg_latency"), "closed")
