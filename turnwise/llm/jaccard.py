@@ -395,9 +395,13 @@ def join(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` whose doc_id is their component's id (rules: `join`): one text of each near-duplicate group stays.
 
-    Rows without words stay. Of rows that share id and text one stays; all columns as they were.
+    Rows without words stay. Of rows that share id and text one stays; all columns as they were. Rows that go are taken out
+    by their ids and only rows whose id is repeated are shuffled with their texts.
     """
-    stays = join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    kept = docs.select(F.struct("*").alias("_row")).join(stays, F.col("_row.doc_id").eqNullSafe(F.col("_stays")))
-    numbered = kept.withColumn("_n", F.row_number().over(W.partitionBy("_stays", F.xxhash64("_row.text")).orderBy(F.xxhash64(F.to_json("_row"))))).where("_n = 1")
-    return numbered.select("_row.*")
+    stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = cut_lineage(join(docs).groupBy("doc_id").agg(stays.alias("stays")).where("NOT stays").select(F.col("doc_id").alias("_gone")))
+    again = cut_lineage(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")))
+    kept = docs.select(F.struct("*").alias("_row")).join(gone, F.col("_row.doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    same = F.col("_row.doc_id").eqNullSafe(F.col("_again"))
+    numbered = kept.join(again, same, "left_semi").withColumn("_n", F.row_number().over(W.partitionBy("_row.doc_id", F.xxhash64("_row.text")).orderBy(F.xxhash64(F.to_json("_row"))))).where("_n = 1")
+    return kept.join(again, same, "left_anti").unionByName(numbered.drop("_n")).select("_row.*")
