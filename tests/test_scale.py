@@ -109,3 +109,11 @@ def test_vector_blocks_of_tiny_size_equal_brute_force(spark, monkeypatch):
             want[sid, i] = (r, round(s, 6))
     got = {(r.sample_id, r["rank"]): (r.raw_id, r.score) for r in lanes.dense_lane(Q, D, "x", 4).collect()}
     assert got == want
+
+
+def test_episode_lane_keeps_equal_session_numbers_of_scopes_apart(spark):
+    # more scopes than a ranking is deep, all with sessions 1 and 2
+    raws = spark.createDataFrame([(f"{c}::D{n}", str(c), n, n, "apple pear") for c in range(300) for n in (1, 2)], "raw_id string, conversation_id string, session_no int, pos long, text string")
+    queries = raws.where("session_no = 2").select(F.col("raw_id").alias("sample_id"), "conversation_id", F.lit("apple").alias("query_text"))
+    got = lanes.episode_lane(queries, raws).where("score > 0").groupBy("sample_id").count().collect()
+    assert len(got) == 300 and all(r["count"] == 2 for r in got)
