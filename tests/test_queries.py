@@ -1,6 +1,7 @@
 """Named queries against DuckDB on the smallest tables. ORACLE_ALL=1 runs every query."""
 import os
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -29,3 +30,14 @@ def test_entry_runs(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_word_edges_are_those_of_the_sql(spark, tmp_path):
+    texts = ["ité va", "Noé part", "no, thanks", " yes indeed", "thiſ one", "we İt go", "ıt went", "itë", "say the_ it2 now", "éit", "righté", "who é?", "WHAT́ now you", "plain words here"]
+    rows = [(c, i, "user", x) for c in range(3) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    for key in ("txt_context_gate", "txt_context_needed"):
+        status, n, detail = compare(spark, con, str(tmp_path), key, entry.queries()[key], entry.oracle_sql()[key])
+        assert status == "ok" and n == len(rows), (key, detail)
