@@ -87,6 +87,23 @@ def test_pack_over_short_runs_equals_one_walk(spark):
         assert [r.chunk for r in sorted((r for r in got if r.k == k), key=lambda r: r.pos)] == greedy(cs, 11)
 
 
+def test_pack_keeps_runs_whole_where_rows_of_a_key_lie_far_apart(spark):
+    # an RDD has no size estimate: the planner first sorts and merges, then finds that the runs' summaries fit a broadcast
+    rng = random.Random(11)
+    data = {f"k{k}": [rng.choice([1, 2, 4, 9, 30]) for _ in range(40)] for k in range(20)}
+    rows = [(k, i, c) for k, cs in data.items() for i, c in enumerate(cs)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), "k string, pos long, c long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = packing.pack(df, ["k"], "pos", F.col("c"), 11, run=16).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(rows)
+    for k, cs in data.items():
+        assert [r.chunk for r in sorted((r for r in got if r.k == k), key=lambda r: r.pos)] == greedy(cs, 11)
+
+
 def test_vector_blocks_of_tiny_size_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(lanes, "DOC_BLOCK", 3)
     monkeypatch.setattr(lanes, "QUERY_BLOCK", 2)

@@ -10,6 +10,8 @@ from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text as tx
@@ -153,24 +155,28 @@ def pack(rows: DataFrame, keys: Sequence[str], order: str, cost: Column, budget:
     laid = r.select(*by_run, "_o", "_c").repartition(*by_run).sortWithinPartitions(*by_run, "_o")
     maps = laid.mapInPandas(summarize, f"{cols}, _run long, total long, empty array<long>, steps array<long>")
     entry = maps.repartition(*keys).sortWithinPartitions(*by_run).mapInPandas(chain, f"{cols}, _run long, _load long, _opened long")
-    full = r.join(entry, by_run).repartition(*by_run).sortWithinPartitions(*by_run, "_o")
+    # What a run is entered with goes ahead of its rows. A join in place of the union would already be dealt by run, so the planner
+    # would drop the repartition, and could then read the join's sides unevenly and tear runs apart.
+    full = r.unionByName(entry, allowMissingColumns=True).repartition(*by_run).sortWithinPartitions(*by_run, F.col("_load").isNull(), "_o")
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.LongType())])
-    fields = [f.name for f in schema]
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, load, n = None, 0, 0
-        for pdf, rows_ in stream(batches, [*by_run, "_c", "_load", "_opened"]):
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load, n = 0, 0
+        for batch in batches:
             marks = []
-            for *where, c, entered, opened in rows_:
-                if where != at:
-                    at, load, n = where, entered, opened
+            for c, entered, opened in zip(*(batch.column(x).to_pylist() for x in ("_c", "_load", "_opened"))):
+                if entered is not None:
+                    load, n = entered, opened
+                    continue
                 if load > 0 and load + c > budget:
                     n, load = n + 1, 0
                 load += c
                 marks.append(n)
-            yield pdf.assign(**{out: marks})[fields]
+            kept = batch.filter(pc.is_null(batch.column("_load"))).select(rows_named)
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(marks, pa.int64())], [*rows_named, out])
 
-    return full.mapInPandas(number, schema)
+    rows_named = rows.columns
+    return full.mapInArrow(number, schema)
 
 
 def paginate(turns: DataFrame, budget: int = 350) -> DataFrame:
@@ -182,6 +188,6 @@ def line_chunks(turns: DataFrame, budget: int = 4096) -> DataFrame:
     return pack(turns, ["conversation_id"], "pos", tx.token_estimate("text"), budget)
 
 
-def clause_chunks(clauses: DataFrame, budget: int = 6000) -> DataFrame:
+def clause_chunks(clauses: DataFrame, budget: int = 6000, order: str = "pos", run: int = 4096) -> DataFrame:
     """Clauses by characters plus 32 each, never across a session."""
-    return pack(clauses, ["conversation_id", "session_id"], "pos", F.length("text") + F.length("clause_id") + 32, budget)
+    return pack(clauses, ["conversation_id", "session_id"], order, F.length("text") + F.length("clause_id") + 32, budget, run)

@@ -355,5 +355,7 @@ def _(t):
   union all select r.conversation_id, r.session_id, r.n, r.pos, case when load>0 and load+c>400 then chunk+1 else chunk end, case when load>0 and load+c>400 then c else load+c end from g join r on r.conversation_id=g.conversation_id and r.session_id=g.session_id and r.n=g.n+1)
 select conversation_id, session_id, pos, chunk::bigint as chunk from g""")
 def _(t):
-    c = b.facts(t).withColumn("pos", F.col("pos") * 1000 + F.col("ord")).select("conversation_id", "session_id", "pos", F.col("assertion_id").alias("clause_id"), F.col("retrieval_text").alias("text"))
-    return pk.clause_chunks(c, 400).select("conversation_id", "session_id", "pos", "chunk")
+    # ordered by turn and sentence: from the thousandth sentence on, pos runs into the next turn's
+    c = b.facts(t).withColumn("at", F.col("pos") * (1 << 20) + F.col("ord")).withColumn("pos", F.col("pos") * 1000 + F.col("ord")).select(
+        "conversation_id", "session_id", "pos", "at", F.col("assertion_id").alias("clause_id"), F.col("retrieval_text").alias("text"))
+    return pk.clause_chunks(c, 400, "at", 1 << 20).select("conversation_id", "session_id", "pos", "chunk")
