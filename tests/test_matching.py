@@ -53,3 +53,16 @@ def test_trace_gold_baselines(spark):
     df = spark.createDataFrame(rows, "sample_id string, system string, gold_ids array<string>, retrieved_ids array<string>, injected_ids array<string>, known_ids array<string>")
     got = {r.system: (r.retrieved_gold_ids, r.prompt_gold_ids) for r in joins.trace_gold(df).collect()}
     assert got == {"no_memory": ([], []), "full_context": (["d1:1"], ["d1:1"]), "mem": ([], ["d1:1"])}
+
+
+def test_trace_prompt_matches_contents_and_blocks_in_one_go(spark, monkeypatch):
+    calls, real = [], joins.infer_sources
+    monkeypatch.setattr(joins, "infer_sources", lambda texts, turns: calls.append(1) or real(texts, turns))
+    turns = spark.createDataFrame([("c", 0, "D1:1", "session_1", "red apples grow here", "2023-01-01"), ("c", 1, "D1:2", "session_1", "blue pears fall there", "2023-01-01")],
+                                  "conversation_id string, pos long, turn_id string, session_id string, text string, timestamp string")
+    prompts = spark.createDataFrame([("s", "c", 1, "e")], "sample_id string, conversation_id string, place long, entry_id string")
+    entries = spark.createDataFrame([("e", "red apples grow here", [])], "entry_id string, content string, source_ids array<string>")
+    got = spark.createDataFrame([("s", "e", "red apples grow here", [], "", None)], "sample_id string, entry_id string, content string, source_ids array<string>, query string, batch_ids array<string>")
+    blocks = spark.createDataFrame([("s", "c", "red apples grow here\nblue pears fall there")], "sample_id string, conversation_id string, text string")
+    rows = joins.trace_prompt(prompts, entries, got, turns, blocks).orderBy("rank").collect()
+    assert [r.source_id for r in rows] == ["e", "D1:1", "session_1", "D1:2"] and len(calls) == 1
