@@ -121,3 +121,21 @@ def test_scorer_must_score_every_row(spark):
     for bad in (lambda pdf: pdf["v"].where(pdf["v"] != 3), lambda pdf: pdf["v"].iloc[:0], lambda pdf: 1 / 0):
         with pytest.raises(Exception, match="PYTHON|score|ZeroDivision"):
             score_pairs(df, bad).collect()
+
+
+def test_ranked_evidence_and_duplicates_equal_those_of_copied_texts(spark):
+    import random
+    rng = random.Random(12)
+    text = lambda n: " ".join(rng.choices("abcdef", k=n))
+    turns = [("c", f"t{i:02d}", text(rng.randint(1, 6))) for i in range(30)] + [("d", f"u{i}", text(4)) for i in range(5)]
+    rank = [(f"s{q}", f"t{i:02d}") for q in range(6) for i in rng.sample(range(30), 12)] + [("z", f"u{i}") for i in range(5)]
+    units = [(f"s{q}", "c", f"n{i}", text(rng.randint(1, 5))) for q in range(6) for i in range(3)] + [("z", "d", "n0", "a b")]
+    r = spark.createDataFrame(turns, "conversation_id string, text_id string, text string")
+    k = spark.createDataFrame(rank, "sample_id string, text_id string")
+    u = spark.createDataFrame(units, "sample_id string, conversation_id string, unit_id string, unit string")
+    copies = k.join(r, "text_id")
+    want = {tuple(x) for x in dg.evidence_pairs(u, copies).select("sample_id", "unit_id", "text_id").collect()}
+    got = [tuple(x) for x in dg.ranked_evidence_pairs(u, r, k).collect()]
+    assert want and set(got) == want and len(got) == len(want)
+    near = {x.sample_id: x["count"] for x in dg.duplicate_pairs(copies).groupBy("sample_id").count().collect()}
+    assert near and {x.sample_id: x.dups for x in dg.ranked_duplicates(r, k).collect()} == near
