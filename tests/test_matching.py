@@ -66,3 +66,36 @@ def test_trace_prompt_matches_contents_and_blocks_in_one_go(spark, monkeypatch):
     blocks = spark.createDataFrame([("s", "c", "red apples grow here\nblue pears fall there")], "sample_id string, conversation_id string, text string")
     rows = joins.trace_prompt(prompts, entries, got, turns, blocks).orderBy("rank").collect()
     assert [r.source_id for r in rows] == ["e", "D1:1", "session_1", "D1:2"] and len(calls) == 1
+
+
+def _text_turns(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join(rng.choice(["ye", "yes", "eyes", "ab", "abc", "cab", "bye", "my", "oh"]) for _ in range(n))
+    t = [(s, f"{s}{i}", words(rng.choice([1, 1, 2, 5]))) for s in "cd" for i in range(25)] + [("c", "none", ""), ("e", "alone", "ye")]
+    u = [(s, i, words(rng.choice([1, 4, 6]))) for s in "cd" for i in range(20)] + [("c", 99, " ")]
+    texts = spark.createDataFrame(t, "conversation_id string, text_id string, text string")
+    turns = spark.createDataFrame(u, "conversation_id string, pos int, text string")
+    share = lambda a, b: len(set(a.split()) & set(b.split())) / len(set(a.split()))
+    want = {(i, p) for s, i, a in t for z, p, b in u if s == z and a.strip() and b.strip() and (a in b or b in a or share(b, a) >= 0.85)}
+    return texts, turns, want
+
+
+def test_text_turn_pairs_of_bounded_scopes_meet_once(spark, monkeypatch):
+    texts, turns, want = _text_turns(spark)
+
+    def spread(*_):
+        raise AssertionError("words of a small scope were spread out")
+
+    monkeypatch.setattr(joins, "contains_pairs", spread)
+    monkeypatch.setattr(joins, "overlap_pairs", spread)
+    got = [(r.text_id, r.pos) for r in joins.text_turn_pairs(texts, turns).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_text_turn_pairs_of_large_scopes_are_the_same(spark, monkeypatch):
+    texts, turns, want = _text_turns(spark)
+    turns = turns.where("conversation_id <> 'd' or pos < 10")  # 250 pairs in d, 500 in c
+    want = {(t, p) for t, p in want if not t.startswith("d") or p < 10}
+    for bound in (1, 300):
+        monkeypatch.setattr(joins, "DIRECT_PAIRS", bound)
+        assert {(r.text_id, r.pos) for r in joins.text_turn_pairs(texts, turns).collect()} == want, bound
