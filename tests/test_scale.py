@@ -134,3 +134,14 @@ def test_episode_lane_keeps_equal_session_numbers_of_scopes_apart(spark):
     queries = raws.where("session_no = 2").select(F.col("raw_id").alias("sample_id"), "conversation_id", F.lit("apple").alias("query_text"))
     got = lanes.episode_lane(queries, raws).where("score > 0").groupBy("sample_id").count().collect()
     assert len(got) == 300 and all(r["count"] == 2 for r in got)
+
+
+def test_keyed_join_makes_no_copies_that_outweigh_the_big_side(spark, monkeypatch):
+    monkeypatch.setattr(scale, "fits_broadcast", lambda df, limit=0: False)
+    big = spark.range(4000).selectExpr("id % 1000 as k", "id")
+    peers, few = spark.range(1000).selectExpr("id as k", "id * 2 as v"), spark.range(10).selectExpr("id as k", "id * 2 as v")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for small, copied, rows in ((peers, False, 4000), (few, True, 40)):
+        j = scale.keyed_join(big, small, ["k"], "id")
+        assert ("_salt" in plan(j)) == copied
+        assert {(r.k, r.id, r.v) for r in j.collect()} == {(i % 1000, i, i % 1000 * 2) for i in range(4000) if copied is False or i % 1000 < 10} and j.count() == rows
