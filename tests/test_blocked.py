@@ -178,3 +178,24 @@ def test_scoped_cross_takes_any_scorer_and_lists_no_pairs(spark, small_blocks):
         assert got.get(name, []) == [(r, x, len(own)) for r, x in own[:4]]
     with pytest.raises(Exception, match="scorer gave"):
         joins.scoped_cross(q, d, lambda a, b: [0.0], 4).collect()
+
+
+def test_terms_are_counted_a_bounded_number_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+    rng = np.random.default_rng(1)
+    lists = [None if i % 50 == 7 else rng.integers(0, 90, 0 if i % 50 == 8 else 600).tolist() for i in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(lists, pa.list_(pa.int64()))], ["id", "_t"])
+    count = blocked._count(b"\xff" * (blocked.FILTER_BITS // 8), True)
+    tracemalloc.start()
+    rows = 0
+    for part in count(iter([batch])):
+        for r in part.slice(0, 12).to_pylist():
+            held = lists[r["id"]] or []
+            want = {w: held.count(w) for w in held}
+            assert r["dl"] == len(held) and dict(zip(r["terms"], r["tfs"])) == want == dict(zip(r["every"], r["counts"]))
+        rows += part.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 4000 and peak < 60 << 20, peak  # 2.3 million terms
