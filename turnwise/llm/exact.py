@@ -35,10 +35,10 @@ def _probe(sha: Column, k: int, bits: int) -> Column:
     return F.pmod(F.xxhash64(sha, F.lit(k)), F.lit(bits)) + F.lit(1)
 
 
-def repeated_bitmaps(hashes: DataFrame, bits: int) -> DataFrame:
-    """Bitmaps (bucket, bitmap) of the filter positions that two or more rows of `hashes` (_sha) hit."""
+def repeated_bitmaps(hashes: DataFrame, bits: int, least: int = 2) -> DataFrame:
+    """Bitmaps (bucket, bitmap) of the filter positions that `least` or more rows of `hashes` (_sha) hit."""
     hits = (hashes.select(F.explode(F.array_distinct(F.array(*[_probe(F.col("_sha"), k, bits) for k in range(PROBES)]))).alias("p"))
-            .groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n >= 2"))
+            .groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least))
     return hits.groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bitmap"))
 
 
