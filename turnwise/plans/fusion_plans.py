@@ -92,7 +92,7 @@ def _(t):
 
 @plan("fus_topk_prefix", f"{_L} select k, sample_id, raw_id, rank from l, (values (10),(20)) x(k) where lane='newest' and rank<=k")
 def _(t):
-    return fu.prefix(b.lanes(t).where("lane = 'newest'")).select("k", "sample_id", "raw_id", "rank")
+    return fu.prefix(b.lanes(t, ["newest"])).select("k", "sample_id", "raw_id", "rank")
 
 
 _TOP = "top as (select q.sample_id, t.raw_id, (t.pos-q.pos+1)::bigint as rank from questions q join turns t on t.conversation_id=q.conversation_id and t.pos between q.pos and q.pos+2)"

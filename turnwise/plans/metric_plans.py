@@ -302,7 +302,7 @@ select k, count(*)::bigint as n, count(*) filter (n>0)::bigint as recall_any, co
 def _(t):
     o = t.orders
     rid, sid, ses = F.concat(F.lit("o"), "o_orderkey").alias("raw_id"), F.concat(F.lit("c"), "o_custkey").alias("sample_id"), F.concat(F.lit("s"), F.col("o_orderkey") % 40).alias("session_id")
-    r = me.session_ndcg(b.lanes(t).where("lane = 'newest'"), o.select(rid, ses), o.where("o_orderkey % 5 = 0").select(sid, ses).distinct(), t.customer.select(F.concat(F.lit("c"), "c_custkey").alias("sample_id")), (3, 20))
+    r = me.session_ndcg(b.lanes(t, ["newest"]), o.select(rid, ses), o.where("o_orderkey % 5 = 0").select(sid, ses).distinct(), t.customer.select(F.concat(F.lit("c"), "c_custkey").alias("sample_id")), (3, 20))
     return r.withColumn("ndcg", F.round("ndcg", 6))
 
 

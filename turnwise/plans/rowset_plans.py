@@ -84,7 +84,7 @@ def _(t):
 @plan("set_gold_delta", f"""with {b.LANES}, {b.LANE_GOLD}, p as (select sample_id, raw_id from lanes where lane='newest' and rank<=5), gs as (select sample_id, count(*) n from lane_gold group by 1), c as (select g.sample_id, count(p.raw_id) f from lane_gold g left join p using (sample_id, raw_id) group by 1)
 select sample_id, n::bigint as n_gold, f::bigint as found, (n-f)::bigint as missing, n=f as is_subset from gs join c using (sample_id)""")
 def _(t):
-    top = b.lanes(t).where("lane = 'newest' and rank <= 5").select("sample_id", "raw_id", F.lit(1).alias("hit"))
+    top = b.lanes(t, ["newest"]).where("rank <= 5").select("sample_id", "raw_id", F.lit(1).alias("hit"))
     g = b.lane_gold(t).join(top, ["sample_id", "raw_id"], "left").groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_gold"), F.count("hit").alias("found"))
     return g.select("sample_id", "n_gold", "found", (F.col("n_gold") - F.col("found")).alias("missing"), (F.col("n_gold") == F.col("found")).alias("is_subset"))
 
