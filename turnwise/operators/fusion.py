@@ -1,10 +1,10 @@
 """Fusing lanes into candidates, and candidates into packets and prompts."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import text as tx
 from .scale import top_k
@@ -145,29 +145,50 @@ def routed_candidates(streams: DataFrame, kinds: DataFrame, links: DataFrame, ro
         pool.select("sample_id", F.col("raw_id").alias("b")), ["sample_id", "b"]).join(degree, "b").join(
         roles.select(F.col("raw_id").alias("b"), "necessary"), "b", "left").select("sample_id", "anchor", "b", F.coalesce("necessary", F.lit(False)).alias("necessary"), "degree")
     link_rows = outside.unionByName(inside).distinct()
-    part = lambda df, kind, a, b, n, d: df.select("sample_id", F.lit(kind).alias("part"), a.alias("x"), b.alias("y"), n.cast("long").alias("n"), d.cast("long").alias("d"))
+    # A part of a sample is one row with its list, so what is gathered by sample is a few rows each.
+    def part(df: DataFrame, kind: str, x, y, n, d) -> DataFrame:
+        item = F.struct(d.cast("long").alias("d"), x.alias("x"), y.alias("y"), n.cast("long").alias("n"))
+        return df.groupBy("sample_id").agg(F.collect_list(item).alias("items")).select("sample_id", F.struct(F.lit(kind).alias("part"), "items").alias("p"))
+
     none = F.lit(None).cast("string")
     rows = (part(layer, "layer", F.col("raw_id"), none, F.col("layer"), F.col("rank"))
             .unionByName(part(agreed, "agreed", F.col("raw_id"), none, F.col("n_layers"), F.col("rank")))
             .unionByName(part(whole, "whole", F.col("raw_id"), none, F.lit(0), F.col("rank")))
             .unionByName(part(link_rows, "link", F.col("anchor"), F.col("b"), F.col("necessary").cast("int"), F.col("degree")))
             .unionByName(part(kinds, "kind", F.col("query_kind"), none, F.lit(0), F.lit(0))))
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        by: dict[str, list] = {"layer": [], "agreed": [], "whole": [], "link": [], "kind": []}
-        for kind, x, y, n, d in zip(*(pdf[c].tolist() for c in ("part", "x", "y", "n", "d"))):
-            by[kind].append((d, x, y, n))
-        order = lambda rows_: sorted(rows_, key=lambda r: r[0])
-        layers = [[x for _, x, _, n in order(by["layer"]) if n == i] for i in (1, 2, 3)]
-        agreed_ = [(x, n) for _, x, _, n in order(by["agreed"])]
-        links_ = [(x, y, n == 1, d) for d, x, y, n in by["link"]]
-        whole_ = [x for _, x, _, _ in order(by["whole"])]
-        kind = by["kind"][0][1] if by["kind"] else "SINGLE_FACT"
-        sample = pdf["sample_id"].iat[0]
-        rows_ = [(sample, arm, rid, i) for arm, cfg in routes.items() for i, rid in enumerate(route(kind, layers, agreed_, links_, whole_, cfg), 1)]
-        return pd.DataFrame(rows_, columns=["sample_id", "arm", "raw_id", "rank"])
-
-    return rows.groupBy("sample_id").applyInPandas(pick, "sample_id string, arm string, raw_id string, rank long")
+    out = T.StructType([T.StructField("sample_id", streams.schema["sample_id"].dataType), T.StructField("arm", T.StringType()), T.StructField("raw_id", T.StringType()), T.StructField("rank", T.LongType())])
+    return rows.groupBy("sample_id").agg(F.collect_list("p").alias("parts")).mapInArrow(_picked(routes), out)
+
+
+#: Samples whose lists are Python objects at a time.
+PICKED = 256
+
+
+def _picked(routes: dict):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PICKED):
+                yield pick(batch.slice(at, PICKED))
+
+    def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
+        arms, ids, ranks, owner = [], [], [], []
+        for row, parts in enumerate(batch.column("parts").to_pylist()):
+            by = {p["part"]: sorted(p["items"], key=lambda r: r["d"]) for p in parts}
+            layers = [[r["x"] for r in by.get("layer", ()) if r["n"] == i] for i in (1, 2, 3)]
+            agreed = [(r["x"], r["n"]) for r in by.get("agreed", ())]
+            links = [(r["x"], r["y"], r["n"] == 1, r["d"]) for r in by.get("link", ())]
+            whole = [r["x"] for r in by.get("whole", ())]
+            kind = by["kind"][0]["x"] if "kind" in by else "SINGLE_FACT"
+            for arm, cfg in routes.items():
+                got = route(kind, layers, agreed, links, whole, cfg)
+                arms += [arm] * len(got)
+                ids += got
+                ranks += range(1, len(got) + 1)
+                owner += [row] * len(got)
+        sample = batch.column("sample_id").take(pa.array(owner, pa.int64()))
+        return pa.RecordBatch.from_arrays([sample, pa.array(arms, pa.string()), pa.array(ids, pa.string()), pa.array(ranks, pa.int64())], ["sample_id", "arm", "raw_id", "rank"])
+
+    return run
 
 
 def prefix(ranking: DataFrame, ks: Sequence[int] = (10, 20)) -> DataFrame:
