@@ -7,8 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -180,18 +179,15 @@ class CurrentFacts(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "position bigint, assertion_id string, value string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("position")
-        held = tuple(self.last.get()) if self.last.exists() else None
-        out = []
-        for r in pdf.itertuples():
-            value = None if r.value is None else str(r.value)
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+        held = self.last.get()
+        told = lambda fact, status, by: Row(conversation_id=key[0], subject=key[1], relation=key[2], assertion_id=fact, status=status, superseded_by=by)
+        for position, assertion_id, value in sorted(((r.position, r.assertion_id, r.value) for r in rows), key=lambda r: r[0]):
             if held is not None and held[2] != value:
-                out.append((*map(str, key), held[1], "SUPERSEDED", r.assertion_id))
-            held = (int(r.position), r.assertion_id, value)
+                yield told(held[1], "SUPERSEDED", assertion_id)
+            held = (position, assertion_id, value)
         self.last.update(held)
-        out.append((*map(str, key), held[1], "CURRENT", None))
-        yield pd.DataFrame(out, columns=["conversation_id", "subject", "relation", "assertion_id", "status", "superseded_by"])
+        yield told(held[1], "CURRENT", None)
 
     def close(self) -> None:
         pass
@@ -207,7 +203,7 @@ def supersede_stream(src: DataFrame) -> DataFrame:
     src: conversation_id, subject, relation, position, assertion_id, value; batches arrive in position order.
     """
     keyed = src.groupBy("conversation_id", "subject", "relation")
-    return keyed.transformWithStateInPandas(CurrentFacts(), STATE_OUT, "Append", "None")
+    return keyed.transformWithState(CurrentFacts(), STATE_OUT, "Append", "None")
 
 
 def supersede_table(src: DataFrame, path: str) -> StreamingQuery:
